@@ -1,8 +1,9 @@
 """Keyword matching.
 
 Whole words are looked up in the token array: one hash-set filter keeps the few tokens that are
-keywords at all, and the labels then only look at those. Prefixes and phrases need a regular
-expression, which runs only where a plain substring search has found the longest word of the term.
+keywords, or begin one, and the labels then only look at those. A phrase is searched for only where
+its first word is among them; its edges need a regular expression, which runs only where the phrase
+occurs as a substring. Texts are expected with single spaces.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,11 +31,6 @@ class Term:
     def first_word(self) -> str:
         return self.text.split()[0]
 
-    @property
-    def needle(self) -> str:
-        """Part of the term that any match must hold whatever its white space."""
-        return max(self.text.split(), key=len)
-
 
 def parse_term(spec: str) -> Term:
     """`text`, `text*` (prefix) or `text|weight`; the weight defaults to the number of words."""
@@ -44,18 +41,23 @@ def parse_term(spec: str) -> Term:
 
 @dataclass(frozen=True)
 class Edges:
-    """What may not touch a term on either side."""
+    """What may not touch a term on either side, and the tokens that go with it."""
 
     left: str
     right: str
+    token: str
 
     def pattern(self, term: Term) -> str:
-        body = r"\s+".join(re.escape(word) for word in term.text.split())
-        return "(?U)" + self.left + body + ("" if term.prefix else self.right)
+        return "(?U)" + self.left + re.escape(term.text) + ("" if term.prefix else self.right)
 
+    def first_token(self, term: Term) -> str | None:
+        """The token any match starts with; None if only a part of the token is known."""
+        token = re.match(self.token, term.text).group(0)
+        return None if term.prefix and token == term.text else token
 
-WORD_EDGES = Edges(r"\b", r"\b")
-APOSTROPHE_EDGES = Edges(r"(?<![\w'])", r"(?![\w'])")
+
+WORD_EDGES = Edges(r"\b", r"\b", r"\w+")
+APOSTROPHE_EDGES = Edges(r"(?<![\w'])", r"(?![\w'])", r"[\w']+")
 
 
 class KeywordGroup:
@@ -67,62 +69,59 @@ class KeywordGroup:
         self.words = [t for t in terms if t.is_word]
         self.others = [t for t in terms if not t.is_word]
 
-    def matches(self, text: Column, term: Term) -> Column:
-        return text.contains(term.needle) & text.rlike(self.edges.pattern(term))
-
-    def words_by(self, key) -> dict:
-        grouped: dict = {}
-        for term in self.words:
-            grouped.setdefault(key(term), []).append(term.text)
-        return grouped
+    @property
+    def tokens(self) -> set[str]:
+        """The tokens that tell whether a whole word or phrase can be in a text."""
+        firsts = {self.edges.first_token(t) for t in self.others} - {None}
+        return firsts | {t.text for t in self.words}
 
     def weighted_hits(self, text: Column, hits: Column) -> Column:
         """Sum of the weights of the terms found; BIGINT."""
-        parts = [
-            F.size(_among(hits, words)) * weight
-            for weight, words in self.words_by(lambda t: t.weight).items()
-        ]
-        parts += [
-            F.when(self.matches(text, t), t.weight).otherwise(0) for t in self.others if t.weight
-        ]
+        by_weight = _grouped({t.text: t.weight for t in self.words})
+        parts = [F.size(_among(hits, words)) * weight for weight, words in by_weight.items()]
+        parts += self._others(text, hits, lambda t: F.lit(t.weight), F.lit(0))
         return _sum(parts).cast("bigint")
 
     def count_hits(self, text: Column, hits: Column) -> Column:
         """Number of listed terms found; a term listed twice counts twice. BIGINT."""
-        parts = [
-            F.size(_among(hits, words)) * times
-            for times, words in self._words_by_times().items()
-        ]
-        parts += [self.matches(text, t).cast("int") for t in self.others]
+        parts = [F.size(_among(hits, words)) * n for n, words in self._words_by_times().items()]
+        parts += self._others(text, hits, lambda t: F.lit(1), F.lit(0))
         return _sum(parts).cast("bigint")
 
     def boosted_hits(self, text: Column, hits: Column, boost) -> Column:
         """Sum of `boost(first word)` over the terms found; DOUBLE."""
         parts = [
-            F.aggregate(
-                _among(hits, words),
-                F.lit(0.0),
-                lambda total, t: total + boost(t),
-            )
-            * float(times)
-            for times, words in self._words_by_times().items()
-        ]
-        parts += [
-            F.when(self.matches(text, t), boost(F.lit(t.first_word))).otherwise(0.0)
-            for t in self.others
+            F.aggregate(_among(hits, words), F.lit(0.0), lambda total, t: total + boost(t)) * float(n)
+            for n, words in self._words_by_times().items()
         ]
+        parts += self._others(text, hits, lambda t: boost(F.lit(t.first_word)), F.lit(0.0))
         return _sum(parts)
 
+    def _others(self, text: Column, hits: Column, value, zero: Column) -> list[Column]:
+        """Values of the prefixes and phrases found, one sum per first token."""
+        by_token: dict = {}
+        for term in self.others:
+            if term.weight:
+                by_token.setdefault(self.edges.first_token(term), []).append(term)
+        parts = []
+        for token, terms in by_token.items():
+            found = _sum([F.when(self._matches(text, t), value(t)).otherwise(zero) for t in terms])
+            if token is None:
+                parts.append(found)
+            else:
+                parts.append(F.when(F.array_contains(hits, token), found).otherwise(zero))
+        return parts
+
+    def _matches(self, text: Column, term: Term) -> Column:
+        return text.contains(term.text) & text.rlike(self.edges.pattern(term))
+
     def _words_by_times(self) -> dict[int, list[str]]:
-        grouped: dict[int, list[str]] = {}
-        for word, times in Counter(t.text for t in self.words).items():
-            grouped.setdefault(times, []).append(word)
-        return grouped
+        return _grouped(Counter(t.text for t in self.words))
 
 
 def keyword_hits(tokens: Column, groups: list[KeywordGroup]) -> Column:
-    """The distinct tokens that are a whole-word term of any group."""
-    vocabulary = sorted({t.text for group in groups for t in group.words})
+    """The distinct tokens that are, or begin, a term of any group."""
+    vocabulary = sorted(set().union(*[group.tokens for group in groups]))
     return F.array_distinct(F.filter(tokens, lambda t: t.isin(vocabulary)))
 
 
@@ -135,8 +134,12 @@ def _among(hits: Column, words: list[str]) -> Column:
     return F.filter(hits, lambda t: t.isin(words))
 
 
+def _grouped(numbers: dict[str, int]) -> dict[int, list[str]]:
+    grouped: dict[int, list[str]] = {}
+    for word, number in numbers.items():
+        grouped.setdefault(number, []).append(word)
+    return grouped
+
+
 def _sum(parts: list[Column]) -> Column:
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return total
+    return reduce(lambda a, b: a + b, parts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +10,6 @@ from plaintide.functions.text import tokens
 WORDS = r"(?U)\b\w\w+\b"
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own English list."""
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def term_words(text: Column, stop_words: list[str] = ()) -> Column:
     """Words of two or more characters, stop words left out."""
     words = tokens(F.lower(text), WORDS)

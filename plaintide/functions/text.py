@@ -15,14 +15,23 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(F.trim(spaced), F.lit(""))
 
 
+def single_spaced(text: Column) -> Column:
+    """White space as single spaces. Plain ASCII text that is so already skips the regex."""
+    plain = (F.length(text) == F.octet_length(text)) & ~text.contains("  ")
+    for character in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f":
+        plain = plain & ~text.contains(character)
+    return F.when(plain, text).otherwise(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
 def folded(text: Column) -> Column:
     """Lower case with the closing curly quote as an apostrophe."""
-    return F.translate(F.lower(text), "’", "'")
+    return F.replace(F.lower(text), F.lit("’"), F.lit("'"))
 
 
 def folded_both(text: Column) -> Column:
     """Lower case with both curly single quotes as apostrophes."""
-    return F.translate(F.lower(text), "’‘", "''")
+    lower = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
+    return F.replace(lower, F.lit("‘"), F.lit("'"))
 
 
 def tokens(text: Column, pattern: str = WORD) -> Column:

@@ -17,7 +17,7 @@ from plaintide.functions import priority as pri
 from plaintide.functions import sentiment as sen
 from plaintide.functions import topic as top
 from plaintide.functions.matching import keyword_hits
-from plaintide.functions.text import WORD, WORD_OR_APOSTROPHE, folded, folded_both, tokens
+from plaintide.functions.text import WORD, WORD_OR_APOSTROPHE, folded, folded_both, single_spaced, tokens
 from plaintide.rules.priority import IMPACT_TERMS, URGENCY_TERMS
 
 
@@ -89,7 +89,8 @@ EMOTION_COLUMNS = {e: f"_emotion_{_slug(e)}" for e in emo.GROUPS}
 
 
 def _with_emotion_words(df: DataFrame, feedback: str) -> DataFrame:
-    df = df.withColumn("_text", folded(F.col(feedback)))
+    df = df.withColumn("_folded", folded(F.col(feedback)))
+    df = df.withColumn("_text", single_spaced(F.col("_folded"))).drop("_folded")
     df = df.withColumn("_words", tokens(F.col("_text"), WORD_OR_APOSTROPHE))
     return df.withColumns(
         {
@@ -159,7 +160,8 @@ TOPIC_COLUMNS = {t: f"score_{_slug(t)}" for t in top.GROUPS}
 
 def topic_scores(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one BIGINT score column per topic (TOPIC_COLUMNS)."""
-    df = df.withColumn("_text", folded(F.col(feedback)))
+    df = df.withColumn("_folded", folded(F.col(feedback)))
+    df = df.withColumn("_text", single_spaced(F.col("_folded"))).drop("_folded")
     hits = keyword_hits(tokens(F.col("_text"), WORD), list(top.GROUPS.values()))
     df = df.withColumn("_hits", hits)
     scores = {

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.functions.terms import english_stop_words, term_words, with_pairs
+from plaintide.functions.terms import term_words, with_pairs
 from plaintide.operators.skew import lookup
+from plaintide.rules.stopwords import ENGLISH
 from plaintide.runtime import cut_lineage
 
 GROUP = "issue_label"
@@ -24,7 +25,7 @@ def term_counts(texts: DataFrame, stop_words: list[str] | None = None) -> DataFr
     The texts are spread by (issue_label, text_id) once; counts and norms per text then need no
     further shuffle.
     """
-    stop = english_stop_words() if stop_words is None else stop_words
+    stop = ENGLISH if stop_words is None else stop_words
     words = texts.select(GROUP, "text_id", "copies", term_words(F.col("text"), stop).alias("_words"))
     spread = words.repartition(GROUP, "text_id")
     terms = spread.select(GROUP, "text_id", "copies", F.explode(with_pairs(F.col("_words"))).alias("term"))
