@@ -141,9 +141,9 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "emotion_boosts": (
         ["emotion_found"],
-        "SELECT feedback, emotion, CASE WHEN at > 1 AND words[at - 1] IN "
+        "SELECT feedback, emotion, CASE WHEN pos > 1 AND words[pos - 1] IN "
         f"({items(emo.INTENSIFIERS)}) THEN 1.5 ELSE 1.0 END::DOUBLE AS boost FROM (SELECT *, "
-        "list_position(list_transform(words, lambda w: starts_with(w, first)), true) AS at FROM emotion_found)",
+        "list_position(list_transform(words, lambda w: starts_with(w, first)), true) AS pos FROM emotion_found)",
     ),
     "emotion_sums": (
         ["texts", "emotion_boosts"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plaintide.functions.matching import APOSTROPHE_EDGES, KeywordGroup, first_best
+from plaintide.functions.matching import APOSTROPHE_EDGES, KeywordGroup, first_best, texts
 from plaintide.rules.emotion import (
     EMOTION_KEYWORDS,
     EMOTION_WEIGHTS,
@@ -24,17 +24,13 @@ def spaced_words(words: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
-def boost(spaced: Column):
-    """Factor of a hit: 1.5 if an intensifier stands before the first word starting like it."""
+def boost(first_word: str) -> str:
+    """Factor of a hit: 1.5 if an intensifier stands before the first word starting like it.
 
-    def of(first_word: Column) -> Column:
-        before = F.call_function(
-            "substring_index", spaced, F.concat(F.lit(" "), first_word), F.lit(1)
-        )
-        previous = F.substring_index(before, " ", -1)
-        return F.when(previous.isin(INTENSIFIERS), 1.5).otherwise(1.0)
-
-    return of
+    SQL over `_spaced`, the spaced words of the text.
+    """
+    before = f"substring_index(_spaced, concat(' ', {first_word}), 1)"
+    return f"if(substring_index({before}, ' ', -1) IN ({texts(INTENSIFIERS)}), 1.5D, 1.0D)"
 
 
 def has_negation(text: Column) -> Column:

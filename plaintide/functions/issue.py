@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plaintide.functions.matching import text
 from plaintide.rules.issue import ANY_ISSUE, ISSUE_HINTS, ISSUE_PATTERNS, NO_ISSUE
 
 
-def matches_issue(text: Column, label: str) -> Column:
-    """Whether normalised `text` matches the label's rule; the regex only runs on a hint."""
-    hinted = reduce(lambda a, b: a | b, [text.contains(hint) for hint in ISSUE_HINTS[label]])
-    return hinted & text.rlike("(?Ud)" + ISSUE_PATTERNS[label])
+def _matches(label: str) -> str:
+    hinted = " OR ".join(f"contains(_text, {text(hint)})" for hint in ISSUE_HINTS[label])
+    return f"({hinted}) AND rlike(_text, {text('(?Ud)' + ISSUE_PATTERNS[label])})"
+
+
+def matches_issue(label: str) -> Column:
+    """Whether the normalised `_text` matches the label's rule; the regex only runs on a hint."""
+    return F.expr(_matches(label))
 
 
-def first_match(text: Column) -> Column:
-    """The first label in rule order that matches; later rules are not evaluated."""
-    return F.coalesce(*[F.when(matches_issue(text, label), F.lit(label)) for label in ISSUE_PATTERNS])
+def first_match() -> Column:
+    """The first label in rule order that `_text` matches; later rules are not evaluated."""
+    tests = [f"if({_matches(label)}, {text(label)}, NULL)" for label in ISSUE_PATTERNS]
+    return F.expr(f"coalesce({', '.join(tests)})")
 
 
 def issue_label(match: Column, sentiment: Column) -> Column:

@@ -4,14 +4,17 @@ Whole words are looked up in the token array: one hash-set filter keeps the few
 keywords, or begin one, and the labels then only look at those. A phrase is searched for only where
 its first word is among them; its edges need a regular expression, which runs only where the phrase
 occurs as a substring. Texts are expected with single spaces.
+
+The expressions are SQL text over the columns `_text` and `_hits`, as they come to hundreds of terms
+and a Column takes a call to the JVM per node.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +63,15 @@ WORD_EDGES = Edges(r"\b", r"\b", r"\w+")
 APOSTROPHE_EDGES = Edges(r"(?<![\w'])", r"(?![\w'])", r"[\w']+")
 
 
+def text(value: str) -> str:
+    """SQL literal of a text taken as it is."""
+    return f'r"{value}"'
+
+
+def texts(values) -> str:
+    return ", ".join(text(v) for v in values)
+
+
 class KeywordGroup:
     """The terms of one label."""
 
@@ -75,29 +87,29 @@ class KeywordGroup:
         firsts = {self.edges.first_token(t) for t in self.others} - {None}
         return firsts | {t.text for t in self.words}
 
-    def weighted_hits(self, text: Column, hits: Column) -> Column:
+    def weighted_hits(self) -> Column:
         """Sum of the weights of the terms found; BIGINT."""
         by_weight = _grouped({t.text: t.weight for t in self.words})
-        parts = [F.size(_among(hits, words)) * weight for weight, words in by_weight.items()]
-        parts += self._others(text, hits, lambda t: F.lit(t.weight), F.lit(0))
-        return _sum(parts).cast("bigint")
+        parts = [f"size({_among(words)}) * {weight}" for weight, words in by_weight.items()]
+        parts += self._others(lambda t: str(t.weight), "0")
+        return F.expr(" + ".join(parts)).cast("bigint")
 
-    def count_hits(self, text: Column, hits: Column) -> Column:
+    def count_hits(self) -> Column:
         """Number of listed terms found; a term listed twice counts twice. BIGINT."""
-        parts = [F.size(_among(hits, words)) * n for n, words in self._words_by_times().items()]
-        parts += self._others(text, hits, lambda t: F.lit(1), F.lit(0))
-        return _sum(parts).cast("bigint")
+        parts = [f"size({_among(words)}) * {n}" for n, words in self._words_by_times().items()]
+        parts += self._others(lambda t: "1", "0")
+        return F.expr(" + ".join(parts)).cast("bigint")
 
-    def boosted_hits(self, text: Column, hits: Column, boost) -> Column:
-        """Sum of `boost(first word)` over the terms found; DOUBLE."""
+    def boosted_hits(self, boost: Callable[[str], str]) -> Column:
+        """Sum of `boost(first word)`, itself SQL, over the terms found; DOUBLE."""
         parts = [
-            F.aggregate(_among(hits, words), F.lit(0.0), lambda total, t: total + boost(t)) * float(n)
+            f"aggregate({_among(words)}, 0D, (total, t) -> total + {boost('t')}) * {n}D"
             for n, words in self._words_by_times().items()
         ]
-        parts += self._others(text, hits, lambda t: boost(F.lit(t.first_word)), F.lit(0.0))
-        return _sum(parts)
+        parts += self._others(lambda t: boost(text(t.first_word)), "0D")
+        return F.expr(" + ".join(parts))
 
-    def _others(self, text: Column, hits: Column, value, zero: Column) -> list[Column]:
+    def _others(self, value: Callable[[Term], str], zero: str) -> list[str]:
         """Values of the prefixes and phrases found, one sum per first token."""
         by_token: dict = {}
         for term in self.others:
@@ -105,24 +117,23 @@ class KeywordGroup:
                 by_token.setdefault(self.edges.first_token(term), []).append(term)
         parts = []
         for token, terms in by_token.items():
-            found = _sum([F.when(self._matches(text, t), value(t)).otherwise(zero) for t in terms])
-            if token is None:
-                parts.append(found)
-            else:
-                parts.append(F.when(F.array_contains(hits, token), found).otherwise(zero))
+            found = " + ".join(f"if({self._matches(t)}, {value(t)}, {zero})" for t in terms)
+            if token is not None:
+                found = f"if(array_contains(_hits, {text(token)}), {found}, {zero})"
+            parts.append(found)
         return parts
 
-    def _matches(self, text: Column, term: Term) -> Column:
-        return text.contains(term.text) & text.rlike(self.edges.pattern(term))
+    def _matches(self, term: Term) -> str:
+        return f"contains(_text, {text(term.text)}) AND rlike(_text, {text(self.edges.pattern(term))})"
 
     def _words_by_times(self) -> dict[int, list[str]]:
         return _grouped(Counter(t.text for t in self.words))
 
 
-def keyword_hits(tokens: Column, groups: list[KeywordGroup]) -> Column:
-    """The distinct tokens that are, or begin, a term of any group."""
+def keyword_hits(groups: list[KeywordGroup]) -> Column:
+    """The distinct tokens in `_words` that are, or begin, a term of any group."""
     vocabulary = sorted(set().union(*[group.tokens for group in groups]))
-    return F.array_distinct(F.filter(tokens, lambda t: t.isin(vocabulary)))
+    return F.expr(f"array_distinct(filter(_words, t -> t IN ({texts(vocabulary)})))")
 
 
 def first_best(scores: dict[str, Column], best: Column) -> Column:
@@ -130,8 +141,8 @@ def first_best(scores: dict[str, Column], best: Column) -> Column:
     return F.coalesce(*[F.when(score == best, F.lit(label)) for label, score in scores.items()])
 
 
-def _among(hits: Column, words: list[str]) -> Column:
-    return F.filter(hits, lambda t: t.isin(words))
+def _among(words: list[str]) -> str:
+    return f"filter(_hits, t -> t IN ({texts(words)}))"
 
 
 def _grouped(numbers: dict[str, int]) -> dict[int, list[str]]:
@@ -139,7 +150,3 @@ def _grouped(numbers: dict[str, int]) -> dict[int, list[str]]:
     for word, number in numbers.items():
         grouped.setdefault(number, []).append(word)
     return grouped
-
-
-def _sum(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plaintide.functions.matching import text
 from plaintide.rules.priority import (
     EMOTION_POINTS,
     HIGH_IMPACT_ISSUES,
@@ -25,14 +24,14 @@ def points(label: Column, table: dict[str, int]) -> Column:
     return chain.otherwise(0)
 
 
-def terms_found(text: Column, terms: list[str]) -> Column:
-    """How many of the terms occur anywhere in lower-cased text."""
-    return reduce(lambda a, b: a + b, [text.contains(term).cast("int") for term in terms])
+def terms_found(terms: list[str]) -> Column:
+    """How many of the terms occur anywhere in the lower-cased `_text`."""
+    return F.expr(" + ".join(f"int(contains(_text, {text(t)}))" for t in terms))
 
 
-def first_terms(text: Column, terms: list[str], n: int = 2) -> Column:
-    found = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in terms]))
-    return F.array_join(F.slice(found, 1, n), ", ")
+def first_terms(terms: list[str], n: int = 2) -> Column:
+    found = ", ".join(f"if(contains(_text, {text(t)}), {text(t)}, NULL)" for t in terms)
+    return F.expr(f"array_join(slice(array_compact(array({found})), 1, {n}), ', ')")
 
 
 def rating_points(rating: Column) -> Column:
@@ -56,7 +55,7 @@ def classify_priority(score: Column) -> Column:
     return F.when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").otherwise("LOW")
 
 
-def priority_reasons(sentiment, emotion, complaint, issue, text, urgency, impact, rating) -> Column:
+def priority_reasons(sentiment, emotion, complaint, issue, urgency, impact, rating) -> Column:
     """The messages behind a score, in the order the points are given."""
     return F.array_compact(
         F.array(
@@ -74,11 +73,11 @@ def priority_reasons(sentiment, emotion, complaint, issue, text, urgency, impact
                 F.concat(F.lit("High-impact issue type ("), issue, F.lit(")")),
             ),
             F.when(
-                urgency > 0, F.concat(F.lit("Urgency signals: "), first_terms(text, URGENCY_TERMS))
+                urgency > 0, F.concat(F.lit("Urgency signals: "), first_terms(URGENCY_TERMS))
             ),
             F.when(
                 impact > 0,
-                F.concat(F.lit("Business impact signals: "), first_terms(text, IMPACT_TERMS)),
+                F.concat(F.lit("Business impact signals: "), first_terms(IMPACT_TERMS)),
             ),
             F.when(
                 rating <= 2, F.concat(F.lit("Very low rating ("), rating.cast("string"), F.lit(")"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plaintide.functions.matching import texts
 from plaintide.functions.text import is_blank, tokens
 from plaintide.rules.sentiment import LABELS, NEGATIVE_WORDS, POSITIVE_WORDS
 
@@ -25,13 +26,18 @@ def rating_to_sentiment(rating: Column) -> Column:
     ).when(value <= 5, "Positive")
 
 
-def keyword_counts(text: Column) -> tuple[Column, Column]:
-    """How many distinct positive and negative words a text holds."""
-    words = F.array_distinct(tokens(F.lower(text), "[a-z']+"))
-    return (
-        F.size(F.filter(words, lambda w: w.isin(POSITIVE_WORDS))),
-        F.size(F.filter(words, lambda w: w.isin(NEGATIVE_WORDS))),
+def keyword_words(text: Column) -> Column:
+    """The distinct words of a text as the keyword scorer sees them."""
+    return F.array_distinct(tokens(F.lower(text), "[a-z']+"))
+
+
+def keyword_counts() -> tuple[Column, Column]:
+    """How many positive and negative words are in `_words`."""
+    positive, negative = (
+        F.expr(f"size(filter(_words, w -> w IN ({texts(words)})))")
+        for words in (POSITIVE_WORDS, NEGATIVE_WORDS)
     )
+    return positive, negative
 
 
 def keyword_probabilities(positive: Column, negative: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaintide.functions.text import clean_text, word_count
+from plaintide.operators.frames import computed_once
 from plaintide.roles import ColumnRoles
 from plaintide.runtime import cut_lineage
 
@@ -38,7 +39,7 @@ def drop_missing(df: DataFrame, feedback: str) -> DataFrame:
 
 
 def clean_feedback(df: DataFrame, feedback: str) -> DataFrame:
-    return df.withColumn(feedback, clean_text(F.col(feedback).cast("string")))
+    return computed_once(df, {feedback: clean_text(F.col(feedback).cast("string"))})
 
 
 def drop_empty(df: DataFrame, feedback: str) -> DataFrame:

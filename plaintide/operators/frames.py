@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 WEIGHT = "_rows"
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`withColumns` whose results later steps read but never recompute.
+
+    Spark pushes a filter on a plain computed column below it by repeating the expression, which for
+    a scorer means to score every row again, at a plan size that multiplies with every step. The
+    output of a generator is not pushed through, so the columns go through a one-row generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[expression.alias(name) for name, expression in columns.items()])
+    order = [*df.columns, *[c for c in columns if c not in df.columns]]
+    return df.select(*kept, F.inline_outer(F.array(row))).select(*order)
+
+
 def row_weight(df: DataFrame) -> Column:
     return F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import lexicon as lex
 from plaintide.functions.sentiment import compound_to_probabilities
+from plaintide.operators.frames import computed_once
 
 
 def with_compound(
@@ -23,7 +24,8 @@ def with_compound(
     ).drop("_words")
     df = df.withColumn("_sum", lex.valence_sum(F.col("_facts"), F.col("_mixed")))
     emphasis = lex.punctuation_emphasis(F.col(feedback))
-    return df.withColumn(name, lex.compound(F.col("_sum"), emphasis)).drop("_facts", "_mixed", "_sum")
+    scored = computed_once(df, {name: lex.compound(F.col("_sum"), emphasis)})
+    return scored.drop("_facts", "_mixed", "_sum")
 
 
 def with_lexicon_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:

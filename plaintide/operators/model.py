@@ -119,7 +119,7 @@ def train_text_model(rows: DataFrame, max_terms: int = MAX_TERMS) -> TextModel:
         "features", index.alias("label"), weight.alias("weight")
     )
     classifier = LogisticRegression(
-        family="multinomial", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=200,
+        family="multinomial", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=2000, tol=1e-4,
         standardization=False, weightCol="weight",
     )
     return TextModel(vocabulary, terms, classifier.fit(cut_lineage(examples)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import issue as iss
 from plaintide.functions.text import folded_both, pct
-from plaintide.operators.frames import mode_by, with_total
+from plaintide.operators.frames import computed_once, mode_by, with_total
 from plaintide.roles import ColumnRoles
 from plaintide.rules.issue import NO_ISSUE
 from plaintide.rules.priority import HIGH_IMPACT_RECURRING
@@ -26,16 +26,18 @@ def complaint_flag(df: DataFrame) -> Column:
     return F.lit(True)
 
 
-def issue_column(df: DataFrame, feedback: str) -> Column:
-    """The detected issue, or the one the text would get as a negative one."""
+def with_issue(df: DataFrame, feedback: str) -> DataFrame:
+    """Adds `issue_label`: the detected issue, or the one the text would get as a negative one."""
     if "detected_issue" in df.columns:
-        return F.col("detected_issue")
-    return iss.issue_label(iss.first_match(folded_both(F.col(feedback))), F.lit("Negative"))
+        return df.withColumn("issue_label", F.col("detected_issue"))
+    matched = df.withColumn("_text", folded_both(F.col(feedback))).withColumn("_match", iss.first_match())
+    label = iss.issue_label(F.col("_match"), F.lit("Negative"))
+    return computed_once(matched, {"issue_label": label}).drop("_text", "_match")
 
 
 def complaint_rows(df: DataFrame, feedback: str) -> DataFrame:
     """The complaints with a specific or general issue, with `issue_label` added."""
-    labelled = df.filter(complaint_flag(df)).withColumn("issue_label", issue_column(df, feedback))
+    labelled = with_issue(df.filter(complaint_flag(df)), feedback)
     return labelled.filter(F.col("issue_label") != NO_ISSUE)
 
 
@@ -56,9 +58,9 @@ def recurring_counts(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     """
     rating = next((c for c in RATING_COLUMNS if c in df.columns), None)
     value = F.col(rating).try_cast("double") if rating else F.lit(None).cast("double")
-    flagged = df.select(
+    flagged = with_issue(df, roles.feedback).select(
         complaint_flag(df).alias("_complaint"),
-        issue_column(df, roles.feedback).alias("issue_label"),
+        "issue_label",
         (F.col("sentiment") if "sentiment" in df.columns else F.lit("Negative")).alias("_sentiment"),
         F.nanvl(value, F.lit(None)).alias("_rating"),
         F.col(roles.key).alias("_key"),

@@ -1,7 +1,7 @@
 """Row scorers: sentiment, emotion, topic, issue and priority.
 
-Every scorer is a chain of projections without a shuffle. Intermediate values get a column of their
-own, so each is computed once however many expressions read it.
+Every scorer is a chain of row-by-row steps without a shuffle. Intermediate values get a column of
+their own, so each is computed once however many expressions read it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from plaintide.functions import sentiment as sen
 from plaintide.functions import topic as top
 from plaintide.functions.matching import keyword_hits
 from plaintide.functions.text import WORD, WORD_OR_APOSTROPHE, folded, folded_both, single_spaced, tokens
+from plaintide.operators.frames import computed_once
 from plaintide.rules.priority import IMPACT_TERMS, URGENCY_TERMS
 
 
@@ -36,10 +37,12 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def with_keyword_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
-    positive, negative = sen.keyword_counts(F.col(feedback))
-    counted = df.withColumns({"_positive": positive, "_negative": negative})
+    positive, negative = sen.keyword_counts()
+    counted = df.withColumn("_words", sen.keyword_words(F.col(feedback))).withColumns(
+        {"_positive": positive, "_negative": negative}
+    )
     probs = sen.keyword_probabilities(F.col("_positive"), F.col("_negative"))
-    return counted.withColumn(name, probs).drop("_positive", "_negative")
+    return counted.withColumn(name, probs).drop("_words", "_positive", "_negative")
 
 
 def score_sentiment(
@@ -64,14 +67,15 @@ def score_sentiment(
     else:
         df = df.withColumn("_rated", F.lit(None).cast("string"))
     rated, label = F.col("_rated"), F.col("_label")
-    df = df.withColumns(
+    df = computed_once(
+        df,
         {
             "sentiment": F.coalesce(rated, label),
             "sentiment_confidence": F.when(rated.isNull(), F.col("_confidence"))
             .when(rated == label, 95.0)
             .otherwise(80.0),
             "sentiment_source": F.when(rated.isNull(), "text").otherwise("rating"),
-        }
+        },
     )
     return df.drop("_probs", "_label", "_confidence", "_rated")
 
@@ -94,7 +98,7 @@ def _with_emotion_words(df: DataFrame, feedback: str) -> DataFrame:
     df = df.withColumn("_words", tokens(F.col("_text"), WORD_OR_APOSTROPHE))
     return df.withColumns(
         {
-            "_hits": keyword_hits(F.col("_words"), list(emo.GROUPS.values())),
+            "_hits": keyword_hits(list(emo.GROUPS.values())),
             "_spaced": emo.spaced_words(F.col("_words")),
             "_negated": emo.has_negation(F.col("_text")),
         }
@@ -104,23 +108,19 @@ def _with_emotion_words(df: DataFrame, feedback: str) -> DataFrame:
 def emotion_keyword_hits(df: DataFrame, feedback: str) -> DataFrame:
     """Adds `hits_<emotion>`, the number of listed keywords found, and its boosted sum."""
     df = _with_emotion_words(df, feedback)
-    text, hits, boost = F.col("_text"), F.col("_hits"), emo.boost(F.col("_spaced"))
-    counted = {f"hits_{_slug(e)}": g.count_hits(text, hits) for e, g in emo.GROUPS.items()}
-    boosted = {
-        f"boosted_{_slug(e)}": g.boosted_hits(text, hits, boost) for e, g in emo.GROUPS.items()
-    }
-    return df.withColumns({**counted, **boosted}).drop("_text", "_hits", "_spaced", "_negated")
+    counted = {f"hits_{_slug(e)}": g.count_hits() for e, g in emo.GROUPS.items()}
+    boosted = {f"boosted_{_slug(e)}": g.boosted_hits(emo.boost) for e, g in emo.GROUPS.items()}
+    return computed_once(df, {**counted, **boosted}).drop("_text", "_hits", "_spaced", "_negated")
 
 
 def with_emotion_scores(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one score column per emotion (EMOTION_COLUMNS)."""
     df = _with_emotion_words(df, feedback)
-    text, hits, boost = F.col("_text"), F.col("_hits"), emo.boost(F.col("_spaced"))
     scores = {
-        EMOTION_COLUMNS[e]: emo.emotion_score(e, g.boosted_hits(text, hits, boost), F.col("_negated"))
+        EMOTION_COLUMNS[e]: emo.emotion_score(e, g.boosted_hits(emo.boost), F.col("_negated"))
         for e, g in emo.GROUPS.items()
     }
-    return df.withColumns(scores).drop("_text", "_hits", "_spaced", "_negated")
+    return computed_once(df, scores).drop("_text", "_hits", "_spaced", "_negated")
 
 
 def detect_emotion(df: DataFrame, feedback: str) -> DataFrame:
@@ -131,11 +131,12 @@ def detect_emotion(df: DataFrame, feedback: str) -> DataFrame:
         {"_best": F.greatest(*scores.values()), "_total": _sum(list(scores.values()))}
     )
     text = F.col(feedback)
-    df = df.withColumns(
+    df = computed_once(
+        df,
         {
             "emotion": emo.emotion_label(text, scores, F.col("_best")),
             "emotion_confidence": emo.emotion_confidence(text, F.col("_best"), F.col("_total")),
-        }
+        },
     )
     return df.drop("_best", "_total", *EMOTION_COLUMNS.values())
 
@@ -144,7 +145,7 @@ def reconcile_emotion(df: DataFrame) -> DataFrame:
     label, confidence = emo.reconciled(
         F.col("emotion"), F.col("emotion_confidence"), F.col("sentiment")
     )
-    return df.withColumns({"emotion": label, "emotion_confidence": confidence})
+    return computed_once(df, {"emotion": label, "emotion_confidence": confidence})
 
 
 def score_emotion(df: DataFrame, feedback: str) -> DataFrame:
@@ -162,13 +163,10 @@ def topic_scores(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one BIGINT score column per topic (TOPIC_COLUMNS)."""
     df = df.withColumn("_folded", folded(F.col(feedback)))
     df = df.withColumn("_text", single_spaced(F.col("_folded"))).drop("_folded")
-    hits = keyword_hits(tokens(F.col("_text"), WORD), list(top.GROUPS.values()))
-    df = df.withColumn("_hits", hits)
-    scores = {
-        TOPIC_COLUMNS[t]: g.weighted_hits(F.col("_text"), F.col("_hits"))
-        for t, g in top.GROUPS.items()
-    }
-    return df.withColumns(scores).drop("_text", "_hits")
+    df = df.withColumn("_words", tokens(F.col("_text"), WORD))
+    df = df.withColumn("_hits", keyword_hits(list(top.GROUPS.values()))).drop("_words")
+    scores = {TOPIC_COLUMNS[t]: g.weighted_hits() for t, g in top.GROUPS.items()}
+    return computed_once(df, scores).drop("_text", "_hits")
 
 
 def detect_topic(df: DataFrame, feedback: str) -> DataFrame:
@@ -178,11 +176,12 @@ def detect_topic(df: DataFrame, feedback: str) -> DataFrame:
     df = df.withColumns(
         {"_best": F.greatest(*scores.values()), "_total": _sum(list(scores.values()))}
     )
-    df = df.withColumns(
+    df = computed_once(
+        df,
         {
             "topic_detected": top.topic_label(scores, F.col("_best")),
             "topic_confidence": top.topic_confidence(F.col("_best"), F.col("_total")),
-        }
+        },
     )
     return df.drop("_best", "_total", *TOPIC_COLUMNS.values())
 
@@ -194,12 +193,13 @@ def score_topic(df: DataFrame, feedback: str, category: str | None = None) -> Da
         return df.withColumns({"topic": F.col("topic_detected"), "topic_source": F.lit("detected")})
     df = df.withColumn("_given", top.provided_category(F.col(category)))
     given = F.col("_given")
-    return df.withColumns(
+    return computed_once(
+        df,
         {
             "topic": F.coalesce(given, F.col("topic_detected")),
             "topic_confidence": F.when(given.isNotNull(), 98.0).otherwise(F.col("topic_confidence")),
             "topic_source": F.when(given.isNotNull(), "dataset").otherwise("detected"),
-        }
+        },
     ).drop("_given")
 
 
@@ -209,8 +209,8 @@ def score_topic(df: DataFrame, feedback: str, category: str | None = None) -> Da
 def issue_matches(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one BOOLEAN column per issue label."""
     df = df.withColumn("_text", folded_both(F.col(feedback)))
-    flags = {f"is_{_issue_slug(i)}": iss.matches_issue(F.col("_text"), i) for i in iss.ISSUE_PATTERNS}
-    return df.withColumns(flags).drop("_text")
+    flags = {f"is_{_issue_slug(i)}": iss.matches_issue(i) for i in iss.ISSUE_PATTERNS}
+    return computed_once(df, flags).drop("_text")
 
 
 def _issue_slug(label: str) -> str:
@@ -223,14 +223,15 @@ def score_issue(df: DataFrame, feedback: str) -> DataFrame:
     df = df.withColumn("_text", folded_both(F.col(feedback)))
     # A positive text reports no issue whatever it says, so its rules need not run.
     happy = F.coalesce(sentiment == "Positive", F.lit(False))
-    df = df.withColumn("_match", F.when(~happy, iss.first_match(F.col("_text"))))
+    df = df.withColumn("_match", F.when(~happy, iss.first_match()))
     match = F.col("_match")
-    return df.withColumns(
+    return computed_once(
+        df,
         {
             "detected_issue": iss.issue_label(match, sentiment),
             "issue_confidence": iss.issue_confidence(match, sentiment),
             "is_complaint": iss.is_complaint(match, sentiment),
-        }
+        },
     ).drop("_text", "_match")
 
 
@@ -248,12 +249,8 @@ def score_priority(df: DataFrame, feedback: str, rating: str | None = "rating")
 
     value = F.col(rating).try_cast("double") if rating and rating in df.columns else F.lit(5.0)
     df = df.withColumns({"_text": F.lower(F.col(feedback)), "_rating": value})
-    text = F.col("_text")
     df = df.withColumns(
-        {
-            "_urgency": pri.terms_found(text, URGENCY_TERMS),
-            "_impact": pri.terms_found(text, IMPACT_TERMS),
-        }
+        {"_urgency": pri.terms_found(URGENCY_TERMS), "_impact": pri.terms_found(IMPACT_TERMS)}
     )
     complaint = F.col("is_complaint") if "is_complaint" in df.columns else F.lit(False)
     labels = (
@@ -261,13 +258,13 @@ def score_priority(df: DataFrame, feedback: str, rating: str | None = "rating")
         label("detected_issue", ""),
     )
     urgency, impact, rating_value = F.col("_urgency"), F.col("_impact"), F.col("_rating")
-    df = df.withColumn(
-        "priority_score", pri.priority_score(*labels, urgency, impact, rating_value)
-    )
-    df = df.withColumns(
+    df = df.withColumn("_score", pri.priority_score(*labels, urgency, impact, rating_value))
+    df = computed_once(
+        df,
         {
-            "priority": pri.classify_priority(F.col("priority_score")),
-            "priority_reasons": pri.priority_reasons(*labels, text, urgency, impact, rating_value),
-        }
+            "priority_score": F.col("_score"),
+            "priority": pri.classify_priority(F.col("_score")),
+            "priority_reasons": pri.priority_reasons(*labels, urgency, impact, rating_value),
+        },
     )
-    return df.drop("_text", "_rating", "_urgency", "_impact")
+    return df.drop("_text", "_rating", "_urgency", "_impact", "_score")
