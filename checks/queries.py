@@ -28,7 +28,7 @@ from plaintide.operators import (
     vectors,
 )
 from plaintide.operators.frames import label_profile
-from plaintide.runtime import checkpoint_folder
+from plaintide.runtime import checkpoint_folder, cut_lineage
 from plaintide.sources import csv, tables
 
 ROLES = ColumnRoles(date="date", rating="rating", category="feedback_category")
@@ -56,14 +56,15 @@ def complaints(spark, sf) -> DataFrame:
 
 
 def complaint_texts(spark, sf) -> DataFrame:
-    return recurring.complaint_texts(complaints(spark, sf), ROLES)
+    """Written once, as the term and theme operators read it several times."""
+    return cut_lineage(recurring.complaint_texts(complaints(spark, sf), ROLES))
 
 
 def document_texts(spark, sf) -> DataFrame:
     """The distinct documents with at least two words, grouped by language."""
     docs = cleaning.clean_feedback(table(spark, sf, "documents"), "text")
     docs = cleaning.min_words(docs, "text").withColumnRenamed("lang", "issue_label")
-    return recurring.complaint_texts(docs, ColumnRoles(feedback="text", key="doc_id"))
+    return cut_lineage(recurring.complaint_texts(docs, ColumnRoles(feedback="text", key="doc_id")))
 
 
 # Sources, sinks and column roles
@@ -244,7 +245,7 @@ def ensemble_probabilities(spark, sf):
 
 
 def text_model_confusion(spark, sf):
-    rows = training_rows(spark, sf)
+    rows = cut_lineage(training_rows(spark, sf))
     trained = model.train_text_model(rows)
     scored = trained.with_probabilities(rows, "text", "p")
     return scored.groupBy("label", model.predicted_label(F.col("p")).alias("predicted")).agg(
@@ -254,8 +255,7 @@ def text_model_confusion(spark, sf):
 
 def text_model_labels(spark, sf):
     """The analysis' sentiment with the trained model and the lexicon together."""
-    rows = training_rows(spark, sf)
-    trained = model.train_text_model(rows)
+    trained = model.train_text_model(cut_lineage(training_rows(spark, sf)))
     df = lexicon.with_lexicon_probabilities(cleaned(spark, sf), TEXT, "l")
     df = trained.with_probabilities(df, TEXT, "m")
     df = scoring.with_keyword_probabilities(df, TEXT, "k")
@@ -645,7 +645,7 @@ def distinct_topics(spark, sf):
     return report.distinct_topics(enriched(spark, sf))
 
 
-HELPERS = {"cleaned", "enriched", "profile", "analysis", "complaints", "complaint_texts",
+HELPERS = {"cut_lineage", "cleaned", "enriched", "profile", "analysis", "complaints", "complaint_texts",
            "document_texts", "feedback", "table", "enrich", "analyze", "label_profile",
            "checkpoint_folder", "clean_text", "word_count"}
 

@@ -15,12 +15,14 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     Spark pushes a filter on a plain computed column below it by repeating the expression, which for
     a scorer means to score every row again, at a plan size that multiplies with every step. The
-    output of a generator is not pushed through, so the columns go through a one-row generator.
+    output of a generator is not pushed through, so the finished columns pass a one-row generator.
     """
+    hidden = {name: f"_new_{i}" for i, name in enumerate(columns)}
+    computed = df.withColumns({hidden[name]: column for name, column in columns.items()})
     kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[expression.alias(name) for name, expression in columns.items()])
+    row = F.struct(*[F.col(hidden[name]).alias(name) for name in columns])
     order = [*df.columns, *[c for c in columns if c not in df.columns]]
-    return df.select(*kept, F.inline_outer(F.array(row))).select(*order)
+    return computed.select(*kept, F.inline_outer(F.array(row))).select(*order)
 
 
 def row_weight(df: DataFrame) -> Column:
