@@ -214,9 +214,8 @@ def lexicon_sentiment(spark, sf):
 
 
 def lexicon_labels(spark, sf):
-    scored = scoring.score_sentiment(
-        cleaned(spark, sf), TEXT, text_probabilities=lexicon.with_lexicon_probabilities
-    )
+    df = lexicon.with_lexicon_probabilities(cleaned(spark, sf), TEXT, "probs")
+    scored = scoring.score_sentiment(df, TEXT, probabilities="probs")
     return scored.select("feedback_id", "sentiment", "sentiment_confidence")
 
 

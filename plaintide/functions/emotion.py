@@ -16,7 +16,8 @@ from plaintide.rules.emotion import (
     POSITIVE_EMOTIONS,
 )
 
-GROUPS = {e: KeywordGroup(terms, APOSTROPHE_EDGES) for e, terms in EMOTION_KEYWORDS.items()}
+HITS = "_emotion_hits"
+GROUPS = {e: KeywordGroup(terms, APOSTROPHE_EDGES, HITS) for e, terms in EMOTION_KEYWORDS.items()}
 
 
 def spaced_words(words: Column) -> Column:

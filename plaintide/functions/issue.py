@@ -10,17 +10,17 @@ from plaintide.rules.issue import ANY_ISSUE, ISSUE_HINTS, ISSUE_PATTERNS, NO_ISS
 
 
 def _matches(label: str) -> str:
-    hinted = " OR ".join(f"contains(_text, {text(hint)})" for hint in ISSUE_HINTS[label])
-    return f"({hinted}) AND rlike(_text, {text('(?Ud)' + ISSUE_PATTERNS[label])})"
+    hinted = " OR ".join(f"contains(_issue_text, {text(hint)})" for hint in ISSUE_HINTS[label])
+    return f"({hinted}) AND rlike(_issue_text, {text('(?Ud)' + ISSUE_PATTERNS[label])})"
 
 
 def matches_issue(label: str) -> Column:
-    """Whether the normalised `_text` matches the label's rule; the regex only runs on a hint."""
+    """Whether the normalised `_issue_text` matches the label's rule; the regex only runs on a hint."""
     return F.expr(_matches(label))
 
 
 def first_match() -> Column:
-    """The first label in rule order that `_text` matches; later rules are not evaluated."""
+    """The first label in rule order that `_issue_text` matches; later rules are not evaluated."""
     tests = [f"if({_matches(label)}, {text(label)}, NULL)" for label in ISSUE_PATTERNS]
     return F.expr(f"coalesce({', '.join(tests)})")
 

@@ -41,7 +41,7 @@ def words_of(text: Column) -> Column:
     return F.transform(parts, stripped)
 
 
-def _is_upper(word: Column) -> Column:
+def is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
@@ -65,7 +65,7 @@ def word_facts(words: Column, lexicon: dict[str, float]) -> Column:
             lower.isin(known).alias("known"),
             degree.alias("degree"),
             (lower.isin(NEGATION_WORDS) | lower.contains("n't")).alias("negates"),
-            _is_upper(word).alias("upper"),
+            is_upper(word).alias("upper"),
             (lower == "but").alias("but"),
         )
 
@@ -74,8 +74,8 @@ def word_facts(words: Column, lexicon: dict[str, float]) -> Column:
 
 def valence_sum(facts: Column, mixed_case: Column) -> Column:
     """Sum of the word valences in context."""
-    positions = F.filter(
-        F.sequence(F.lit(1), F.size(facts)), lambda i: F.element_at(facts, i)["valence"] != 0
+    positions = F.array_compact(
+        F.transform(facts, lambda word, i: F.when(word["valence"] != 0, i + 1))
     )
     but_at = F.array_position(F.transform(facts, lambda w: w["but"]), True)
 

@@ -5,8 +5,8 @@ keywords, or begin one, and the labels then only look at those. A phrase is sear
 its first word is among them; its edges need a regular expression, which runs only where the phrase
 occurs as a substring. Texts are expected with single spaces.
 
-The expressions are SQL text over the columns `_text` and `_hits`, as they come to hundreds of terms
-and a Column takes a call to the JVM per node.
+The expressions are SQL text over the column `_text` and a column of hits, as they come to hundreds
+of terms and a Column takes a call to the JVM per node.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ def texts(values) -> str:
 class KeywordGroup:
     """The terms of one label."""
 
-    def __init__(self, specs: list[str], edges: Edges):
+    def __init__(self, specs: list[str], edges: Edges, hits: str):
+        self.hits = hits
         terms = [parse_term(spec) for spec in specs]
         self.edges = edges
         self.words = [t for t in terms if t.is_word]
@@ -90,20 +91,20 @@ class KeywordGroup:
     def weighted_hits(self) -> Column:
         """Sum of the weights of the terms found; BIGINT."""
         by_weight = _grouped({t.text: t.weight for t in self.words})
-        parts = [f"size({_among(words)}) * {weight}" for weight, words in by_weight.items()]
+        parts = [f"size({self._among(words)}) * {weight}" for weight, words in by_weight.items()]
         parts += self._others(lambda t: str(t.weight), "0")
         return F.expr(" + ".join(parts)).cast("bigint")
 
     def count_hits(self) -> Column:
         """Number of listed terms found; a term listed twice counts twice. BIGINT."""
-        parts = [f"size({_among(words)}) * {n}" for n, words in self._words_by_times().items()]
+        parts = [f"size({self._among(words)}) * {n}" for n, words in self._words_by_times().items()]
         parts += self._others(lambda t: "1", "0")
         return F.expr(" + ".join(parts)).cast("bigint")
 
     def boosted_hits(self, boost: Callable[[str], str]) -> Column:
         """Sum of `boost(first word)`, itself SQL, over the terms found; DOUBLE."""
         parts = [
-            f"aggregate({_among(words)}, 0D, (total, t) -> total + {boost('t')}) * {n}D"
+            f"aggregate({self._among(words)}, 0D, (total, t) -> total + {boost('t')}) * {n}D"
             for n, words in self._words_by_times().items()
         ]
         parts += self._others(lambda t: boost(text(t.first_word)), "0D")
@@ -119,10 +120,13 @@ class KeywordGroup:
         for token, terms in by_token.items():
             found = " + ".join(f"if({self._matches(t)}, {value(t)}, {zero})" for t in terms)
             if token is not None:
-                found = f"if(array_contains(_hits, {text(token)}), {found}, {zero})"
+                found = f"if(array_contains({self.hits}, {text(token)}), {found}, {zero})"
             parts.append(found)
         return parts
 
+    def _among(self, words: list[str]) -> str:
+        return f"filter({self.hits}, t -> t IN ({texts(words)}))"
+
     def _matches(self, term: Term) -> str:
         return f"contains(_text, {text(term.text)}) AND rlike(_text, {text(self.edges.pattern(term))})"
 
@@ -130,10 +134,10 @@ class KeywordGroup:
         return _grouped(Counter(t.text for t in self.words))
 
 
-def keyword_hits(groups: list[KeywordGroup]) -> Column:
-    """The distinct tokens in `_words` that are, or begin, a term of any group."""
+def keyword_hits(words: str, groups: list[KeywordGroup]) -> Column:
+    """The distinct tokens in the column `words` that are, or begin, a term of any group."""
     vocabulary = sorted(set().union(*[group.tokens for group in groups]))
-    return F.expr(f"array_distinct(filter(_words, t -> t IN ({texts(vocabulary)})))")
+    return F.expr(f"array_distinct(filter({words}, t -> t IN ({texts(vocabulary)})))")
 
 
 def first_best(scores: dict[str, Column], best: Column) -> Column:
@@ -141,10 +145,6 @@ def first_best(scores: dict[str, Column], best: Column) -> Column:
     return F.coalesce(*[F.when(score == best, F.lit(label)) for label, score in scores.items()])
 
 
-def _among(words: list[str]) -> str:
-    return f"filter(_hits, t -> t IN ({texts(words)}))"
-
-
 def _grouped(numbers: dict[str, int]) -> dict[int, list[str]]:
     grouped: dict[int, list[str]] = {}
     for word, number in numbers.items():

@@ -25,12 +25,12 @@ def points(label: Column, table: dict[str, int]) -> Column:
 
 
 def terms_found(terms: list[str]) -> Column:
-    """How many of the terms occur anywhere in the lower-cased `_text`."""
-    return F.expr(" + ".join(f"int(contains(_text, {text(t)}))" for t in terms))
+    """How many of the terms occur anywhere in the lower-cased `_lower_text`."""
+    return F.expr(" + ".join(f"int(contains(_lower_text, {text(t)}))" for t in terms))
 
 
 def first_terms(terms: list[str], n: int = 2) -> Column:
-    found = ", ".join(f"if(contains(_text, {text(t)}), {text(t)}, NULL)" for t in terms)
+    found = ", ".join(f"if(contains(_lower_text, {text(t)}), {text(t)}, NULL)" for t in terms)
     return F.expr(f"array_join(slice(array_compact(array({found})), 1, {n}), ', ')")
 
 

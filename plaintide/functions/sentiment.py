@@ -32,9 +32,9 @@ def keyword_words(text: Column) -> Column:
 
 
 def keyword_counts() -> tuple[Column, Column]:
-    """How many positive and negative words are in `_words`."""
+    """How many positive and negative words are in `_plain_words`."""
     positive, negative = (
-        F.expr(f"size(filter(_words, w -> w IN ({texts(words)})))")
+        F.expr(f"size(filter(_plain_words, w -> w IN ({texts(words)})))")
         for words in (POSITIVE_WORDS, NEGATIVE_WORDS)
     )
     return positive, negative

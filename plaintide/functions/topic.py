@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from plaintide.functions.matching import WORD_EDGES, KeywordGroup, first_best
 from plaintide.rules.topic import TOPIC_KEYWORDS
 
-GROUPS = {topic: KeywordGroup(terms, WORD_EDGES) for topic, terms in TOPIC_KEYWORDS.items()}
+HITS = "_topic_hits"
+GROUPS = {topic: KeywordGroup(terms, WORD_EDGES, HITS) for topic, terms in TOPIC_KEYWORDS.items()}
 
 
 def topic_label(scores: dict[str, Column], best: Column) -> Column:

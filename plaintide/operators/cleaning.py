@@ -39,7 +39,10 @@ def drop_missing(df: DataFrame, feedback: str) -> DataFrame:
 
 
 def clean_feedback(df: DataFrame, feedback: str) -> DataFrame:
-    return computed_once(df, {feedback: clean_text(F.col(feedback).cast("string"))})
+    cleaned = computed_once(
+        df, [{"_clean": clean_text(F.col(feedback).cast("string"))}], ["_clean"]
+    )
+    return cleaned.select(*[F.col("_clean").alias(c) if c == feedback else c for c in df.columns])
 
 
 def drop_empty(df: DataFrame, feedback: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +12,31 @@ from pyspark.sql import functions as F
 WEIGHT = "_rows"
 
 
-def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """`withColumns` whose results later steps read but never recompute.
+def computed_once(
+    df: DataFrame, layers: list[dict[str, Column]], outputs: list[str]
+) -> DataFrame:
+    """Adds the `outputs` among the columns that `layers` compute, one projection per layer.
 
-    Spark pushes a filter on a plain computed column below it by repeating the expression, which for
-    a scorer means to score every row again, at a plan size that multiplies with every step. The
-    output of a generator is not pushed through, so the finished columns pass a one-row generator.
+    A layer reads the columns of the layers before it, so each value is computed once however many
+    expressions use it. Spark pushes a filter on a computed column below it by repeating the
+    expression, which for a scorer means to score every row again, at a plan size that multiplies
+    with every layer. The output of a generator is not pushed through, so the finished columns pass a
+    one-row generator.
     """
-    hidden = {name: f"_new_{i}" for i, name in enumerate(columns)}
-    computed = df.withColumns({hidden[name]: column for name, column in columns.items()})
-    kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[F.col(hidden[name]).alias(name) for name in columns])
-    order = [*df.columns, *[c for c in columns if c not in df.columns]]
-    return computed.select(*kept, F.inline_outer(F.array(row))).select(*order)
+    scored = df
+    for layer in layers:
+        scored = scored.select("*", *[column.alias(name) for name, column in layer.items()])
+    kept = [c for c in df.columns if c not in outputs]
+    row = F.struct(*[F.col(n) for n in outputs])
+    return scored.select(*kept, F.inline_outer(F.array(row)))
+
+
+def merged(*chains: list[dict[str, Column]]) -> list[dict[str, Column]]:
+    """Layer lists side by side: the first layers of all of them, then the second ones, ..."""
+    return [
+        {name: column for layer in level if layer for name, column in layer.items()}
+        for level in zip_longest(*chains)
+    ]
 
 
 def row_weight(df: DataFrame) -> Column:

@@ -14,21 +14,21 @@ def with_compound(
     df: DataFrame, feedback: str, lexicon: dict[str, float] | None = None, name: str = "compound"
 ) -> DataFrame:
     """Adds the compound score in [-1, 1]; a projection, so it works on streams too."""
-    df = df.withColumn("_words", lex.words_of(F.col(feedback)))
-    upper = F.size(F.filter("_words", lex._is_upper))
-    df = df.withColumns(
+    words, facts = F.col("_valence_words"), F.col("_facts")
+    upper = F.size(F.filter(words, lex.is_upper))
+    layers = [
+        {"_valence_words": lex.words_of(F.col(feedback))},
         {
-            "_facts": lex.word_facts(F.col("_words"), lexicon or lex.seed_lexicon()),
-            "_mixed": (upper > 0) & (upper < F.size("_words")),
-        }
-    ).drop("_words")
-    df = df.withColumn("_sum", lex.valence_sum(F.col("_facts"), F.col("_mixed")))
-    emphasis = lex.punctuation_emphasis(F.col(feedback))
-    scored = computed_once(df, {name: lex.compound(F.col("_sum"), emphasis)})
-    return scored.drop("_facts", "_mixed", "_sum")
+            "_facts": lex.word_facts(words, lexicon or lex.seed_lexicon()),
+            "_mixed": (upper > 0) & (upper < F.size(words)),
+        },
+        {"_sum": lex.valence_sum(facts, F.col("_mixed"))},
+        {name: lex.compound(F.col("_sum"), lex.punctuation_emphasis(F.col(feedback)))},
+    ]
+    return computed_once(df, layers, [name])
 
 
 def with_lexicon_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
-    """Class probabilities by the seed lexicon, for `score_sentiment`."""
+    """Adds the class probabilities by the seed lexicon as a struct, for `score_sentiment`."""
     scored = with_compound(df, feedback, name="_compound")
     return scored.withColumn(name, compound_to_probabilities(F.col("_compound"))).drop("_compound")

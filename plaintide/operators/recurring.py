@@ -30,9 +30,12 @@ def with_issue(df: DataFrame, feedback: str) -> DataFrame:
     """Adds `issue_label`: the detected issue, or the one the text would get as a negative one."""
     if "detected_issue" in df.columns:
         return df.withColumn("issue_label", F.col("detected_issue"))
-    matched = df.withColumn("_text", folded_both(F.col(feedback))).withColumn("_match", iss.first_match())
-    label = iss.issue_label(F.col("_match"), F.lit("Negative"))
-    return computed_once(matched, {"issue_label": label}).drop("_text", "_match")
+    layers = [
+        {"_issue_text": folded_both(F.col(feedback))},
+        {"_match": iss.first_match()},
+        {"issue_label": iss.issue_label(F.col("_match"), F.lit("Negative"))},
+    ]
+    return computed_once(df, layers, ["issue_label"])
 
 
 def complaint_rows(df: DataFrame, feedback: str) -> DataFrame:

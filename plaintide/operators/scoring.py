@@ -1,12 +1,12 @@
 """Row scorers: sentiment, emotion, topic, issue and priority.
 
-Every scorer is a chain of row-by-row steps without a shuffle. Intermediate values get a column of
-their own, so each is computed once however many expressions read it.
+Every scorer is a list of layers, each a set of columns computed from the ones before, and needs no
+shuffle. `score_all` runs the layers of all scorers side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,66 +18,95 @@ from plaintide.functions import sentiment as sen
 from plaintide.functions import topic as top
 from plaintide.functions.matching import keyword_hits
 from plaintide.functions.text import WORD, WORD_OR_APOSTROPHE, folded, folded_both, single_spaced, tokens
-from plaintide.operators.frames import computed_once
+from plaintide.operators.frames import computed_once, merged
 from plaintide.rules.priority import IMPACT_TERMS, URGENCY_TERMS
 
+Layers = list[dict[str, Column]]
+
+SENTIMENT = ["sentiment", "sentiment_confidence", "sentiment_source"]
+EMOTION = ["emotion", "emotion_confidence"]
+TOPIC = ["topic_detected", "topic", "topic_confidence", "topic_source"]
+ISSUE = ["detected_issue", "issue_confidence", "is_complaint"]
+PRIORITY = ["priority", "priority_score", "priority_reasons"]
+
 
 def _slug(label: str) -> str:
-    return label.lower().replace(" ", "_").replace("/", "_")
+    return "_".join(label.lower().replace("/", " ").split())
 
 
-def _sum(columns: list[Column]) -> Column:
-    total = columns[0]
-    for column in columns[1:]:
-        total = total + column
-    return total
+def _sum(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _nothing(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
 # Sentiment
 
 
-def with_keyword_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
+def keyword_layers(feedback: str, name: str) -> Layers:
     positive, negative = sen.keyword_counts()
-    counted = df.withColumn("_words", sen.keyword_words(F.col(feedback))).withColumns(
-        {"_positive": positive, "_negative": negative}
-    )
-    probs = sen.keyword_probabilities(F.col("_positive"), F.col("_negative"))
-    return counted.withColumn(name, probs).drop("_words", "_positive", "_negative")
+    return [
+        {"_plain_words": sen.keyword_words(F.col(feedback))},
+        {"_positive": positive, "_negative": negative},
+        {name: sen.keyword_probabilities(F.col("_positive"), F.col("_negative"))},
+    ]
+
+
+def with_keyword_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
+    """Adds the class probabilities of the keyword scorer as a struct."""
+    return computed_once(df, keyword_layers(feedback, name), [name])
+
+
+def sentiment_layers(feedback: str, rating: str | None, probabilities: str | None) -> Layers:
+    name = probabilities or "_probs"
+    text, probs = F.col(feedback), F.col(name)
+    rated = sen.rating_to_sentiment(F.col(rating)) if rating else _nothing("string")
+    label, known = F.col("_label"), F.col("_rated")
+    return [
+        *([] if probabilities else keyword_layers(feedback, name)),
+        {
+            "_label": sen.text_label(text, probs),
+            "_label_confidence": sen.text_confidence(text, probs),
+            "_rated": rated,
+        },
+        {
+            "_sentiment": F.coalesce(known, label),
+            "_sentiment_confidence": F.when(known.isNull(), F.col("_label_confidence"))
+            .when(known == label, 95.0)
+            .otherwise(80.0),
+            "_sentiment_source": F.when(known.isNull(), "text").otherwise("rating"),
+        },
+    ]
+
+
+def _with_provided(df: DataFrame) -> DataFrame:
+    """A `sentiment` column that is already there is kept as `sentiment_provided`."""
+    if "sentiment" not in df.columns:
+        return df
+    return df.withColumn("sentiment_provided", F.col("sentiment")).drop("sentiment")
+
+
+def _present(df: DataFrame, column: str | None) -> str | None:
+    return column if column and column in df.columns else None
+
+
+def _public(names: list[str]) -> dict[str, Column]:
+    return {name: F.col(f"_{name}") for name in names}
 
 
 def score_sentiment(
-    df: DataFrame,
-    feedback: str,
-    rating: str | None = None,
-    text_probabilities: Callable[[DataFrame, str, str], DataFrame] = with_keyword_probabilities,
+    df: DataFrame, feedback: str, rating: str | None = None, probabilities: str | None = None
 ) -> DataFrame:
     """Adds sentiment, its confidence and its source; a usable rating wins over the text.
 
-    `text_probabilities(df, feedback, name)` adds the class probabilities of the text as a struct;
-    a `sentiment` column that is already there is kept as `sentiment_provided`.
+    `probabilities` names a struct column with the class probabilities of the text; without it the
+    keyword scorer gives them.
     """
-    if "sentiment" in df.columns:
-        df = df.withColumn("sentiment_provided", F.col("sentiment"))
-    text, probs = F.col(feedback), F.col("_probs")
-    df = text_probabilities(df, feedback, "_probs").withColumns(
-        {"_label": sen.text_label(text, probs), "_confidence": sen.text_confidence(text, probs)}
-    )
-    if rating and rating in df.columns:
-        df = df.withColumn("_rated", sen.rating_to_sentiment(F.col(rating)))
-    else:
-        df = df.withColumn("_rated", F.lit(None).cast("string"))
-    rated, label = F.col("_rated"), F.col("_label")
-    df = computed_once(
-        df,
-        {
-            "sentiment": F.coalesce(rated, label),
-            "sentiment_confidence": F.when(rated.isNull(), F.col("_confidence"))
-            .when(rated == label, 95.0)
-            .otherwise(80.0),
-            "sentiment_source": F.when(rated.isNull(), "text").otherwise("rating"),
-        },
-    )
-    return df.drop("_probs", "_label", "_confidence", "_rated")
+    df = _with_provided(df)
+    layers = sentiment_layers(feedback, _present(df, rating), probabilities)
+    return computed_once(df, [*layers, _public(SENTIMENT)], SENTIMENT)
 
 
 def sentiment_agreement(df: DataFrame) -> DataFrame:
@@ -92,66 +121,80 @@ def sentiment_agreement(df: DataFrame) -> DataFrame:
 EMOTION_COLUMNS = {e: f"_emotion_{_slug(e)}" for e in emo.GROUPS}
 
 
-def _with_emotion_words(df: DataFrame, feedback: str) -> DataFrame:
-    df = df.withColumn("_folded", folded(F.col(feedback)))
-    df = df.withColumn("_text", single_spaced(F.col("_folded"))).drop("_folded")
-    df = df.withColumn("_words", tokens(F.col("_text"), WORD_OR_APOSTROPHE))
-    return df.withColumns(
+def _text_layer(feedback: str) -> dict[str, Column]:
+    return {"_text": single_spaced(folded(F.col(feedback)))}
+
+
+def _emotion_word_layers(feedback: str) -> Layers:
+    text, words = F.col("_text"), F.col("_emotion_words")
+    return [
+        _text_layer(feedback),
+        {"_emotion_words": tokens(text, WORD_OR_APOSTROPHE), "_negated": emo.has_negation(text)},
         {
-            "_hits": keyword_hits(list(emo.GROUPS.values())),
-            "_spaced": emo.spaced_words(F.col("_words")),
-            "_negated": emo.has_negation(F.col("_text")),
-        }
-    ).drop("_words")
+            emo.HITS: keyword_hits("_emotion_words", list(emo.GROUPS.values())),
+            "_spaced": emo.spaced_words(words),
+        },
+    ]
 
 
 def emotion_keyword_hits(df: DataFrame, feedback: str) -> DataFrame:
     """Adds `hits_<emotion>`, the number of listed keywords found, and its boosted sum."""
-    df = _with_emotion_words(df, feedback)
     counted = {f"hits_{_slug(e)}": g.count_hits() for e, g in emo.GROUPS.items()}
     boosted = {f"boosted_{_slug(e)}": g.boosted_hits(emo.boost) for e, g in emo.GROUPS.items()}
-    return computed_once(df, {**counted, **boosted}).drop("_text", "_hits", "_spaced", "_negated")
+    layers = [*_emotion_word_layers(feedback), {**counted, **boosted}]
+    return computed_once(df, layers, [*counted, *boosted])
 
 
-def with_emotion_scores(df: DataFrame, feedback: str) -> DataFrame:
-    """Adds one score column per emotion (EMOTION_COLUMNS)."""
-    df = _with_emotion_words(df, feedback)
+def emotion_score_layers(feedback: str) -> Layers:
     scores = {
         EMOTION_COLUMNS[e]: emo.emotion_score(e, g.boosted_hits(emo.boost), F.col("_negated"))
         for e, g in emo.GROUPS.items()
     }
-    return computed_once(df, scores).drop("_text", "_hits", "_spaced", "_negated")
+    return [*_emotion_word_layers(feedback), scores]
 
 
-def detect_emotion(df: DataFrame, feedback: str) -> DataFrame:
-    """Adds emotion and emotion_confidence from the text alone."""
-    df = with_emotion_scores(df, feedback)
+def with_emotion_scores(df: DataFrame, feedback: str) -> DataFrame:
+    """Adds one score column per emotion (EMOTION_COLUMNS)."""
+    return computed_once(df, emotion_score_layers(feedback), list(EMOTION_COLUMNS.values()))
+
+
+def emotion_layers(feedback: str) -> Layers:
     scores = {e: F.col(c) for e, c in EMOTION_COLUMNS.items()}
-    df = df.withColumns(
-        {"_best": F.greatest(*scores.values()), "_total": _sum(list(scores.values()))}
-    )
-    text = F.col(feedback)
-    df = computed_once(
-        df,
+    text, best, total = F.col(feedback), F.col("_emotion_best"), F.col("_emotion_total")
+    return [
+        *emotion_score_layers(feedback),
+        {"_emotion_best": F.greatest(*scores.values()), "_emotion_total": _sum(scores.values())},
         {
-            "emotion": emo.emotion_label(text, scores, F.col("_best")),
-            "emotion_confidence": emo.emotion_confidence(text, F.col("_best"), F.col("_total")),
+            "_raw_emotion": emo.emotion_label(text, scores, best),
+            "_raw_confidence": emo.emotion_confidence(text, best, total),
         },
-    )
-    return df.drop("_best", "_total", *EMOTION_COLUMNS.values())
+    ]
+
+
+def _reconciled_layer(emotion: str, confidence: str, sentiment: str) -> dict[str, Column]:
+    label, sure = emo.reconciled(F.col(emotion), F.col(confidence), F.col(sentiment))
+    return {"_emotion": label, "_emotion_confidence": sure}
+
+
+def detect_emotion(df: DataFrame, feedback: str) -> DataFrame:
+    """Adds emotion and emotion_confidence from the text alone."""
+    named = {"emotion": F.col("_raw_emotion"), "emotion_confidence": F.col("_raw_confidence")}
+    return computed_once(df, [*emotion_layers(feedback), named], EMOTION)
 
 
 def reconcile_emotion(df: DataFrame) -> DataFrame:
-    label, confidence = emo.reconciled(
-        F.col("emotion"), F.col("emotion_confidence"), F.col("sentiment")
-    )
-    return computed_once(df, {"emotion": label, "emotion_confidence": confidence})
+    """Brings the emotion of scored rows in line with their sentiment."""
+    layer = _reconciled_layer("emotion", "emotion_confidence", "sentiment")
+    fixed = computed_once(df, [layer], ["_emotion", "_emotion_confidence"])
+    return fixed.drop(*EMOTION).withColumnsRenamed({f"_{name}": name for name in EMOTION})
 
 
 def score_emotion(df: DataFrame, feedback: str) -> DataFrame:
     """Emotion of the text, in line with the sentiment where there is one."""
-    df = detect_emotion(df, feedback)
-    return reconcile_emotion(df) if "sentiment" in df.columns else df
+    if "sentiment" not in df.columns:
+        return detect_emotion(df, feedback)
+    fixed = _reconciled_layer("_raw_emotion", "_raw_confidence", "sentiment")
+    return computed_once(df, [*emotion_layers(feedback), fixed, _public(EMOTION)], EMOTION)
 
 
 # Topic
@@ -159,48 +202,54 @@ def score_emotion(df: DataFrame, feedback: str) -> DataFrame:
 TOPIC_COLUMNS = {t: f"score_{_slug(t)}" for t in top.GROUPS}
 
 
+def topic_score_layers(feedback: str) -> Layers:
+    return [
+        _text_layer(feedback),
+        {"_topic_words": tokens(F.col("_text"), WORD)},
+        {top.HITS: keyword_hits("_topic_words", list(top.GROUPS.values()))},
+        {TOPIC_COLUMNS[t]: g.weighted_hits() for t, g in top.GROUPS.items()},
+    ]
+
+
 def topic_scores(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one BIGINT score column per topic (TOPIC_COLUMNS)."""
-    df = df.withColumn("_folded", folded(F.col(feedback)))
-    df = df.withColumn("_text", single_spaced(F.col("_folded"))).drop("_folded")
-    df = df.withColumn("_words", tokens(F.col("_text"), WORD))
-    df = df.withColumn("_hits", keyword_hits(list(top.GROUPS.values()))).drop("_words")
-    scores = {TOPIC_COLUMNS[t]: g.weighted_hits() for t, g in top.GROUPS.items()}
-    return computed_once(df, scores).drop("_text", "_hits")
+    return computed_once(df, topic_score_layers(feedback), list(TOPIC_COLUMNS.values()))
 
 
-def detect_topic(df: DataFrame, feedback: str) -> DataFrame:
-    """Adds topic_detected and topic_confidence from the text."""
-    df = topic_scores(df, feedback)
+def topic_layers(feedback: str, category: str | None) -> Layers:
     scores = {t: F.col(c) for t, c in TOPIC_COLUMNS.items()}
-    df = df.withColumns(
-        {"_best": F.greatest(*scores.values()), "_total": _sum(list(scores.values()))}
-    )
-    df = computed_once(
-        df,
+    best, total = F.col("_topic_best"), F.col("_topic_total")
+    given = F.col("_given")
+    return [
+        *topic_score_layers(feedback),
         {
-            "topic_detected": top.topic_label(scores, F.col("_best")),
-            "topic_confidence": top.topic_confidence(F.col("_best"), F.col("_total")),
+            "_topic_best": F.greatest(*scores.values()),
+            "_topic_total": _sum(scores.values()),
+            "_given": top.provided_category(F.col(category)) if category else _nothing("string"),
         },
-    )
-    return df.drop("_best", "_total", *TOPIC_COLUMNS.values())
+        {
+            "_topic_detected": top.topic_label(scores, best),
+            "_detected_confidence": top.topic_confidence(best, total),
+        },
+        {
+            "_topic": F.coalesce(given, F.col("_topic_detected")),
+            "_topic_confidence": F.when(given.isNotNull(), 98.0).otherwise(
+                F.col("_detected_confidence")
+            ),
+            "_topic_source": F.when(given.isNotNull(), "dataset").otherwise("detected"),
+        },
+    ]
 
 
 def score_topic(df: DataFrame, feedback: str, category: str | None = None) -> DataFrame:
     """Adds the topic columns; a category given in the data wins over the detected topic."""
-    df = detect_topic(df, feedback)
-    if not category or category not in df.columns:
-        return df.withColumns({"topic": F.col("topic_detected"), "topic_source": F.lit("detected")})
-    df = df.withColumn("_given", top.provided_category(F.col(category)))
-    given = F.col("_given")
-    return computed_once(
-        df,
-        {
-            "topic": F.coalesce(given, F.col("topic_detected")),
-            "topic_confidence": F.when(given.isNotNull(), 98.0).otherwise(F.col("topic_confidence")),
-            "topic_source": F.when(given.isNotNull(), "dataset").otherwise("detected"),
-        },
-    ).drop("_given")
+    layers = topic_layers(feedback, _present(df, category))
+    return computed_once(df, [*layers, _public(TOPIC)], TOPIC)
+
+
+def detect_topic(df: DataFrame, feedback: str) -> DataFrame:
+    """Adds topic_detected and topic_confidence from the text."""
+    return score_topic(df, feedback).drop("topic", "topic_source")
 
 
 # Issue
@@ -208,63 +257,117 @@ def score_topic(df: DataFrame, feedback: str, category: str | None = None) -> Da
 
 def issue_matches(df: DataFrame, feedback: str) -> DataFrame:
     """Adds one BOOLEAN column per issue label."""
-    df = df.withColumn("_text", folded_both(F.col(feedback)))
-    flags = {f"is_{_issue_slug(i)}": iss.matches_issue(i) for i in iss.ISSUE_PATTERNS}
-    return computed_once(df, flags).drop("_text")
-
+    flags = {f"is_{_slug(i)}": iss.matches_issue(i) for i in iss.ISSUE_PATTERNS}
+    return computed_once(df, [{"_issue_text": folded_both(F.col(feedback))}, flags], list(flags))
 
-def _issue_slug(label: str) -> str:
-    return "_".join(label.lower().replace("/", " ").split())
 
-
-def score_issue(df: DataFrame, feedback: str) -> DataFrame:
-    """Adds detected_issue, issue_confidence and is_complaint."""
-    sentiment = F.col("sentiment") if "sentiment" in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("_text", folded_both(F.col(feedback)))
+def issue_layers(feedback: str, sentiment: Column) -> Layers:
     # A positive text reports no issue whatever it says, so its rules need not run.
     happy = F.coalesce(sentiment == "Positive", F.lit(False))
-    df = df.withColumn("_match", F.when(~happy, iss.first_match()))
     match = F.col("_match")
-    return computed_once(
-        df,
+    return [
+        {"_issue_text": folded_both(F.col(feedback))},
+        {"_match": F.when(~happy, iss.first_match())},
         {
-            "detected_issue": iss.issue_label(match, sentiment),
-            "issue_confidence": iss.issue_confidence(match, sentiment),
-            "is_complaint": iss.is_complaint(match, sentiment),
+            "_detected_issue": iss.issue_label(match, sentiment),
+            "_issue_confidence": iss.issue_confidence(match, sentiment),
+            "_is_complaint": iss.is_complaint(match, sentiment),
         },
-    ).drop("_text", "_match")
+    ]
+
+
+def score_issue(df: DataFrame, feedback: str) -> DataFrame:
+    """Adds detected_issue, issue_confidence and is_complaint."""
+    sentiment = F.col("sentiment") if "sentiment" in df.columns else _nothing("string")
+    return computed_once(df, [*issue_layers(feedback, sentiment), _public(ISSUE)], ISSUE)
 
 
 # Priority
 
 
+def signal_layers(feedback: str, rating: str | None) -> Layers:
+    value = F.col(rating).try_cast("double") if rating else F.lit(5.0)
+    return [
+        {"_lower_text": F.lower(F.col(feedback)), "_points_rating": value},
+        {"_urgency": pri.terms_found(URGENCY_TERMS), "_impact": pri.terms_found(IMPACT_TERMS)},
+    ]
+
+
+def priority_layers(sentiment: Column, emotion: Column, complaint: Column, issue: Column) -> Layers:
+    labels = (sentiment, emotion, complaint, issue)
+    signals = (F.col("_urgency"), F.col("_impact"), F.col("_points_rating"))
+    return [
+        {"_priority_score": pri.priority_score(*labels, *signals)},
+        {
+            "_priority": pri.classify_priority(F.col("_priority_score")),
+            "_priority_reasons": pri.priority_reasons(*labels, *signals),
+        },
+    ]
+
+
 def score_priority(df: DataFrame, feedback: str, rating: str | None = "rating") -> DataFrame:
     """Adds priority, priority_score and priority_reasons.
 
     Points for a low rating come from the column named `rating` whatever the rating role is.
     """
 
-    def label(name: str, default: str) -> Column:
+    def label(name: str, default) -> Column:
         return F.col(name) if name in df.columns else F.lit(default)
 
-    value = F.col(rating).try_cast("double") if rating and rating in df.columns else F.lit(5.0)
-    df = df.withColumns({"_text": F.lower(F.col(feedback)), "_rating": value})
-    df = df.withColumns(
-        {"_urgency": pri.terms_found(URGENCY_TERMS), "_impact": pri.terms_found(IMPACT_TERMS)}
+    layers = [
+        *signal_layers(feedback, _present(df, rating)),
+        *priority_layers(
+            label("sentiment", "Neutral"), label("emotion", "Neutral"),
+            label("is_complaint", False), label("detected_issue", ""),
+        ),
+    ]
+    return computed_once(df, [*layers, _public(PRIORITY)], PRIORITY)
+
+
+# All of them
+
+
+def score_all(
+    df: DataFrame,
+    feedback: str,
+    rating: str | None = None,
+    category: str | None = None,
+    probabilities: str | None = None,
+) -> DataFrame:
+    """The same columns as all scorers in order, with their layers side by side."""
+    df = _with_provided(df)
+    sentiment = F.col("_sentiment")
+    before = merged(
+        sentiment_layers(feedback, _present(df, rating), probabilities),
+        emotion_layers(feedback),
+        topic_layers(feedback, _present(df, category)),
+        signal_layers(feedback, _present(df, "rating")),
     )
-    complaint = F.col("is_complaint") if "is_complaint" in df.columns else F.lit(False)
-    labels = (
-        label("sentiment", "Neutral"), label("emotion", "Neutral"), complaint,
-        label("detected_issue", ""),
+    issue = issue_layers(feedback, sentiment)
+    emotion = [_reconciled_layer("_raw_emotion", "_raw_confidence", "_sentiment")]
+    layers = [
+        *before,
+        *merged(issue, emotion),
+        *priority_layers(sentiment, F.col("_emotion"), F.col("_is_complaint"), F.col("_detected_issue")),
+    ]
+    names = [*SENTIMENT, *EMOTION, *TOPIC, *ISSUE, *PRIORITY]
+    return computed_once(df, [*layers, _public(names)], names)
+
+
+def score_text_only(df: DataFrame, feedback: str) -> DataFrame:
+    """Every scorer on the text alone: no rating, no category, no scorer knows another's result but
+    the priority."""
+    before = merged(
+        sentiment_layers(feedback, None, None),
+        emotion_layers(feedback),
+        topic_layers(feedback, None),
+        issue_layers(feedback, _nothing("string")),
+        signal_layers(feedback, None),
     )
-    urgency, impact, rating_value = F.col("_urgency"), F.col("_impact"), F.col("_rating")
-    df = df.withColumn("_score", pri.priority_score(*labels, urgency, impact, rating_value))
-    df = computed_once(
-        df,
-        {
-            "priority_score": F.col("_score"),
-            "priority": pri.classify_priority(F.col("_score")),
-            "priority_reasons": pri.priority_reasons(*labels, urgency, impact, rating_value),
-        },
+    priority = priority_layers(
+        F.col("_sentiment"), F.col("_raw_emotion"), F.col("_is_complaint"), F.col("_detected_issue")
     )
-    return df.drop("_text", "_rating", "_urgency", "_impact", "_score")
+    renamed = {"emotion": F.col("_raw_emotion"), "emotion_confidence": F.col("_raw_confidence")}
+    topic = ["topic", "topic_confidence"]
+    names = [*SENTIMENT[:2], *topic, *ISSUE, *PRIORITY]
+    return computed_once(df, [*before, *priority, {**_public(names), **renamed}], [*names, *EMOTION])

@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.operators.recommend import template
-from plaintide.operators.scoring import (
-    detect_emotion,
-    detect_topic,
-    score_issue,
-    score_priority,
-    score_sentiment,
-)
+from plaintide.operators.scoring import score_text_only
 
 
 def text_only_profile(df: DataFrame, text: str = "feedback", keep: list[str] = ()) -> DataFrame:
@@ -21,10 +15,7 @@ def text_only_profile(df: DataFrame, text: str = "feedback", keep: list[str] = (
     Unlike in the analysis of a table, the issue does not know the sentiment, the emotion is not
     reconciled with it and there is no rating.
     """
-    scored = score_issue(df.select(*keep, text), text)
-    scored = score_sentiment(scored, text).drop("sentiment_source")
-    scored = detect_topic(detect_emotion(scored, text), text)
-    scored = score_priority(scored.withColumnRenamed("topic_detected", "topic"), text, rating=None)
+    scored = score_text_only(df.select(*keep, text), text)
     action = template(F.col("detected_issue"))
     return scored.withColumn("_action", action).withColumns(
         {

@@ -37,12 +37,8 @@ def detect_roles(df: DataFrame, key: str = "feedback_id") -> ColumnRoles:
 
 
 def enrich(cleaned: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """All row scorers in order; projections only, so no shuffle."""
-    scored = scoring.score_sentiment(cleaned, roles.feedback, roles.rating)
-    scored = scoring.score_emotion(scored, roles.feedback)
-    scored = scoring.score_topic(scored, roles.feedback, roles.category)
-    scored = scoring.score_issue(scored, roles.feedback)
-    return scoring.score_priority(scored, roles.feedback)
+    """All row scorers; no shuffle."""
+    return scoring.score_all(cleaned, roles.feedback, roles.rating, roles.category)
 
 
 class Analysis:

@@ -140,7 +140,7 @@ ISSUE_HINTS = {
     ],
     "Order Cancellation": ["cancel"],
     "General Complaint": [
-        "experience", "disappointed", "dissatisfied", "underwhelming", "letdown", "let down",
+        "experience", "worst", "disappointed", "dissatisfied", "underwhelming", "letdown", "let down",
         "forgettable", "hassle", "recommend", "order", "purchase", "buy", "never",
     ],
 }

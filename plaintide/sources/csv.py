@@ -34,7 +34,7 @@ def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     found = spark.read.text(path).agg(
-        F.max(line.contains("�")).alias("broken"), F.max(quotes % 2 == 1).alias("open_quote")
+        F.max(~F.is_valid_utf8(line)).alias("broken"), F.max(quotes % 2 == 1).alias("open_quote")
     ).first()
     return ("ISO-8859-1" if found["broken"] else "UTF-8"), bool(found["open_quote"])
 
@@ -56,8 +56,8 @@ def read_feedback_csv(
         encoding = encoding or found_encoding
         multiline = found_multiline if multiline is None else multiline
     reader = spark.read.option("encoding", encoding)
-    head = [row[0] for row in reader.csv(path, sep="\0", quote="").limit(HEAD_LINES).collect()]
-    head = [line.lstrip("﻿") for line in head if line]
+    lines = reader.csv(path, sep="\0", quote="").limit(HEAD_LINES).collect()
+    head = [row[0].lstrip("\ufeff") for row in lines if row[0]]
     separator = separator or detect_separator(head)
     names = normalized_headers(next(csv.reader(head[:1], delimiter=separator)))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
