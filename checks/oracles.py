@@ -555,7 +555,7 @@ def _ensemble() -> str:
     first, second = normalised("(rating / 3 - 1)"), normalised("((customer_id % 201)::DOUBLE / 100 - 1)")
     columns = [
         f"round_even(CASE WHEN rating IS NOT NULL AND channel IS NOT NULL THEN 0.7::DOUBLE * ({m}) + 0.3::DOUBLE * ({x}) "
-        f"WHEN rating IS NOT NULL THEN {m} WHEN channel IS NOT NULL THEN {x} ELSE kw.{c} END, 9) AS {c}"
+        f"WHEN rating IS NOT NULL THEN {m} WHEN channel IS NOT NULL THEN {x} ELSE kw.{c} END, 12) AS {c}"
         for c, m, x in zip(CLASSES, first, second)
     ]
     return f"SELECT feedback_id, {', '.join(columns)} FROM clean JOIN kw USING (feedback)"

@@ -239,7 +239,7 @@ def ensemble_probabilities(spark, sf):
     mixed = sen.ensemble_probabilities(F.col("m"), F.col("l"), F.col("k"))
     return df.withColumns({"m": first, "l": second}).withColumn("p", mixed).select(
         "feedback_id",
-        *[F.bround(f"p.{c}", 9).alias(c) for c in ("negative", "neutral", "positive")],
+        *[F.bround(f"p.{c}", 12).alias(c) for c in ("negative", "neutral", "positive")],
     )
 
 
