@@ -13,9 +13,12 @@ WEIGHT = "_rows"
 
 
 def computed_once(
-    df: DataFrame, layers: list[dict[str, Column]], outputs: list[str]
+    df: DataFrame, layers: list[dict[str, Column]], outputs: dict[str, Column] | list[str]
 ) -> DataFrame:
-    """Adds the `outputs` among the columns that `layers` compute, one projection per layer.
+    """Adds the `outputs` from the columns that `layers` compute, one projection per layer.
+
+    `outputs` are names of such columns, or plain column references by their final names; they
+    replace columns of `df` with the same name, which the layers can still read.
 
     A layer reads the columns of the layers before it, so each value is computed once however many
     expressions use it. Spark pushes a filter on a computed column below it by repeating the
@@ -27,7 +30,8 @@ def computed_once(
     for layer in layers:
         scored = scored.select("*", *[column.alias(name) for name, column in layer.items()])
     kept = [c for c in df.columns if c not in outputs]
-    row = F.struct(*[F.col(n) for n in outputs])
+    named = outputs if isinstance(outputs, dict) else {n: F.col(n) for n in outputs}
+    row = F.struct(*[column.alias(name) for name, column in named.items()])
     return scored.select(*kept, F.inline_outer(F.array(row)))
 
 

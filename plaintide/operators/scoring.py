@@ -106,7 +106,7 @@ def score_sentiment(
     """
     df = _with_provided(df)
     layers = sentiment_layers(feedback, _present(df, rating), probabilities)
-    return computed_once(df, [*layers, _public(SENTIMENT)], SENTIMENT)
+    return computed_once(df, layers, _public(SENTIMENT))
 
 
 def sentiment_agreement(df: DataFrame) -> DataFrame:
@@ -179,14 +179,13 @@ def _reconciled_layer(emotion: str, confidence: str, sentiment: str) -> dict[str
 def detect_emotion(df: DataFrame, feedback: str) -> DataFrame:
     """Adds emotion and emotion_confidence from the text alone."""
     named = {"emotion": F.col("_raw_emotion"), "emotion_confidence": F.col("_raw_confidence")}
-    return computed_once(df, [*emotion_layers(feedback), named], EMOTION)
+    return computed_once(df, emotion_layers(feedback), named)
 
 
 def reconcile_emotion(df: DataFrame) -> DataFrame:
     """Brings the emotion of scored rows in line with their sentiment."""
     layer = _reconciled_layer("emotion", "emotion_confidence", "sentiment")
-    fixed = computed_once(df, [layer], ["_emotion", "_emotion_confidence"])
-    return fixed.drop(*EMOTION).withColumnsRenamed({f"_{name}": name for name in EMOTION})
+    return computed_once(df, [layer], _public(EMOTION))
 
 
 def score_emotion(df: DataFrame, feedback: str) -> DataFrame:
@@ -194,7 +193,7 @@ def score_emotion(df: DataFrame, feedback: str) -> DataFrame:
     if "sentiment" not in df.columns:
         return detect_emotion(df, feedback)
     fixed = _reconciled_layer("_raw_emotion", "_raw_confidence", "sentiment")
-    return computed_once(df, [*emotion_layers(feedback), fixed, _public(EMOTION)], EMOTION)
+    return computed_once(df, [*emotion_layers(feedback), fixed], _public(EMOTION))
 
 
 # Topic
@@ -244,7 +243,7 @@ def topic_layers(feedback: str, category: str | None) -> Layers:
 def score_topic(df: DataFrame, feedback: str, category: str | None = None) -> DataFrame:
     """Adds the topic columns; a category given in the data wins over the detected topic."""
     layers = topic_layers(feedback, _present(df, category))
-    return computed_once(df, [*layers, _public(TOPIC)], TOPIC)
+    return computed_once(df, layers, _public(TOPIC))
 
 
 def detect_topic(df: DataFrame, feedback: str) -> DataFrame:
@@ -279,7 +278,7 @@ def issue_layers(feedback: str, sentiment: Column) -> Layers:
 def score_issue(df: DataFrame, feedback: str) -> DataFrame:
     """Adds detected_issue, issue_confidence and is_complaint."""
     sentiment = F.col("sentiment") if "sentiment" in df.columns else _nothing("string")
-    return computed_once(df, [*issue_layers(feedback, sentiment), _public(ISSUE)], ISSUE)
+    return computed_once(df, issue_layers(feedback, sentiment), _public(ISSUE))
 
 
 # Priority
@@ -321,7 +320,7 @@ def score_priority(df: DataFrame, feedback: str, rating: str | None = "rating")
             label("is_complaint", False), label("detected_issue", ""),
         ),
     ]
-    return computed_once(df, [*layers, _public(PRIORITY)], PRIORITY)
+    return computed_once(df, layers, _public(PRIORITY))
 
 
 # All of them
@@ -351,7 +350,7 @@ def score_all(
         *priority_layers(sentiment, F.col("_emotion"), F.col("_is_complaint"), F.col("_detected_issue")),
     ]
     names = [*SENTIMENT, *EMOTION, *TOPIC, *ISSUE, *PRIORITY]
-    return computed_once(df, [*layers, _public(names)], names)
+    return computed_once(df, layers, _public(names))
 
 
 def score_text_only(df: DataFrame, feedback: str) -> DataFrame:
@@ -370,4 +369,4 @@ def score_text_only(df: DataFrame, feedback: str) -> DataFrame:
     renamed = {"emotion": F.col("_raw_emotion"), "emotion_confidence": F.col("_raw_confidence")}
     topic = ["topic", "topic_confidence"]
     names = [*SENTIMENT[:2], *topic, *ISSUE, *PRIORITY]
-    return computed_once(df, [*before, *priority, {**_public(names), **renamed}], [*names, *EMOTION])
+    return computed_once(df, [*before, *priority], {**_public(names), **renamed})

@@ -99,3 +99,13 @@ def test_filter_on_a_label_scores_once(feedback):
     plan = scored.filter(F.col("topic") == "Refund")._jdf.queryExecution().optimizedPlan().toString()
     whole = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= whole.count("RLIKE")
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    schema = "feedback_id int, feedback string, topic string, priority string, emotion string"
+    df = spark.createDataFrame([(1, "late refund", "Billing", "P1", "sad")], schema)
+    row = scoring.score_all(df, "feedback", category="topic").first()
+    assert (row.topic, row.topic_source, row.topic_detected) == ("Billing", "dataset", "Refund")
+    assert row.priority in {"HIGH", "MEDIUM", "LOW"} and row.emotion == "Disappointed"
+    again = scoring.reconcile_emotion(scoring.detect_emotion(df.selectExpr("*", "'Negative' AS sentiment"), "feedback"))
+    assert again.first().emotion == "Disappointed"
