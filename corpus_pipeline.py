@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plaintide.llm import byte_bpe, exact_dedup, mixing, scratch
+from plaintide.llm import byte_bpe, exact_dedup, mixing, order_minhash, quality, scratch
 from plaintide.llm.queries import BYTE_BPE, table, tokenizer_file
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte-level network, fitted on `labels`, doesn't reject."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return order_minhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to twice, by tempered token shares."""
     return mixing.mixed_documents(docs, mixing.mixing_plan(docs))
@@ -24,7 +34,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_good),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("encode", encode),
 ]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.llm.heavy import heavy_hitters
+from plaintide.llm.keeping import keep_documents, text_hash
 from plaintide.llm.scratch import written
 
 #: Characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -31,9 +32,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shuffled. The other digests are grouped and joined by an ordinary shuffle of some 50 bytes a row; no group
     there has more than 1/most_heavy of the rows.
     """
+    return _decisions(docs, id_col, text_col, most_heavy).drop("_text_hash")
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, most_heavy: int) -> DataFrame:
     digests = written(
         docs.select(
             F.col(id_col).alias("_id"),
+            text_hash(F.col(text_col)).alias("_text_hash"),
             F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_length"),
             text_digest(F.col(text_col)).alias("_digest"),
         ),
@@ -52,23 +58,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("_size").alias("group_size"),
         (F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_length") == -F.col("_best.l"))).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
+        "_text_hash",
     )
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with an id and text of `kept` (columns id and text_sha256), each such pair once.
-
-    Both sides are shuffled by id, and repeated rows are dropped in the same partitions. All columns stay.
-    """
-    sha, id_, number = "_kept_sha256", "_kept_id", "_kept_number"
-    named = docs.withColumn(sha, F.lower(F.hex(text_digest(F.col(text_col)))))
-    wanted = kept.select(F.col(id_col).alias(id_), F.col("text_sha256").alias("_kept_text"))
-    found = named.join(wanted, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col("_kept_text")), "left_semi")
-    longest = Window.partitionBy(id_col, sha).orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return found.withColumn(number, F.row_number().over(longest)).filter(F.col(number) == 1).select(*docs.columns)
-
-
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts: the one that exact_duplicates keeps."""
-    found = exact_duplicates(docs, id_col, text_col)
-    return keep_documents(docs, found.filter("kept").select(id_col, "text_sha256"), id_col, text_col)
+    return keep_documents(docs, _decisions(docs, id_col, text_col, 1000).filter("kept"), id_col, text_col)

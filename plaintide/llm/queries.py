@@ -11,10 +11,13 @@ from plaintide.llm import (
     embedding_dedup,
     exact_dedup,
     mixing,
+    order_minhash,
+    quality,
     scratch,
     secret_scan,
     token_counts,
     token_file,
+    toxicity,
 )
 from plaintide.llm.shipping import ship_package
 
@@ -45,6 +48,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     copies = mixing.planned_copies(docs, mixing.mixing_plan(docs))
@@ -55,6 +66,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE)).drop("exact")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token-file")
     token_file.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_file(BYTE_BPE))
@@ -67,8 +82,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        op1_embedding_near_dedup, op2_exact_dedup, op3_token_counts, op6_temperature_mixing, op7_byte_bpe,
-        op9_token_file, op10_secret_scan,
+        op1_embedding_near_dedup, op2_exact_dedup, op3_token_counts, op4_quality, op5_order_minhash,
+        op6_temperature_mixing, op7_byte_bpe, op8_toxicity, op9_token_file, op10_secret_scan,
     ]
     return {q.__name__: q for q in own}
 
