@@ -19,7 +19,7 @@ from plaintide.llm.scratch import written
 from plaintide.llm.segments import layouts, mixed, plain_words
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text.
-KMER, SAMPLES, SKETCHES = 5, 3, 16
+KMER, SAMPLES, SKETCHES = 5, 3, 24
 #: Word counts in a text's profile, whose differences bound the distance from below.
 PROFILE = 64
 #: Rows on either side of a task that compares what is left of a bucket.
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of `docs`: id, component_id (smallest id of the group), group_size (rows), kept.
 
     Texts are sequences of lower-cased words between white space. Two texts are linked if they share a sketch
-    (see `sketches`: 16 of them, of 3 five-word k-mers in text order) and an alignment shows a similarity of
+    (see `sketches`: 24 of them, of 3 five-word k-mers in text order) and an alignment shows a similarity of
     1 - edits / words of the longer text >= `least`. Groups are what links connect. Texts with the same words are
     one class from the start; null texts and texts without words are one class. kept: id = component_id (null
     ids come last; repeated rows with that id are all kept).
