@@ -7,6 +7,8 @@ mapped to s / sqrt(s^2 + 15).
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from plaintide.rules.lexicon import (
 )
 from plaintide.rules.sentiment import DOMAIN_VALENCE, NEGATIVE_WORDS, POSITIVE_WORDS
 
-MAX_LEXICON = 20_000
+#: Words that share one literal map; a map is searched from its start.
+MAP_WORDS = 64
 DISTANCE_SCALE = [1.0, 0.95, 0.9]
 
 
@@ -47,9 +50,12 @@ def is_upper(word: Column) -> Column:
 
 def word_facts(words: Column, lexicon: dict[str, float]) -> Column:
     """Per word: its valence (0 if unknown), degree (-1, 0, 1), negation and capitals."""
-    if len(lexicon) > MAX_LEXICON:
-        raise ValueError(f"at most {MAX_LEXICON} lexicon entries fit into an expression")
-    valences = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
+    parts = max(1, len(lexicon) // MAP_WORDS)
+    pairs: list[list] = [[] for _ in range(parts)]
+    for word, valence in lexicon.items():
+        pairs[zlib.crc32(word.encode()) % parts] += [F.lit(word), F.lit(float(valence))]
+    empty = F.create_map().cast("map<string,double>")
+    maps = F.array(*[F.create_map(*own) if own else empty for own in pairs])
     strong = [w for w, sign in DEGREE_WORDS.items() if sign > 0]
     weak = [w for w, sign in DEGREE_WORDS.items() if sign < 0]
     known = list(lexicon)
@@ -57,9 +63,8 @@ def word_facts(words: Column, lexicon: dict[str, float]) -> Column:
     def facts(word: Column) -> Column:
         lower = F.lower(word)
         degree = F.when(lower.isin(strong), 1.0).when(lower.isin(weak), -1.0).otherwise(0.0)
-        valence = F.when(
-            lower.isin(known) & (degree == 0), F.try_element_at(valences, lower)
-        ).otherwise(0.0)
+        own = F.element_at(maps, (F.crc32(lower.cast("binary")) % parts + 1).cast("int"))
+        valence = F.when(lower.isin(known) & (degree == 0), F.try_element_at(own, lower)).otherwise(0.0)
         return F.struct(
             valence.alias("valence"),
             lower.isin(known).alias("known"),

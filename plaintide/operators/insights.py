@@ -76,8 +76,10 @@ def positive_rate(df: DataFrame) -> DataFrame:
 
 
 def top_topic(df: DataFrame) -> DataFrame:
-    counts = with_total(counts_by(df, "topic", name="n"), "n")
-    best = top_row(counts.filter("topic IS NOT NULL"), "n", "topic")
+    counts = counts_by(df, "topic", name="n")
+    # One row: a category column may have any number of values.
+    total = counts.agg(F.sum("n").alias("_total"))
+    best = top_row(counts.filter("topic IS NOT NULL"), "n", "topic").join(F.broadcast(total))
     best = best.withColumn("pct", pct(F.col("n"), F.col("_total")))
     return _insight(
         best,

@@ -11,9 +11,18 @@ from plaintide.operators.frames import computed_once
 
 
 def with_compound(
-    df: DataFrame, feedback: str, lexicon: dict[str, float] | None = None, name: str = "compound"
+    df: DataFrame,
+    feedback: str,
+    lexicon: dict[str, float] | DataFrame | None = None,
+    name: str = "compound",
 ) -> DataFrame:
-    """Adds the compound score in [-1, 1]; a projection, so it works on streams too."""
+    """Adds the compound score in [-1, 1]; a projection, so it works on streams too.
+
+    A lexicon table (columns word and valence) is read on the driver and becomes part of the expression: a
+    word list does not grow with the texts.
+    """
+    if isinstance(lexicon, DataFrame):
+        lexicon = {r.word: r.valence for r in lexicon.select("word", "valence").dropna().toLocalIterator()}
     words, facts = F.col("_valence_words"), F.col("_facts")
     upper = F.size(F.filter(words, lex.is_upper))
     layers = [
@@ -28,7 +37,12 @@ def with_compound(
     return computed_once(df, layers, [name])
 
 
-def with_lexicon_probabilities(df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
-    """Adds the class probabilities by the seed lexicon as a struct, for `score_sentiment`."""
-    scored = with_compound(df, feedback, name="_compound")
+def with_lexicon_probabilities(
+    df: DataFrame,
+    feedback: str,
+    name: str = "_probs",
+    lexicon: dict[str, float] | DataFrame | None = None,
+) -> DataFrame:
+    """Adds the class probabilities by the lexicon (the seed one by default) as a struct, for `score_sentiment`."""
+    scored = with_compound(df, feedback, lexicon, "_compound")
     return scored.withColumn(name, compound_to_probabilities(F.col("_compound"))).drop("_compound")

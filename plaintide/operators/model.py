@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaintide.functions.sentiment import probabilities
 from plaintide.functions.terms import term_words, with_pairs
-from plaintide.operators.skew import lookup
 from plaintide.operators.vectors import smooth_idf
 from plaintide.rules.sentiment import LABELS
 from plaintide.runtime import cut_lineage
 
 MIN_ROWS = 60
-MAX_TERMS = 1 << 18
+#: Bound on the labelled texts that a model is fitted on: its vocabulary and weights live on every node, and
+#: both grow with these texts. The texts with the smallest hashes are taken.
+MAX_ROWS = 100_000
 C = 5.0
 FOLDS = 5
 
@@ -38,57 +42,99 @@ def require_enough(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return rows
 
 
+def bounded(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
+    """At most `most` of the rows, by a hash of the text, written and numbered: id, text, label."""
+    chosen = rows.select("text", "label").orderBy(F.xxhash64("text"), "text").limit(most)
+    return cut_lineage(chosen.withColumn("id", F.monotonically_increasing_id()))
+
+
 @dataclass
 class TextModel:
-    vocabulary: DataFrame
-    terms: int
-    classifier: LogisticRegressionModel
+    """Terms in order with their idf, one weight per term and class, and one intercept per class."""
+
+    terms: list[str]
+    idf: np.ndarray
+    weights: np.ndarray
+    intercepts: np.ndarray
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        return {term: i for i, term in enumerate(self.terms)}
+
+    def scores(self, terms) -> np.ndarray:
+        """Class probabilities of a list of terms; those unknown to the model don't count."""
+        counts = Counter(self.places[t] for t in terms if t in self.places)
+        places = np.fromiter(counts, np.int64, len(counts))
+        values = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[places]
+        norm = np.sqrt((values * values).sum())
+        logits = self.intercepts + (self.weights[:, places] @ (values / norm) if norm else 0)
+        odds = np.exp(logits - logits[np.isfinite(logits)].max())
+        return odds / odds.sum()
 
     def with_probabilities(self, df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
-        """Adds the class probabilities (negative, neutral, positive); absent classes get 0."""
-        told = df.filter(F.col(feedback).isNotNull())
-        distinct = told.select(F.col(feedback).alias("text")).distinct()
-        scored = self.classifier.transform(features(distinct, self.vocabulary, self.terms))
-        values = vector_to_array("probability")
-        shares = [F.coalesce(F.get(values, F.lit(i)), F.lit(0.0)) for i in range(len(LABELS))]
-        by_text = scored.select(F.col("text").alias(feedback), probabilities(*shares).alias(name))
-        found = lookup(told, by_text, [feedback], told.count()).select(*df.columns, name)
-        untold = df.filter(F.col(feedback).isNull())
-        return found.unionByName(untold.withColumn(name, F.lit(None).cast(by_text.schema[name].dataType)))
+        """Adds the class probabilities (negative, neutral, positive); absent classes get 0, null texts null.
+
+        A projection: terms are found by Spark expressions, and Arrow batches of them are scored against the
+        broadcast model, so it needs no shuffle and works on streams.
+        """
+        model = df.sparkSession.sparkContext.broadcast((self.terms, self.idf, self.weights, self.intercepts))
+        return df.withColumn(
+            name, F.when(F.col(feedback).isNotNull(), _scorer(model)(with_pairs(term_words(F.col(feedback)))))
+        ).withColumn(name, F.when(F.col(name).isNotNull(), probabilities(*[F.col(name)[c] for c in SHARES])))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model as a Parquet table: a row per term, and the intercepts in the row without a term."""
+        rows = [(None, None, *map(float, self.intercepts))]
+        rows += [(t, float(i), *map(float, w)) for t, i, w in zip(self.terms, self.idf, self.weights.T)]
+        spark.createDataFrame(rows, MODEL_SCHEMA).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextModel:
+        rows = spark.read.schema(MODEL_SCHEMA).parquet(path).toPandas()
+        head, body = rows[rows["term"].isna()], rows[rows["term"].notna()].sort_values("term")
+        return cls(body["term"].tolist(), body["idf"].to_numpy(), body[SHARES].to_numpy().T, head[SHARES].to_numpy()[0])
+
+
+SHARES = ["negative", "neutral", "positive"]
+MODEL_SCHEMA = "term string, idf double, negative double, neutral double, positive double"
+_loaded: dict[int, TextModel] = {}
+
+
+def _scorer(model):
+    """The scoring function for a broadcast model, which each Python worker builds once."""
+    number = model._jbroadcast.id() if hasattr(model, "_jbroadcast") else id(model)
+
+    @F.pandas_udf("negative double, neutral double, positive double")
+    def score(terms: pd.Series) -> pd.DataFrame:
+        if number not in _loaded:
+            _loaded.clear()
+            _loaded[number] = TextModel(*model.value)
+        found = _loaded[number]
+        rows = [found.scores(t) if t is not None else (None, None, None) for t in terms]
+        return pd.DataFrame(rows, columns=["negative", "neutral", "positive"], dtype=float)
+
+    return score
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """text, term, tf; a text without terms keeps one row with a null term."""
+    """id, term, tf; a text without terms keeps one row with a null term."""
     terms = with_pairs(term_words(F.col("text")))
-    return rows.select("text", F.explode_outer(terms).alias("term")).groupBy("text", "term").agg(
-        F.count("*").alias("tf")
-    )
+    return rows.select("id", F.explode_outer(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def build_vocabulary(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, int]:
-    """All terms with index and idf. The classifier holds one weight per term and class on every
-    node, so more than `max_terms` terms are an error rather than a silent cut."""
-    holding = _term_counts(rows).filter("term IS NOT NULL").groupBy("term").agg(
-        F.count("*").alias("holding")
-    )
-    terms = holding.limit(max_terms + 1).count()
-    if terms > max_terms:
-        raise ValueError(f"more than {max_terms} terms in the training texts")
-    # At most `max_terms` rows from here on.
+def build_vocabulary(counts: DataFrame, documents: int) -> DataFrame:
+    """All terms of the training texts with index and idf."""
+    holding = counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("holding"))
+    # The bound on the training texts bounds these rows.
     indexed = holding.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
-    weighted = indexed.withColumn("documents", F.lit(rows.count())).select(
-        "term", "index", smooth_idf(F.col("documents"), F.col("holding")).alias("idf")
-    )
-    return cut_lineage(weighted), terms
+    return cut_lineage(indexed.select("term", "index", smooth_idf(F.lit(documents), F.col("holding")).alias("idf")))
 
 
-def features(rows: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
-    """Adds the unit TF-IDF vector of `text`, with logarithmic term counts."""
-    weighted = _term_counts(rows).join(F.broadcast(vocabulary), "term", "left").withColumn(
-        "weight", (1 + F.log("tf")) * F.col("idf")
-    )
+def features(counts: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
+    """id and the unit TF-IDF vector of each text, with logarithmic term counts."""
+    weighted = counts.join(vocabulary, "term", "left").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
     entry = F.when(F.col("index").isNotNull(), F.struct("index", "weight"))
-    gathered = weighted.groupBy("text").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    gathered = weighted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
     unit = gathered.withColumn("_norm", norm)
     # Spark has no SQL constructor for sparse vectors; reading one from JSON stays in the JVM.
@@ -101,28 +147,37 @@ def features(rows: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
         ).alias("v")
     )
     schema = T.StructType([T.StructField("v", VectorUDT())])
-    vectors = unit.withColumn("features", F.from_json(F.to_json(sparse), schema)["v"])
-    return vectors.select("text", "features")
+    return unit.select("id", F.from_json(F.to_json(sparse), schema)["v"].alias("features"))
 
 
-def train_text_model(rows: DataFrame, max_terms: int = MAX_TERMS) -> TextModel:
-    """Fits the classifier on `training_rows`; classes weigh the same whatever their size."""
-    require_enough(rows)
-    vocabulary, terms = build_vocabulary(rows, max_terms)
-    index = F.coalesce(*[F.when(F.col("label") == n, F.lit(float(i))) for i, n in enumerate(LABELS)])
+def train_text_model(rows: DataFrame, most: int = MAX_ROWS) -> TextModel:
+    """Fits the classifier on at most `most` of the `training_rows`; classes weigh the same whatever their size."""
+    return _fitted(bounded(require_enough(rows), most))
+
+
+def _fitted(rows: DataFrame) -> TextModel:
+    counts = cut_lineage(_term_counts(rows))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
+    vocabulary = build_vocabulary(counts, total)
+    known = vocabulary.orderBy("index").toPandas()
+    index = F.coalesce(*[F.when(F.col("label") == n, F.lit(float(i))) for i, n in enumerate(LABELS)])
     weight = F.coalesce(
         *[F.when(F.col("label") == n, F.lit(total / (len(sizes) * size))) for n, size in sizes.items()]
     )
-    examples = features(rows, vocabulary, terms).join(rows, "text").select(
+    examples = features(counts, vocabulary, max(len(known), 1)).join(rows, "id").select(
         "features", index.alias("label"), weight.alias("weight")
     )
     classifier = LogisticRegression(
         family="multinomial", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=2000, tol=1e-4,
         standardization=False, weightCol="weight",
-    )
-    return TextModel(vocabulary, terms, classifier.fit(cut_lineage(examples)))
+    ).fit(cut_lineage(examples))
+    weights, intercepts = np.zeros((len(LABELS), len(known))), np.full(len(LABELS), -np.inf)
+    for i in range(classifier.numClasses):
+        if LABELS[i] in sizes:
+            weights[i] = classifier.coefficientMatrix.toArray()[i][: len(known)]
+            intercepts[i] = classifier.interceptVector[i]
+    return TextModel(known["term"].tolist(), known["idf"].to_numpy(), weights, intercepts)
 
 
 def predicted_label(probs: Column) -> Column:
@@ -131,18 +186,23 @@ def predicted_label(probs: Column) -> Column:
     return F.coalesce(*[F.when(s == best, F.lit(n)) for n, s in zip(LABELS, scores)])
 
 
-def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Held-out prediction of every training text: text, label, predicted.
+def training_folds(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
+    """id, text, label, fold: every label is dealt out evenly, in the order of a hash of the text.
 
-    Folds come from a hash of the text, so they need no shuffle and keep the label shares on
-    average.
+    The bound on the training texts bounds the three windows.
     """
-    folded = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds))))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+    return cut_lineage(bounded(rows, most).withColumn("fold", (F.row_number().over(order) - 1) % folds))
+
+
+def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Held-out prediction of every training text: text, label, predicted."""
+    folded = training_folds(require_enough(rows), folds)
     predictions = None
     for fold in range(folds):
-        model = train_text_model(folded.filter(F.col("fold") != fold).drop("fold"))
-        held_out = folded.filter(F.col("fold") == fold).drop("fold")
-        scored = model.with_probabilities(held_out, "text", "probs")
+        trained = _fitted(folded.filter(F.col("fold") != fold).drop("fold"))
+        held_out = folded.filter(F.col("fold") == fold).select("text", "label")
+        scored = trained.with_probabilities(held_out, "text", "probs")
         scored = scored.select("text", "label", predicted_label(F.col("probs")).alias("predicted"))
         predictions = scored if predictions is None else predictions.unionByName(scored)
     return predictions

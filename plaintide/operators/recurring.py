@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import issue as iss
 from plaintide.functions.text import folded_both, pct
+from plaintide.operators.cleaning import dense_ids
 from plaintide.operators.frames import computed_once, mode_by, with_total
 from plaintide.roles import ColumnRoles
 from plaintide.rules.issue import NO_ISSUE
@@ -107,10 +108,14 @@ def recurring_counts(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 
 def complaint_texts(complaints: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """Distinct texts per issue: issue_label, text, copies, text_id (key of the first copy)."""
-    return complaints.groupBy("issue_label", F.col(roles.feedback).alias("text")).agg(
-        F.count("*").alias("copies"), F.min(roles.key).alias("text_id")
+    """Distinct texts per issue: issue_label, text, copies, text_id (rank of the first copy's key).
+
+    Ids are dense over all issues, ties by issue and text, so no two rows share one even if keys repeat.
+    """
+    texts = complaints.groupBy("issue_label", F.col(roles.feedback).alias("text")).agg(
+        F.count("*").alias("copies"), F.min(roles.key).alias("_first")
     )
+    return dense_ids(texts, ["_first", "issue_label", "text"], "text_id").drop("_first")
 
 
 def sample_feedbacks(texts: DataFrame, n: int = 3) -> DataFrame:

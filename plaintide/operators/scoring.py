@@ -332,32 +332,52 @@ def score_all(
     rating: str | None = None,
     category: str | None = None,
     probabilities: str | None = None,
+    outputs: list[str] | None = None,
 ) -> DataFrame:
-    """The same columns as all scorers in order, with their layers side by side."""
-    df = _with_provided(df)
+    """The same columns as all scorers in order, with their layers side by side.
+
+    `outputs` names the columns that are wanted (all by default). Only the scorers that these need run:
+    nothing behind the generator of `computed_once` is pruned, so what is not read must not be built.
+    """
+    every = [*SENTIMENT, *EMOTION, *TOPIC, *ISSUE, *PRIORITY]
+    unknown = set(outputs or ()) - set(every)
+    if unknown:
+        raise ValueError(f"no scorer gives {sorted(unknown)}")
+    names = [n for n in every if outputs is None or n in outputs]
+
+    def wanted(group: list[str]) -> bool:
+        return any(n in names for n in group)
+
+    priority = wanted(PRIORITY)
+    issue = priority or wanted(ISSUE)
+    emotion = priority or wanted(EMOTION)
+    if "sentiment" in names:
+        df = _with_provided(df)
     sentiment = F.col("_sentiment")
     before = merged(
-        sentiment_layers(feedback, _present(df, rating), probabilities),
-        emotion_layers(feedback),
-        topic_layers(feedback, _present(df, category)),
-        signal_layers(feedback, _present(df, "rating")),
+        sentiment_layers(feedback, _present(df, rating), probabilities)
+        if issue or emotion or wanted(SENTIMENT) else [],
+        emotion_layers(feedback) if emotion else [],
+        topic_layers(feedback, _present(df, category)) if wanted(TOPIC) else [],
+        signal_layers(feedback, _present(df, "rating")) if priority else [],
     )
-    issue = issue_layers(feedback, sentiment)
-    emotion = [_reconciled_layer("_raw_emotion", "_raw_confidence", "_sentiment")]
+    reconciled = [_reconciled_layer("_raw_emotion", "_raw_confidence", "_sentiment")]
     layers = [
         *before,
-        *merged(issue, emotion),
-        *priority_layers(sentiment, F.col("_emotion"), F.col("_is_complaint"), F.col("_detected_issue")),
+        *merged(issue_layers(feedback, sentiment) if issue else [], reconciled if emotion else []),
+        *(
+            priority_layers(sentiment, F.col("_emotion"), F.col("_is_complaint"), F.col("_detected_issue"))
+            if priority else []
+        ),
     ]
-    names = [*SENTIMENT, *EMOTION, *TOPIC, *ISSUE, *PRIORITY]
     return computed_once(df, layers, _public(names))
 
 
-def score_text_only(df: DataFrame, feedback: str) -> DataFrame:
+def score_text_only(df: DataFrame, feedback: str, probabilities: str | None = None) -> DataFrame:
     """Every scorer on the text alone: no rating, no category, no scorer knows another's result but
     the priority."""
     before = merged(
-        sentiment_layers(feedback, None, None),
+        sentiment_layers(feedback, None, probabilities),
         emotion_layers(feedback),
         topic_layers(feedback, None),
         issue_layers(feedback, _nothing("string")),

@@ -11,23 +11,61 @@ from pyspark.sql import types as T
 from plaintide.operators.frames import counts_by
 from plaintide.rules.issue import NO_ISSUE
 
-# Text formats tried after the ISO forms that a cast understands.
-DATE_FORMATS = ("MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MMM d, yyyy", "d MMM yyyy")
+# Layouts of dates in text, beside the ISO forms that a cast understands. Where month and day can be
+# told apart in two ways, both are here, the month first one before.
+DAY_OR_MONTH_FIRST = ["M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "M.d.yyyy", "M/d/yy", "d/M/yy"]
+PLAIN = ["yyyy/M/d", "yyyy.M.d", "yyyy-M-d", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy",
+         "d MMMM yyyy", "d-MMM-yyyy"]
+TIMES = ["[ H:mm[:ss]]", "[ h:mm[:ss] a]"]
+COMPACT = r"^[0-9]{8}$"
 
 
-def add_period(df: DataFrame, date: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """Adds `period` as yyyy-MM, null where the date is not readable."""
-    value = F.col(date)
-    if isinstance(df.schema[date].dataType, T.StringType):
-        value = F.coalesce(
-            value.try_cast("timestamp"), *[F.try_to_timestamp(value, F.lit(f)) for f in formats]
-        )
+def _with_layout(value, layout: str):
+    return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout + time)) for time in TIMES])
+
+
+def _read_dates(value, ambiguous: list[str]):
+    """A text as a timestamp: ISO forms, then eight digits, then the layouts in order."""
+    text = F.trim(value)
+    compact = F.when(text.rlike(COMPACT), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    tidy = F.initcap(F.lower(text))
+    named = [_with_layout(F.regexp_replace(tidy, r"\b(Am|Pm)$", F.upper(F.regexp_extract(tidy, r"(Am|Pm)$", 1))), x) for x in PLAIN]
+    return F.coalesce(compact, F.when(~text.rlike(COMPACT), text.try_cast("timestamp")),
+                      *[_with_layout(F.upper(text), x) for x in ambiguous], *named)
+
+
+def date_layouts(df: DataFrame, date: str) -> list[str]:
+    """The layouts with the day or the month first, those that read most of the column's values first.
+
+    One aggregate over all rows decides for the whole column, so 1/5 and 25/12 are read alike.
+    """
+    text = F.upper(F.trim(F.col(date)))
+    counts = [F.count(_with_layout(text, x)).alias(f"c{i}") for i, x in enumerate(DAY_OR_MONTH_FIRST)]
+    found = df.agg(*counts).first()
+    order = sorted(range(len(DAY_OR_MONTH_FIRST)), key=lambda i: -found[f"c{i}"])
+    return [DAY_OR_MONTH_FIRST[i] for i in order if found[f"c{i}"]]
+
+
+def add_period(df: DataFrame, date: str, layouts: list[str] | None = None) -> DataFrame:
+    """Adds `period` as yyyy-MM, null where the date is not readable.
+
+    Texts are read by ISO and the usual layouts; `layouts` settles the order of day and month, which is found
+    out from the column otherwise. Numbers are nanoseconds since 1970.
+    """
+    value, kind = F.col(date), df.schema[date].dataType
+    if isinstance(kind, T.StringType):
+        value = _read_dates(value, date_layouts(df, date) if layouts is None else layouts)
+    elif isinstance(kind, T.NumericType):
+        finite = F.nanvl(value.cast("double"), F.lit(None)) if isinstance(kind, (T.DoubleType, T.FloatType)) else value
+        value = F.timestamp_micros((finite / 1000).try_cast("bigint"))
+    elif isinstance(kind, T.BooleanType):
+        value = F.lit(None).cast("timestamp")
     return df.withColumn("period", F.date_format(value, "yyyy-MM"))
 
 
-def with_period(df: DataFrame, date: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+def with_period(df: DataFrame, date: str, layouts: list[str] | None = None) -> DataFrame:
     """Adds `period` and drops the rows without a readable date."""
-    return add_period(df, date, formats).filter("period IS NOT NULL")
+    return add_period(df, date, layouts).filter("period IS NOT NULL")
 
 
 def volume_trend(dated: DataFrame) -> DataFrame:

@@ -20,10 +20,14 @@ from plaintide.operators import (
     vectors,
 )
 from plaintide.operators.frames import label_profile
+from plaintide.operators.text_sentiment import TextSentiment
 from plaintide.roles import ColumnRoles
 from plaintide.runtime import cut_lineage
 
 
+PROBABILITIES = "_text_probabilities"
+
+
 def detect_roles(df: DataFrame, key: str = "feedback_id") -> ColumnRoles:
     """Roles guessed from the column names and, failing that, the values."""
     feedback = columns.detect_feedback_column(df)
@@ -36,9 +40,21 @@ def detect_roles(df: DataFrame, key: str = "feedback_id") -> ColumnRoles:
     )
 
 
-def enrich(cleaned: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """All row scorers; no shuffle."""
-    return scoring.score_all(cleaned, roles.feedback, roles.rating, roles.category)
+def enrich(
+    cleaned: DataFrame,
+    roles: ColumnRoles,
+    columns: list[str] | None = None,
+    text_sentiment: TextSentiment | None = None,
+) -> DataFrame:
+    """All row scorers, or those that `columns` need; no shuffle.
+
+    `text_sentiment` says where a text's class probabilities come from; keywords by default.
+    """
+    if text_sentiment is None:
+        return scoring.score_all(cleaned, roles.feedback, roles.rating, roles.category, outputs=columns)
+    given = text_sentiment.add(cleaned, roles.feedback, PROBABILITIES)
+    scored = scoring.score_all(given, roles.feedback, roles.rating, roles.category, PROBABILITIES, columns)
+    return scored.drop(PROBABILITIES)
 
 
 class Analysis:
@@ -121,22 +137,23 @@ def analyze(
     roles: ColumnRoles | None = None,
     enriched_path: str | None = None,
     key: str = "feedback_id",
+    text_sentiment: TextSentiment | None = None,
 ) -> Analysis:
     """Cleans and scores `df` once; every result reads the scored rows.
 
-    With `enriched_path` the scored rows are written there as Parquet and read back, which is the
-    way to go for large tables: each result then reads only the columns it needs. Without it they
-    are persisted.
+    The scored rows are written as Parquet to `enriched_path`, or else below the shared folder, and read
+    back, so each result reads only the columns it needs. Rows keep their ids if these are unique and are
+    numbered otherwise. `text_sentiment` names a trained model, a lexicon or both for the texts without a
+    usable rating; without it the keyword scorer judges them.
     """
     source = cleaning.normalize_headers(df)
     roles = roles or detect_roles(source, key)
     cleaned = cleaning.clean_records(source, roles)
-    if roles.key not in cleaned.columns:
-        cleaned = cleaning.assign_feedback_id(cleaned, name=roles.key)
-    enriched = enrich(cleaned, roles)
+    cleaned = cleaning.assign_feedback_id(cleaned, name=roles.key)
+    enriched = enrich(cleaned, roles, text_sentiment=text_sentiment)
     if enriched_path:
         enriched.write.mode("overwrite").parquet(enriched_path)
         enriched = df.sparkSession.read.parquet(enriched_path)
     else:
-        enriched = enriched.persist()
+        enriched = cut_lineage(enriched)
     return Analysis(source, roles, enriched)

@@ -15,7 +15,6 @@ SEPARATORS = [",", ";", "\t", "|"]
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
            "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-HEAD_LINES = 20
 OVERFLOW = "_overflow"
 
 
@@ -29,12 +28,15 @@ def detect_separator(lines: list[str]) -> str:
 def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     """Encoding and whether quoted values span lines, from one pass over all lines.
 
-    Text that is not UTF-8 is read as ISO-8859-1, which has a character for every byte.
+    Text that is not UTF-8 is read as ISO-8859-1, which has a character for every byte. A value spans lines if
+    it begins with a quote that its line does not close; a quote inside a value (5" screen) opens nothing, so
+    such input stays splittable.
     """
     line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    starts = f"(^|[{''.join(SEPARATORS)}])"
+    closed = F.regexp_replace(line, starts + r'\s*"([^"]|"")*"(?=$|[' + "".join(SEPARATORS) + r"\r])", "$1")
     found = spark.read.text(path).agg(
-        F.max(~F.is_valid_utf8(line)).alias("broken"), F.max(quotes % 2 == 1).alias("open_quote")
+        F.max(~F.is_valid_utf8(line)).alias("broken"), F.max(closed.rlike(starts + r'\s*"')).alias("open_quote")
     ).first()
     return ("ISO-8859-1" if found["broken"] else "UTF-8"), bool(found["open_quote"])
 
@@ -48,16 +50,21 @@ def read_feedback_csv(
 ) -> DataFrame:
     """A CSV file or folder with a header line; what is not given is found out from the data.
 
-    Lines with more fields than the header are skipped, missing fields at the end are null, columns
-    that hold only numbers become BIGINT or DOUBLE.
+    Lines with more fields than the header are skipped, missing fields at the end are null, rows of
+    missing values only stay (blank lines don't), columns that hold only numbers become BIGINT or DOUBLE.
     """
     if encoding is None or multiline is None:
         found_encoding, found_multiline = detect_layout(spark, path)
         encoding = encoding or found_encoding
         multiline = found_multiline if multiline is None else multiline
     reader = spark.read.option("encoding", encoding)
-    lines = reader.csv(path, sep="\0", quote="").limit(HEAD_LINES).collect()
-    head = [row[0].lstrip("\ufeff") for row in lines if row[0]]
+    lines = reader.csv(path, sep="\0", quote="")
+    if not lines.columns:
+        raise ValueError(f"{path} holds no header line")
+    first = lines.filter(F.trim(F.col(lines.columns[0])) != "").head(1)
+    if not first:
+        raise ValueError(f"{path} holds no header line")
+    head = [first[0][0].lstrip("\ufeff")]
     separator = separator or detect_separator(head)
     names = normalized_headers(next(csv.reader(head[:1], delimiter=separator)))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
@@ -67,7 +74,7 @@ def read_feedback_csv(
     )
     kept = raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     blank = kept.select(*[F.when(~F.col(n).isin(MISSING), F.col(n)).alias(n) for n in names])
-    return _with_number_types(blank.dropna("all"))
+    return _with_number_types(blank)
 
 
 def _with_number_types(df: DataFrame) -> DataFrame:

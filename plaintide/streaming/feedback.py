@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plaintide.functions.text import clean_text
 from plaintide.operators.single import text_only_profile
+from plaintide.operators.text_sentiment import TextSentiment
 
 
 def read_feedback_stream(
@@ -15,10 +16,15 @@ def read_feedback_stream(
     return spark.readStream.format(format).schema(schema).options(**options).load(path)
 
 
-def profile_stream(feed: DataFrame, text: str = "feedback", keep: list[str] = ()) -> DataFrame:
+def profile_stream(
+    feed: DataFrame,
+    text: str = "feedback",
+    keep: list[str] = (),
+    text_sentiment: TextSentiment | None = None,
+) -> DataFrame:
     """Cleaned texts with their profile. Row by row, so it needs no state and no watermark."""
     cleaned = feed.filter(feed[text].isNotNull()).withColumn(text, clean_text(feed[text]))
-    return text_only_profile(cleaned.filter(cleaned[text] != ""), text, keep)
+    return text_only_profile(cleaned.filter(cleaned[text] != ""), text, keep, text_sentiment)
 
 
 def write_profiles(

@@ -35,8 +35,45 @@ def test_model_learns_and_covers_every_row(spark, labelled):
     assert [r.label for r in found if r.t == "a dreadful hat"] == ["Negative"] * 2
     total = scored.filter("t = 'unseen'").select(F.expr("p.negative + p.neutral + p.positive")).first()[0]
     assert total == pytest.approx(1.0)
-    with pytest.raises(ValueError):
-        model.build_vocabulary(rows, max_terms=5)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_model_scores_alike(spark, labelled, tmp_path):
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
+    trained = model.train_text_model(rows)
+    trained.save(spark, str(tmp_path / "model"))
+    again = model.TextModel.load(spark, str(tmp_path / "model"))
+    for terms in (["lovely", "box"], ["dreadful"], [], ["unknown"]):
+        assert again.scores(terms) == pytest.approx(trained.scores(terms))
+
+
+def test_bound_on_labelled_rows(labelled):
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
+    assert model.bounded(rows, 30).count() == 30
+    assert len(model.train_text_model(rows, 40).terms) < len(model.train_text_model(rows).terms)
+
+
+def test_folds_hold_every_label_alike(labelled):
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
+    sizes = model.training_folds(rows).groupBy("label", "fold").count().collect()
+    assert len(sizes) == 15 and {r["count"] for r in sizes} <= {4, 5}
+
+
+def test_few_texts_are_enough_for_folds(labelled):
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id").limit(66)
+    assert model.cross_validated_accuracy(rows).first().texts == 66
+
+
+def test_model_on_a_stream(spark, labelled, tmp_path):
+    from plaintide import TextSentiment
+    from plaintide.streaming.feedback import profile_stream, read_feedback_stream, write_profiles
+
+    trained = model.train_text_model(model.training_rows(labelled, "feedback", "sentiment", "feedback_id"))
+    labelled.select("feedback").write.parquet(str(tmp_path / "in"))
+    feed = read_feedback_stream(spark, str(tmp_path / "in"), "feedback string")
+    profiles = profile_stream(feed, text_sentiment=TextSentiment(model=trained, lexicon={"lovely": 2.0}))
+    write_profiles(profiles, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("feedback = 'a lovely cup'").first().sentiment == "Positive"
 
 
 def test_too_few_texts(labelled):
