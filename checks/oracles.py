@@ -11,7 +11,9 @@ import re
 
 from checks.fixture import FEEDBACK_SQL
 from plaintide.functions.matching import parse_term
+from plaintide.functions.lexicon import seed_lexicon
 from plaintide.rules import emotion as emo
+from plaintide.rules import lexicon as lex
 from plaintide.rules import priority as pri
 from plaintide.rules import sentiment as sen
 from plaintide.rules.actions import ACTIONS, DEFAULT_ACTION
@@ -276,12 +278,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "complaint_texts": (
         ["complaints"],
-        "SELECT issue_label, feedback AS text, count(*) AS copies, min(feedback_id) AS text_id "
-        "FROM complaints GROUP BY 1, 2",
+        "SELECT issue_label, feedback AS text, count(*) AS copies, row_number() OVER (ORDER BY "
+        "min(feedback_id), issue_label, feedback) AS text_id FROM complaints GROUP BY 1, 2",
     ),
     "document_texts": (
         [],
-        "SELECT lang AS issue_label, text, count(*) AS copies, min(doc_id) AS text_id FROM "
+        "SELECT lang AS issue_label, text, count(*) AS copies, row_number() OVER (ORDER BY min(doc_id), lang, text) "
+        "AS text_id FROM "
         "(SELECT doc_id, lang, trim(regexp_replace(coalesce(text, ''), '[\\s\\x00-\\x1f\\x7f\\x{85}\\p{Z}]+', "
         "' ', 'g')) AS text FROM documents) WHERE text <> '' AND len(string_split(text, ' ')) >= 2 GROUP BY 1, 2",
     ),
@@ -385,6 +388,74 @@ PARTS["themes"] = (
 )
 
 
+PARTS["keywords"] = (
+    ["c_mass"],
+    "SELECT issue_label, array_to_string(list_reduce(list([term] ORDER BY mass DESC, term), lambda taken, x: CASE WHEN "
+    "len(taken) < 4 AND len(list_filter(taken, lambda t: contains(t, x[1]) OR contains(x[1], t))) = 0 "
+    "THEN list_concat(taken, x) ELSE taken END), ', ') AS keywords FROM c_mass GROUP BY 1",
+)
+
+
+def renamed(names: list[str], prefix: str, **replaced: str) -> None:
+    """Copies of parts under new names, reading each other and the parts `replaced` by others."""
+    swaps = {n: prefix + n for n in names} | replaced
+    pattern = re.compile(r"\b(" + "|".join(swaps) + r")\b")
+    for name in names:
+        needs, sql = PARTS[name]
+        PARTS[prefix + name] = (
+            [swaps.get(n, n) for n in needs], pattern.sub(lambda m: swaps[m[1]], sql))
+
+
+# The valence rules on the words of every text, one row per word.
+LEXICON_MAP = "MAP {" + ", ".join(f"{lit(w)}: {float(v)}::DOUBLE" for w, v in seed_lexicon().items()) + "}"
+DEGREE = (
+    f"CASE WHEN low IN ({items(w for w, s in lex.DEGREE_WORDS.items() if s > 0)}) THEN 1.0 WHEN low IN "
+    f"({items(w for w, s in lex.DEGREE_WORDS.items() if s < 0)}) THEN -1.0 ELSE 0.0 END::DOUBLE"
+)
+PARTS["lex_words"] = (
+    ["texts"],
+    "SELECT feedback, i, word, lower(word) AS low FROM (SELECT feedback, i, CASE WHEN length(inner_) <= 2 THEN w ELSE "
+    "inner_ END AS word FROM (SELECT feedback, i, w, regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS inner_ "
+    "FROM (SELECT feedback, unnest(string_split(feedback, ' ')) AS w, generate_subscripts(string_split(feedback, ' '), 1) "
+    "AS i FROM texts)))",
+)
+PARTS["lex_facts"] = (
+    ["lex_words"],
+    "SELECT *, CASE WHEN degree = 0 THEN coalesce(own, 0.0) ELSE 0.0 END AS valence, own IS NOT NULL AS known, "
+    "count(*) FILTER (upper_) OVER t > 0 AND count(*) FILTER (upper_) OVER t < count(*) OVER t AS mixed, "
+    "min(i) FILTER (low = 'but') OVER t AS but_at FROM (SELECT *, "
+    f"{LEXICON_MAP}[low] AS own, {DEGREE} AS degree, low IN ({items(lex.NEGATION_WORDS)}) OR contains(low, 'n''t') "
+    "AS negates, upper(word) = word AND lower(word) <> word AS upper_ FROM lex_words) "
+    "WINDOW t AS (PARTITION BY feedback)",
+)
+PARTS["lex_context"] = (
+    ["lex_facts"],
+    "SELECT *, "
+    + ", ".join(
+        f"coalesce(lag(CASE WHEN degree <> 0 AND NOT known THEN (degree * {lex.BOOSTER}::DOUBLE + CASE WHEN upper_ AND mixed "
+        f"THEN {lex.CAPS_BOOST}::DOUBLE ELSE 0 END) * {scale}::DOUBLE ELSE 0 END, {k}) OVER w, 0) AS push{k}, "
+        f"coalesce(lag(CASE WHEN negates AND NOT known THEN {lex.NEGATION_SCALE}::DOUBLE ELSE 1 END, {k}) OVER w, 1) AS turn{k}"
+        for k, scale in ((1, 1.0), (2, 0.95), (3, 0.9))
+    )
+    + f", valence + CASE WHEN upper_ AND mixed THEN sign(valence) * {lex.CAPS_BOOST}::DOUBLE ELSE 0 END AS v0 "
+    "FROM lex_facts WINDOW w AS (PARTITION BY feedback ORDER BY i)",
+)
+PARTS["lex_sums"] = (
+    ["lex_context"],
+    "SELECT feedback, coalesce(sum(CASE WHEN valence = 0 THEN 0 ELSE v3 * CASE WHEN i < but_at THEN 0.5 WHEN i > but_at "
+    "THEN 1.5 ELSE 1.0 END END), 0) AS total, length(feedback) - length(replace(feedback, '!', '')) AS shouts, "
+    "length(feedback) - length(replace(feedback, '?', '')) AS asks FROM (SELECT *, (v2 + sign(v2) * push3) * turn3 AS v3 FROM "
+    "(SELECT *, (v1 + sign(v1) * push2) * turn2 AS v2 FROM (SELECT *, (v0 + sign(v0) * push1) * turn1 AS v1 "
+    "FROM lex_context))) GROUP BY feedback",
+)
+PARTS["lex_scores"] = (
+    ["lex_sums"],
+    "SELECT feedback, round_even(s / sqrt(s * s + 15), 4) AS compound FROM (SELECT feedback, total + sign(total) * "
+    "(least(shouts, 4) * 0.292::DOUBLE + CASE WHEN asks > 3 THEN 0.96 WHEN asks > 1 THEN asks * 0.18 ELSE 0 END::DOUBLE) AS s "
+    "FROM lex_sums)",
+)
+
+
 def insight(order, source, title, description, severity, where="true") -> str:
     return (
         f"SELECT {order}::BIGINT AS ord, {title} AS title, {description} AS description, {severity} AS severity "
@@ -561,13 +632,16 @@ def _ensemble() -> str:
     return f"SELECT feedback_id, {', '.join(columns)} FROM clean JOIN kw USING (feedback)"
 
 
+TEXT_POINTS = (
+    f"({points('label', pri.SENTIMENT_POINTS)} + {points('raw_emotion', pri.EMOTION_POINTS)} "
+    f"+ CASE WHEN match IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN match IN ({HIGH}) THEN 2 ELSE 0 END "
+    "+ len(urgency) + len(impact))::BIGINT"
+)
+
+
 def _single() -> str:
     """The text-only profile from the text-level parts."""
-    points_of = (
-        f"({points('label', pri.SENTIMENT_POINTS)} + {points('raw_emotion', pri.EMOTION_POINTS)} "
-        f"+ CASE WHEN match IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN match IN ({HIGH}) THEN 2 ELSE 0 END "
-        "+ len(urgency) + len(impact))::BIGINT"
-    )
+    points_of = TEXT_POINTS
     reasons = (
         "list_filter([CASE WHEN label <> 'Positive' THEN 'Negative sentiment (' || label || ')' END, "
         "CASE WHEN raw_emotion IN ('Angry', 'Frustrated', 'Disappointed', 'Confused') THEN "
@@ -628,6 +702,33 @@ KPI = (
     "(SELECT count(*) FROM recurring) AS recurring_issues FROM enriched)"
 )
 
+_shares = ", ".join(f"{p} AS {c}" for c, p in zip(CLASSES, normalised("compound")))
+PARTS["lex_kw"] = (
+    ["lex_scores"],
+    "SELECT feedback, CASE greatest(negative, neutral, positive) WHEN negative THEN 'Negative' WHEN neutral THEN 'Neutral' "
+    "ELSE 'Positive' END AS label, round_even(greatest(negative, neutral, positive) * 100, 1) AS confidence "
+    f"FROM (SELECT feedback, {_shares} FROM lex_scores)",
+)
+renamed(["sentiments", "emoted", "topiced", "issued", "enriched"], "lex_", kw="lex_kw")
+# Words of other alphabets keep their edges as plain letters; the rules' words are ASCII.
+PARTS["v_texts"] = (
+    [],
+    "SELECT feedback, low, low AS low2, low AS lower_text FROM (SELECT text AS feedback, "
+    "regexp_replace(replace(lower(text), '’', chr(39)), '[^\\x00-\\x7f]', 'x', 'g') AS low "
+    "FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL))",
+)
+renamed(["kw", "emotion_found", "emotion_boosts", "emotion_sums", "emotion_scored", "emotions", "matches", "signals"],
+        "v_", texts="v_texts")
+PARTS["few"] = (["recurring"], "SELECT * FROM recurring WHERE rank <= 3")
+renamed(["from_recurring", "recommended"], "few_", recurring="few")
+PARTS["csv_told"] = (
+    ["src"],
+    f"SELECT CASE WHEN feedback IS NOT NULL THEN channel END AS channel, {CLEAN.format(c='feedback')} AS feedback FROM src",
+)
+PARTS["csv_filled"] = (["csv_told"], "SELECT * FROM csv_told WHERE feedback <> ''")
+PARTS["csv_firsts"] = (["csv_filled"], "SELECT DISTINCT * FROM csv_filled")
+PARTS["csv_valid"] = (["csv_firsts"], "SELECT * FROM csv_firsts WHERE len(string_split(feedback, ' ')) >= 2")
+
 ORACLES: dict[str, tuple[list[str], str]] = {
     "read_feedback_table": (
         [], "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"),
@@ -658,6 +759,43 @@ ORACLES: dict[str, tuple[list[str], str]] = {
         ["src"],
         "SELECT 0::BIGINT AS position, 'feedback_category' AS column, count(DISTINCT feedback_category) AS labels, "
         "avg(length(feedback_category)) AS avg_length FROM src"),
+    "category_column": (["src"], "SELECT 'feedback_category' AS column, count(feedback_category) AS values FROM src"),
+    "csv_quality": (
+        ["csv_told", "csv_filled", "csv_firsts", "csv_valid"],
+        QUALITY.format(src="csv_told", filled="csv_filled", firsts="csv_firsts", valid="csv_valid")),
+    "lexicon_sentiment": (
+        ["clean", "lex_scores"], "SELECT feedback_id, compound FROM clean JOIN lex_scores USING (feedback)"),
+    "lexicon_labels": (
+        ["clean", "lex_kw"],
+        "SELECT feedback_id, label AS sentiment, confidence AS sentiment_confidence FROM clean JOIN lex_kw USING (feedback)"),
+    "enriched_with_lexicon": (
+        ["lex_enriched"],
+        "SELECT feedback_id, sentiment, sentiment_confidence, sentiment_source, emotion, detected_issue, is_complaint, "
+        "priority FROM lex_enriched"),
+    "training_folds": (
+        ["sentiments"],
+        "SELECT label, fold, (n - fold + 4) // 5 AS texts FROM (SELECT label, count(*) AS n FROM (SELECT "
+        "first(sentiment ORDER BY feedback_id) AS label FROM sentiments GROUP BY feedback) GROUP BY 1), range(0, 5) f(fold) "
+        "WHERE n > fold"),
+    "top_terms": (["keywords"], "SELECT issue_label, keywords FROM keywords"),
+    "recurring_themes_repeated_ids": (
+        ["recurring", "themes"],
+        "SELECT issue_label, occurrences, percentage, priority, theme_counts FROM recurring LEFT JOIN (SELECT issue_label, "
+        "string_agg(count, ', ' ORDER BY theme) AS theme_counts FROM themes GROUP BY 1) USING (issue_label)"),
+    "text_dates": ([], "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS count FROM orders GROUP BY 1"),
+    "insight_rising_negatives_of_orders": ([], insight(
+        10, "(SELECT max(n) AS months, avg(c) FILTER (i <= n // 2) AS first_half, avg(c) FILTER (i > n // 2) AS second_half "
+        "FROM (SELECT count(*) AS c, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m')) AS i, count(*) OVER () AS n "
+        "FROM orders WHERE o_orderkey % 10 < year(o_orderdate) - 1990 GROUP BY strftime(o_orderdate, '%Y-%m')))",
+        "'Increasing Negative Sentiment Trend'",
+        "'Negative feedback volume has increased over time. The trend shows growing customer dissatisfaction "
+        "that requires urgent attention.'", "'critical'", "months >= 2 AND second_half > first_half * 1.2")),
+    "recommendations_from_both": (["few_recommended"], "SELECT * FROM few_recommended"),
+    "conversation_profile": (
+        ["v_kw", "v_emotions", "v_matches", "v_signals"],
+        "SELECT conv_id, turn, label AS sentiment, coalesce(match, " + lit(NO_ISSUE) + ") AS detected_issue, "
+        + TEXT_POINTS + " AS priority_score FROM conversations c JOIN v_kw k ON k.feedback = c.text JOIN v_emotions e ON "
+        "e.feedback = c.text JOIN v_matches m ON m.feedback = c.text JOIN v_signals s ON s.feedback = c.text"),
     "drop_missing": (["src"], "SELECT feedback_id, feedback FROM src WHERE feedback IS NOT NULL"),
     "clean_feedback": (
         ["src"], f"SELECT feedback_id, coalesce({CLEAN.format(c='feedback')}, '') AS feedback FROM src"),
@@ -778,12 +916,13 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "theme_examples": (["themes"], "SELECT * FROM themes"),
     "document_theme_members": (["d_members"], "SELECT * FROM d_members"),
     "recurring_issues": (
-        ["recurring", "samples", "products", "channels", "themes"],
+        ["recurring", "samples", "products", "channels", "themes", "keywords"],
         "SELECT rank, issue_label, occurrences, percentage, avg_sentiment, priority, avg_rating, cluster_id, "
-        "top_product, top_product_count, top_channel, top_channel_count, samples, themes FROM recurring "
+        "top_product, top_product_count, top_channel, top_channel_count, samples, themes, theme_counts, keywords "
+        "FROM recurring LEFT JOIN keywords USING (issue_label) "
         "LEFT JOIN samples USING (issue_label) LEFT JOIN products USING (issue_label) LEFT JOIN channels USING "
-        "(issue_label) LEFT JOIN (SELECT issue_label, string_agg(example, ' | ' ORDER BY theme) AS themes FROM themes "
-        "GROUP BY 1) USING (issue_label)"),
+        "(issue_label) LEFT JOIN (SELECT issue_label, string_agg(example, ' | ' ORDER BY theme) AS themes, "
+        "string_agg(count, ', ' ORDER BY theme) AS theme_counts FROM themes GROUP BY 1) USING (issue_label)"),
     "with_period": (["src"], "SELECT feedback_id, strftime(date, '%Y-%m') AS period FROM src WHERE date IS NOT NULL"),
     "volume_trend": (
         ["clean"], "SELECT strftime(date, '%Y-%m') AS period, count(*) AS count FROM clean GROUP BY 1"),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixture import feedback, table
-from plaintide import ColumnRoles, analyze, enrich
+from plaintide import ColumnRoles, TextSentiment, analyze, enrich
 from plaintide.functions import sentiment as sen
+from plaintide.functions.lexicon import seed_lexicon
 from plaintide.functions.text import clean_text, word_count
 from plaintide.operators import (
     cleaning,
@@ -27,7 +28,6 @@ from plaintide.operators import (
     trends,
     vectors,
 )
-from plaintide.operators.frames import label_profile
 from plaintide.runtime import checkpoint_folder, cut_lineage
 from plaintide.sources import csv, tables
 
@@ -39,12 +39,12 @@ def cleaned(spark, sf) -> DataFrame:
     return cleaning.clean_records(feedback(spark, sf), ROLES)
 
 
-def enriched(spark, sf) -> DataFrame:
-    return enrich(cleaned(spark, sf), ROLES)
+def enriched(spark, sf, *columns) -> DataFrame:
+    """The cleaned rows with the named scorer outputs, or all of them."""
+    return enrich(cleaned(spark, sf), ROLES, list(columns) or None)
 
 
-def profile(spark, sf) -> DataFrame:
-    return label_profile(trends.add_period(enriched(spark, sf), "date"), "period")
+ISSUE = ("sentiment", "detected_issue", "is_complaint")
 
 
 def analysis(spark, sf):
@@ -52,7 +52,7 @@ def analysis(spark, sf):
 
 
 def complaints(spark, sf) -> DataFrame:
-    return recurring.complaint_rows(enriched(spark, sf), TEXT)
+    return recurring.complaint_rows(enriched(spark, sf, *ISSUE), TEXT)
 
 
 def complaint_texts(spark, sf) -> DataFrame:
@@ -134,6 +134,20 @@ def category_candidates(spark, sf):
     return columns.category_candidates(feedback(spark, sf), TEXT)
 
 
+def category_column(spark, sf):
+    df = feedback(spark, sf)
+    name = columns.detect_category_column(df, TEXT)
+    return df.agg(F.lit(name).alias("column"), F.count(name).alias("values"))
+
+
+def csv_quality(spark, sf):
+    """Rows whose fields are all missing count as received and missing."""
+    path = f"{checkpoint_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    rows = feedback(spark, sf).select(F.when(F.col(TEXT).isNotNull(), F.col("channel")).alias("channel"), TEXT)
+    csv.write_analyzed_csv(rows, path)
+    return cleaning.quality_report(csv.read_feedback_csv(spark, path), ColumnRoles())
+
+
 # Cleaning
 
 
@@ -269,6 +283,19 @@ def cross_validated_accuracy(spark, sf):
     return model.cross_validated_accuracy(training_rows(spark, sf))
 
 
+def training_folds(spark, sf):
+    """How many texts of each label every fold holds."""
+    return model.training_folds(training_rows(spark, sf)).groupBy("label", F.col("fold").cast("bigint").alias("fold")).agg(
+        F.count("*").alias("texts")
+    )
+
+
+def enriched_with_lexicon(spark, sf):
+    names = ["sentiment", "sentiment_confidence", "sentiment_source", "emotion", "detected_issue", "is_complaint", "priority"]
+    found = enrich(cleaned(spark, sf), ROLES, names, TextSentiment(lexicon=seed_lexicon()))
+    return found.select("feedback_id", *names)
+
+
 def text_sentiment(spark, sf):
     scored = scoring.score_sentiment(cleaned(spark, sf), TEXT)
     return scored.select("feedback_id", "sentiment", "sentiment_confidence", "sentiment_source")
@@ -366,25 +393,25 @@ def issue_summary(spark, sf):
 
 
 def issue_priority_mode(spark, sf):
-    return issues.issue_priority_mode(profile(spark, sf), ["HIGH", "MEDIUM"])
+    return issues.issue_priority_mode(enriched(spark, sf, "detected_issue", "priority"), ["HIGH", "MEDIUM"])
 
 
 def priority_score(spark, sf):
-    return enriched(spark, sf).select("feedback_id", "priority_score")
+    return enriched(spark, sf, "priority_score").select("feedback_id", "priority_score")
 
 
 def score_priority(spark, sf):
-    return enriched(spark, sf).select("feedback_id", "priority", "priority_score")
+    return enriched(spark, sf, "priority", "priority_score").select("feedback_id", "priority", "priority_score")
 
 
 def priority_reasons(spark, sf):
-    return enriched(spark, sf).select(
+    return enriched(spark, sf, "priority_reasons").select(
         "feedback_id", F.array_join("priority_reasons", "; ").alias("reasons")
     )
 
 
 def priority_distribution(spark, sf):
-    return issues.priority_distribution(enriched(spark, sf))
+    return issues.priority_distribution(enriched(spark, sf, "priority"))
 
 
 def enriched_rows(spark, sf):
@@ -403,7 +430,7 @@ def complaint_rows(spark, sf):
 
 
 def _recurring(spark, sf):
-    return recurring.recurring_counts(enriched(spark, sf), ROLES)
+    return recurring.recurring_counts(enriched(spark, sf, *ISSUE), ROLES)
 
 
 def recurring_counts(spark, sf):
@@ -465,6 +492,18 @@ def recurring_issues(spark, sf):
         "cluster_id", "top_product", "top_product_count", "top_channel", "top_channel_count",
         F.array_join("sample_feedbacks", " | ").alias("samples"),
         F.array_join(F.transform("themes", lambda t: t["example"]), " | ").alias("themes"),
+        F.array_join(F.transform("themes", lambda t: t["count"].cast("string")), ", ").alias("theme_counts"),
+        F.array_join("keywords", ", ").alias("keywords"),
+    )
+
+
+def recurring_themes_repeated_ids(spark, sf):
+    """Ids that repeat are replaced, so themes are those of the same rows with ids of their own."""
+    repeated = feedback(spark, sf).withColumn("feedback_id", F.col("feedback_id") % 1000)
+    found = analyze(repeated, ROLES).recurring_issues
+    return found.select(
+        "issue_label", "occurrences", "percentage", "priority",
+        F.array_join(F.transform("themes", lambda t: t["count"].cast("string")), ", ").alias("theme_counts"),
     )
 
 
@@ -479,6 +518,15 @@ def volume_trend(spark, sf):
     return trends.volume_trend(trends.with_period(cleaned(spark, sf), "date"))
 
 
+def text_dates(spark, sf):
+    """Dates as texts in several layouts, most of them with the day first."""
+    layouts = ["d/M/yyyy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd", "MMMM d, yyyy", "yyyyMMdd", "dd-MMM-yyyy", "d/M/yyyy h:mm a"]
+    texts = F.coalesce(*[
+        F.when(F.col("o_orderkey") % len(layouts) == i, F.date_format("o_orderdate", x)) for i, x in enumerate(layouts)
+    ])
+    return trends.volume_trend(trends.with_period(table(spark, sf, "orders").select(texts.alias("date")), "date"))
+
+
 def event_volume_trend(spark, sf):
     return trends.volume_trend(trends.with_period(table(spark, sf, "events"), "ts"))
 
@@ -494,7 +542,7 @@ def topic_trend(spark, sf):
 
 
 def issue_trend(spark, sf):
-    return trends.issue_trend(trends.with_period(enriched(spark, sf), "date"))
+    return trends.issue_trend(trends.with_period(enriched(spark, sf, "detected_issue"), "date"))
 
 
 # Insights
@@ -505,7 +553,7 @@ def _ranked(spark, sf):
 
 
 def insight_negative_rate(spark, sf):
-    return insights.negative_rate(enriched(spark, sf))
+    return insights.negative_rate(enriched(spark, sf, "sentiment"))
 
 
 def insight_positive_rate(spark, sf):
@@ -515,15 +563,15 @@ def insight_positive_rate(spark, sf):
 
 
 def insight_top_topic(spark, sf):
-    return insights.top_topic(enriched(spark, sf))
+    return insights.top_topic(enriched(spark, sf, "topic"))
 
 
 def insight_worst_topic(spark, sf):
-    return insights.worst_topic(enriched(spark, sf))
+    return insights.worst_topic(enriched(spark, sf, "sentiment", "topic"))
 
 
 def insight_high_priority(spark, sf):
-    return insights.high_priority_share(enriched(spark, sf))
+    return insights.high_priority_share(enriched(spark, sf, "priority"))
 
 
 def insight_top_recurring(spark, sf):
@@ -535,17 +583,25 @@ def insight_systemic(spark, sf):
 
 
 def insight_emotion(spark, sf):
-    return insights.dominant_emotion(enriched(spark, sf))
+    return insights.dominant_emotion(enriched(spark, sf, "emotion"))
 
 
 def insight_complaint_rate(spark, sf):
-    return insights.complaint_rate(enriched(spark, sf))
+    return insights.complaint_rate(enriched(spark, sf, "is_complaint"))
 
 
 def insight_rising_negatives(spark, sf):
     return insights.rising_negative_trend(sentiment_trend(spark, sf))
 
 
+def insight_rising_negatives_of_orders(spark, sf):
+    """Orders count as negative ever more often over the years here, so that the rule fires."""
+    bad = F.col("o_orderkey") % 10 < F.year("o_orderdate") - 1990
+    label = F.when(bad, "Negative").otherwise("Neutral")
+    orders = table(spark, sf, "orders").withColumn("sentiment", label)
+    return insights.rising_negative_trend(trends.sentiment_trend(trends.with_period(orders, "o_orderdate")))
+
+
 def rising_negatives(spark, sf):
     """The halves behind the trend rule, whatever their ratio."""
     found = trends.rising_negatives(sentiment_trend(spark, sf), factor=0.0)
@@ -568,7 +624,7 @@ def recommend_from_recurring(spark, sf):
 
 def recommend_from_summary(spark, sf):
     """Without recurring issues, so every summary issue with enough rows gets its action."""
-    return recommend.recommend_from_summary(issues.issue_summary(enriched(spark, sf)))
+    return recommend.recommend_from_summary(issues.issue_summary(enriched(spark, sf, "sentiment", "detected_issue", "issue_confidence")))
 
 
 def recommendations(spark, sf):
@@ -576,6 +632,12 @@ def recommendations(spark, sf):
     return recommend.recommendations(found.recurring_core, found.issue_summary, ["HIGH", "MEDIUM"])
 
 
+def recommendations_from_both(spark, sf):
+    """With the first three recurring issues only, so that the summary has actions to add."""
+    found = analysis(spark, sf)
+    return recommend.recommendations(found.recurring_core.filter("rank <= 3"), found.issue_summary)
+
+
 def text_only_profile(spark, sf):
     found = single.text_only_profile(cleaned(spark, sf), TEXT, keep=["feedback_id"])
     return found.withColumn("priority_reasons", F.array_join("priority_reasons", "; ")).drop(
@@ -593,7 +655,7 @@ def conversation_profile(spark, sf):
 
 
 def kpi_summary(spark, sf):
-    return report.kpi_summary(enriched(spark, sf))
+    return report.kpi_summary(enriched(spark, sf, *ISSUE, "priority"))
 
 
 def quality_table(spark, sf):
@@ -619,32 +681,35 @@ def report_recommendations(spark, sf):
 
 
 def emotion_distribution(spark, sf):
-    return report.value_distribution(enriched(spark, sf), "emotion")
+    return report.value_distribution(enriched(spark, sf, "emotion"), "emotion")
 
 
 def sentiment_distribution(spark, sf):
-    return report.value_distribution(enriched(spark, sf), "sentiment")
+    return report.value_distribution(enriched(spark, sf, "sentiment"), "sentiment")
+
+
+EXPLORED = ("sentiment", "sentiment_confidence", "emotion", "topic", "detected_issue", "priority")
 
 
 def explore(spark, sf):
     return report.explore(
-        enriched(spark, sf), TEXT, "feedback_id", sentiments=["Negative", "Neutral"],
+        enriched(spark, sf, *EXPLORED), TEXT, "feedback_id", sentiments=["Negative", "Neutral"],
         priorities=["HIGH", "MEDIUM"], search="refund|ORDER",
     )
 
 
 def explore_count(spark, sf):
     found = report.matching_rows(
-        enriched(spark, sf), TEXT, topics=["Delivery", "Billing"], search="(box|item) "
+        enriched(spark, sf, "topic"), TEXT, topics=["Delivery", "Billing"], search="(box|item) "
     )
     return found.agg(F.count("*").alias("rows"))
 
 
 def distinct_topics(spark, sf):
-    return report.distinct_topics(enriched(spark, sf))
+    return report.distinct_topics(enriched(spark, sf, "topic"))
 
 
-HELPERS = {"cut_lineage", "cleaned", "enriched", "profile", "analysis", "complaints", "complaint_texts",
+HELPERS = {"cut_lineage", "cleaned", "enriched", "analysis", "complaints", "complaint_texts",
            "document_texts", "feedback", "table", "enrich", "analyze", "label_profile",
            "checkpoint_folder", "clean_text", "word_count"}
 
