@@ -11,7 +11,9 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 CHOSEN = ["clean_records", "quality_report", "score_sentiment", "enriched_rows", "issue_summary", "recurring_counts",
-          "theme_examples", "kpi_summary", "text_only_profile", "assign_feedback_id"]
+          "theme_examples", "kpi_summary", "text_only_profile", "assign_feedback_id", "recurring_themes_repeated_ids",
+          "text_dates", "csv_quality", "enriched_with_lexicon", "training_folds", "recommendations_from_both",
+          "insight_rising_negatives_of_orders", "top_terms", "conversation_profile"]
 
 
 @pytest.fixture(scope="module")
