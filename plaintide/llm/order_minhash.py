@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaintide.llm.alignment import similar
+from plaintide.llm.alignment import Words, similar
 from plaintide.llm.arrow import text_batches, type_of
 from plaintide.llm.keeping import keep_documents, text_hash
 from plaintide.llm.links import components
@@ -23,7 +23,9 @@ KMER, SAMPLES, SKETCHES = 5, 3, 24
 #: Word counts in a text's profile, whose differences bound the distance from below.
 PROFILE = 64
 #: Rows on either side of a task that compares what is left of a bucket.
-PART = 1024
+PART = 256
+#: Times that what is left of the buckets is compared with single members before all of it is.
+TURNS = 2
 #: Members of a pivot that are verified in one stretch; rows of an Arrow batch that carries word sequences.
 STRETCH, ROWS = 512, 512
 
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sketched: DataFrame, least:
         for batch in batches:
             found = []
             for b, a, words in zip(*(batch.column(c).to_pylist() for c in ("b", "a", "words"))):
-                words = np.frombuffer(words, "<u4")
+                words = Words(np.frombuffer(words, "<u4"))
                 if a is None:
                     head = words
                 elif similar(words, head, least):
@@ -183,26 +185,37 @@ def _verified(pairs: DataFrame, classes: DataFrame, sketched: DataFrame, least:
         return written(lined_up.mapInArrow(align, "a bigint, b bigint"), "verified")
 
 
-def _cross_pairs(buckets: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of a bucket (column key) in different components that lengths and profiles allow.
+def _cross_links(buckets: DataFrame, least: float) -> DataFrame:
+    """Links a, b between different components of a bucket, enough to connect what similar texts connect.
 
-    A bucket is dealt into parts of about PART rows and every two parts meet in one task, which compares the
-    profiles by array operations and gives out only what they allow.
+    A bucket (column key) is dealt into parts of about PART rows and every two parts meet in one task. It looks at
+    two texts only in the bucket of the first key they share, only if lengths and profiles allow the similarity,
+    and only while no link has joined their components; then it aligns them. Only links leave the task.
     """
 
     def compare(pair: pd.DataFrame) -> pd.DataFrame:
-        own, p, q = pair["_part"].to_numpy(), pair["_p"].iloc[0], pair["_q"].iloc[0]
+        own, p, q, key = pair["_part"].to_numpy(), pair["_p"].iloc[0], pair["_q"].iloc[0], pair["key"].iloc[0]
         cid, component, n = (pair[c].to_numpy() for c in ("cid", "component", "n_words"))
         profiles = np.frombuffer(b"".join(pair["profile"]), "<u2").reshape(-1, PROFILE)
+        keys = np.array(pair["keys"].tolist(), np.int64)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        found = []
+        found, words, component = [], {}, component.copy()
+
+        def words_of(i):
+            if i not in words:
+                words[i] = Words(np.frombuffer(pair["words"].iloc[i], "<u4"))
+            return words[i]
+
         for i in left if len(right) else ():
             others = right[(component[right] != component[i]) & ((cid[right] > cid[i]) | (p != q))]
-            others = others[np.abs(n[others] - n[i]) <= (1 - least) * np.maximum(n[others], n[i]) + 1e-9]
-            good = others[_possible(n[i], n[others], profiles[i], profiles[others], least)]
-            found.append(np.stack([np.minimum(cid[good], cid[i]), np.maximum(cid[good], cid[i])], 1))
-        rows = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": rows[:, 1], "b": rows[:, 0]})
+            others = others[_possible(n[i], n[others], profiles[i], profiles[others], least)]
+            same = keys[others] == keys[i]
+            others = others[keys[i][same.argmax(axis=1)] == key] if len(others) else others
+            for j in others:
+                if component[i] != component[j] and similar(words_of(i), words_of(j), least):
+                    found.append((cid[i], cid[j]))
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     parts = F.ceil(F.col("_rows") / PART).cast("int")
     dealt = (
@@ -210,10 +223,55 @@ def _cross_pairs(buckets: DataFrame, least: float) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .withColumn("_p", F.least("_part", "_other")).withColumn("_q", F.greatest("_part", "_other"))
     )
-    return (
-        dealt.select("key", "_p", "_q", "_part", "cid", "component", "n_words", "profile")
-        .groupBy("key", "_p", "_q").applyInPandas(compare, "a bigint, b bigint").distinct()
-    )
+    columns = ["key", "_p", "_q", "_part", "cid", "component", "n_words", "profile", "keys", "words"]
+    return dealt.select(*columns).groupBy("key", "_p", "_q").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _open_buckets(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """key, cid and component of the buckets that hold more than one component."""
+    placed = members.select("key", "cid").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "key", "cid", F.coalesce("component", "cid").alias("component"))
+    placed = written(placed, "placed")
+    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
+    mixed_keys = written(mixed_keys.filter("_x <> _y").select("key"), "open-keys")
+    return written(placed.join(mixed_keys, "key"), "open-buckets")
+
+
+def _pivot_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """Every member of a bucket with one member (b) of its largest component, if it isn't in that one.
+
+    The member is drawn by a hash of the turn, alike in all buckets, so a text meets few different ones.
+    """
+    drawn = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid")
+    parts = buckets.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(drawn).alias("best"))
+    heads = parts.groupBy("key").agg(F.max(F.struct("n", "best", "component")).alias("_head"))
+    heads = written(heads.select("key", F.col("_head.best.cid").alias("b"), F.col("_head.component").alias("_home")), "pivots")
+    return buckets.join(heads, "key").filter("component <> _home").select(F.col("cid").alias("a"), "b").distinct()
+
+
+def _bucket_links(members: DataFrame, classes: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """node and component of the classes that verified links connect, from the buckets' members (key, cid)."""
+    buckets = members.select("key", "cid", F.col("cid").alias("component"))
+    links = compared = None
+    for turn in range(TURNS):
+        pairs = _pivot_pairs(buckets, turn)
+        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pivot-pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        found = _verified(pairs, classes, sketched, least)
+        links = found if links is None else links.unionByName(found)
+        grouped = components(links)
+        buckets = _open_buckets(buckets, grouped)
+        if buckets.isEmpty() or found.isEmpty():
+            break
+    if buckets.isEmpty():
+        return grouped
+    sizes = written(buckets.groupBy("key").agg(F.count("*").alias("_rows")), "bucket-sizes")
+    facts = classes.select("cid", "row", "n_words", "profile", "keys")
+    facts = buckets.select("cid").distinct().join(facts, "cid").join(sketched.select("row", "words"), "row").drop("row")
+    rest = buckets.join(sizes, "key").join(written(facts, "open-texts"), "cid")
+    with _small_batches(rest):
+        crossed = written(_cross_links(rest, least), "crossed")
+    return grouped if crossed.isEmpty() else components(links.unionByName(crossed))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -225,10 +283,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one class from the start; null texts and texts without words are one class. kept: id = component_id (null
     ids come last; repeated rows with that id are all kept).
 
-    Buckets (texts with the same sketch key) are handled without pairs of members: first every member is compared
-    with the bucket's first one only. That settles groups of copies however large, in linear work. Buckets which
-    then still hold several components are compared in full, part against part, by word counts that bound the
-    distance from below, and what these allow is aligned too; so no two texts that share a sketch escape.
+    Buckets (texts with the same sketch key) are handled without pairs of members: every member is compared with
+    one member only, and in a few more turns those outside the largest component with one of that. This settles
+    groups of copies however large, in linear work. Buckets which then still hold several components are compared
+    in full, part against part in one task, by word counts that bound the distance from below, and what these
+    allow is aligned there; so no two texts that share a sketch escape.
     """
     return _decisions(docs, id_col, text_col, least).drop("_text_hash")
 
@@ -243,26 +302,12 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, least: float) -> Dat
         "text-classes",
     )
     entries = written(classes.select(F.explode("keys").alias("key"), "cid").distinct(), "sketch-entries")
-    pivots = entries.groupBy("key").agg(F.min("cid").alias("b"), F.count("*").alias("_rows")).filter("_rows > 1")
-    pivots = written(pivots, "pivots")
-    starred = written(
-        entries.join(pivots, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "starred")
-    links = _verified(starred, classes, sketched, least)
-    grouped = components(links).withColumnRenamed("node", "cid")
-
-    placed = entries.join(pivots.select("key", "_rows"), "key").join(grouped, "cid", "left").select(
-        "key", "_rows", "cid", F.coalesce("component", "cid").alias("component"))
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
-    open_keys = written(open_keys.filter("_x <> _y").select("key"), "open-keys")
-    rest = placed.join(open_keys, "key").join(classes.select("cid", "n_words", "profile"), "cid")
-    crossed = written(_cross_pairs(rest, least).join(starred, ["a", "b"], "left_anti"), "crossed")
-    if not crossed.isEmpty():
-        links = links.unionByName(_verified(crossed, classes, sketched, least))
-        grouped = components(links).withColumnRenamed("node", "cid")
+    shared = entries.groupBy("key").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("key")
+    members = written(entries.join(written(shared, "shared-keys"), "key"), "bucket-members")
+    grouped = _bucket_links(members, classes, sketched, least)
 
     placed = written(
-        classes.select("same", "cid", "rep", "n").join(grouped, "cid", "left")
+        classes.select("same", "cid", "rep", "n").join(grouped.withColumnRenamed("node", "cid"), "cid", "left")
         .withColumn("component", F.coalesce("component", "cid")),
         "classes-placed",
     )

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from plaintide.llm import alignment, embedding_dedup, exact_dedup, heavy, links, order_minhash
 from tests.llm.conftest import answers
@@ -121,7 +122,9 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_alignment_equals_edit_distance():
+@pytest.mark.parametrize("cells", [0, 1 << 22])
+def test_alignment_equals_edit_distance(monkeypatch, cells):
+    monkeypatch.setattr(alignment, "CELLS", cells)
     r = random.Random(6)
     for _ in range(400):
         a = [r.randrange(4) for _ in range(r.randrange(14))]
@@ -151,27 +154,24 @@ def test_near_duplicates_equal_brute_force(docs, monkeypatch):
     words = order_minhash.word_hashes([t or "" for t in texts])
     pairs = [
         (i + 1, j + 1) for i in range(len(texts)) for j in range(i)
-        if (len(words[i]) and len(words[j]) and alignment.similar(words[i], words[j], 0.8)) or not len(words[i]) + len(words[j])
+        if (len(words[i]) and len(words[j]) and alignment.similar(alignment.Words(words[i].astype('<u4')), alignment.Words(words[j].astype('<u4')), 0.8)) or not len(words[i]) + len(words[j])
     ]
     heads = grouped(pairs, range(1, len(texts) + 1))
     sizes = Counter(heads.values())
     assert got == {i: (h, sizes[h], h == i) for i, h in heads.items()}
 
 
-def test_buckets_left_open_are_compared_in_full(docs, spark, monkeypatch):
-    """A chain a ~ b ~ c in one bucket whose first member is unlike the others."""
-    r = random.Random(8)
+def test_buckets_left_open_are_compared_in_full(spark):
+    """Two alike and one unlike text in a bucket; of two shared keys only the first counts."""
     passage = [f"p{i}" for i in range(40)]
-    other = passage + [f"x{r.random()}" for _ in range(60)]
     base = passage + [f"y{i}" for i in range(60)]
-    near = base[:70] + ["z"] * 12 + base[82:]
-    monkeypatch.setattr(order_minhash, "sketches", lambda words, seed=1: [1])
-    found = order_minhash._cross_pairs(
-        spark.createDataFrame(
-            [(1, 3, i, i, len(w), order_minhash.profile(h))
-             for i, (w, h) in enumerate(zip((other, base, near), order_minhash.word_hashes([" ".join(x) for x in (other, base, near)])))],
-            "key bigint, _rows bigint, cid bigint, component bigint, n_words bigint, profile binary"), 0.8).collect()
-    assert [(x.a, x.b) for x in found] == [(2, 1)]
+    texts = [passage + [f"x{i}" for i in range(60)], base, base[:70] + ["z"] * 12 + base[82:]]
+    hashes = order_minhash.word_hashes([" ".join(x) for x in texts])
+    rows = [(k, 3, i, i, len(w), order_minhash.profile(h), [1, 5], h.astype("<u4").tobytes())
+            for k in (1, 5) for i, (w, h) in enumerate(zip(texts, hashes))]
+    table = spark.createDataFrame(rows, "key bigint, _rows bigint, cid bigint, component bigint, n_words bigint, "
+                                        "profile binary, keys array<bigint>, words binary")
+    assert [(x.a, x.b) for x in order_minhash._cross_links(table, 0.8).collect()] == [(1, 2)]
 
 
 def test_near_duplicate_rows(docs):
