@@ -45,3 +45,23 @@ def components(links: DataFrame) -> DataFrame:
             moves.pop().join(later, "to", "left").select("node", F.coalesce("_end", "to").alias("to")), "moves")
     smallest = written(final.groupBy("to").agg(F.min("node").alias("component")), "roots")
     return written(final.join(smallest, "to").select("node", "component"), "components")
+
+
+def extended(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) that further links make of those in `grouped`.
+
+    Links are renamed to the components they join, so only what is new is contracted.
+    """
+    def named(side):
+        return grouped.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+
+    ends = written(
+        links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")),
+        "renamed-links",
+    )
+    moved = components(ends).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+    new = nodes.join(grouped, "node", "left_anti").withColumn("component", F.col("node"))
+    every = grouped.unionByName(new).join(moved, "component", "left")
+    return written(every.select("node", F.coalesce("_to", "component").alias("component")), "components")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plaintide.llm.alignment import Words, similar
 from plaintide.llm.arrow import text_batches, type_of
 from plaintide.llm.keeping import keep_documents, text_hash
-from plaintide.llm.links import components
+from plaintide.llm.links import components, extended
 from plaintide.llm.scratch import written
 from plaintide.llm.segments import layouts, mixed, plain_words
 
@@ -252,14 +252,13 @@ def _pivot_pairs(buckets: DataFrame, turn: int) -> DataFrame:
 def _bucket_links(members: DataFrame, classes: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
     """node and component of the classes that verified links connect, from the buckets' members (key, cid)."""
     buckets = members.select("key", "cid", F.col("cid").alias("component"))
-    links = compared = None
+    grouped = compared = None
     for turn in range(TURNS):
         pairs = _pivot_pairs(buckets, turn)
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pivot-pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = _verified(pairs, classes, sketched, least)
-        links = found if links is None else links.unionByName(found)
-        grouped = components(links)
+        grouped = components(found) if grouped is None else extended(grouped, found)
         buckets = _open_buckets(buckets, grouped)
         if buckets.isEmpty() or found.isEmpty():
             break
@@ -271,7 +270,7 @@ def _bucket_links(members: DataFrame, classes: DataFrame, sketched: DataFrame, l
     rest = buckets.join(sizes, "key").join(written(facts, "open-texts"), "cid")
     with _small_batches(rest):
         crossed = written(_cross_links(rest, least), "crossed")
-    return grouped if crossed.isEmpty() else components(links.unionByName(crossed))
+    return grouped if crossed.isEmpty() else extended(grouped, crossed)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:

@@ -74,6 +74,16 @@ def test_components_of_any_shape(spark):
     assert links.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_extended_by_links(spark):
+    r = random.Random(6)
+    pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)]
+    first = links.components(spark.createDataFrame(pairs[:30], "a bigint, b bigint"))
+    got = answers(links.extended(first, spark.createDataFrame(pairs[30:], "a bigint, b bigint")), "component")
+    heads = grouped([p for p in pairs if p[0] != p[1]], {n for p in pairs for n in p})
+    assert all(heads[n] == c for n, c in got.items())
+    assert {n for p in pairs if p[0] != p[1] for n in p} <= set(got)
+
+
 def vectors_near(r, base, cosine):
     other = r.standard_normal(len(base))
     other -= other @ base * base / (base @ base)
