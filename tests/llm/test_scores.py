@@ -141,6 +141,14 @@ def test_mixing_exponent(docs):
     assert mixing.mixed_documents(df.limit(0), mixing.mixing_plan(df.limit(0))).count() == 0
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    df = docs(*["a b c d"] * 90, sources=[f"s{i % 7}" if i % 3 else "hot" for i in range(90)])
+    few = mixing.planned_copies(df, mixing.mixing_plan(df)).select("doc_id", "_mix_copies").collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    many = mixing.planned_copies(df, mixing.mixing_plan(df)).select("doc_id", "_mix_copies").collect()
+    assert sorted(few) == sorted(many) and len(many) == 90
+
+
 def test_mixing_of_repeated_rows(docs):
     df = docs(*["a b c"] * 6, ids=[1, 1, 2, 2, None, None], sources=["s", "s", "t", "t", "t", "t"])
     assert mixing.mixed_documents(df, mixing.mixing_plan(df)).count() >= 6
