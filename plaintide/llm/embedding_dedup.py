@@ -7,10 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.llm.links import components
+from plaintide.llm.links import components, extended
 from plaintide.llm.scratch import written
 
 #: Directions of a hash: a vector's hash is the one of 2*DIRECTIONS signed random directions nearest to it.
@@ -23,16 +23,25 @@ WINDOW, BLOCK = 64, 2048
 AGREE = 0.45
 #: Vectors on either side of a task that compares the members of a component.
 PART = 1024
+#: Passes on which crowding is measured.
+TRIAL = 2
 
 
-def passes_for(vectors: int, recall: float = 0.99) -> int:
-    """Passes after which a pair at the threshold has met with the given chance.
+def hashes_for(vectors: int) -> int:
+    """Leading hashes that cut so many vectors, were they spread evenly over the codes, to windows."""
+    return max(1, math.ceil(math.log(max(vectors / WINDOW, 1.1), 2 * DIRECTIONS)))
+
 
-    A pass brings a pair into one window if as many leading hashes agree as it takes to tell all but a window
-    of the vectors apart; so the number grows with the logarithm of the table, whatever its content.
+def passes_with(hashes: int, recall: float = 0.99) -> int:
+    """Passes in one of which so many leading hashes of a pair at the threshold agree, with the given chance.
+
+    The directions don't depend on the vectors, so neither does this chance.
     """
-    hashes = max(1, math.ceil(math.log(max(vectors / WINDOW, 1.1), 2 * DIRECTIONS)))
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**hashes))
+    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**hashes)) if hashes else 1
+
+
+def passes_for(vectors: int, recall: float = 0.99) -> int:
+    return passes_with(hashes_for(vectors), recall)
 
 
 def _matrix(values: list[bytes], kind: str) -> np.ndarray:
@@ -65,7 +74,7 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, st
     return chosen.mapInArrow(pack, f"_id {id_kind}, _vector binary"), kind
 
 
-def _sort_keys(classes: DataFrame, kind: str, passes: int, seed: int) -> DataFrame:
+def _sort_keys(classes: DataFrame, kind: str, passes: range, seed: int) -> DataFrame:
     """pass, key and cid: a long of concatenated hashes per vector and pass, so that numeric order is theirs."""
 
     def keys(batches):
@@ -77,7 +86,7 @@ def _sort_keys(classes: DataFrame, kind: str, passes: int, seed: int) -> DataFra
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 rows = _matrix([values[i] for i in own], kind)
-                for turn in range(passes):
+                for turn in passes:
                     code = np.zeros(len(own), np.int64)
                     for h in range(HASHES):
                         if (spot := (rows.shape[1], turn * HASHES + h)) not in directions:
@@ -97,7 +106,7 @@ def _sort_keys(classes: DataFrame, kind: str, passes: int, seed: int) -> DataFra
 
 
 def _ranked(keys: DataFrame) -> DataFrame:
-    """cid and rank in the order of pass, vector length and key; ties by cid, so equal keys fill several tasks."""
+    """The keys with their rank in the order of pass, vector length and key; ties by cid, so equal keys fill several tasks."""
     order = ["pass", "size", "key", "cid"]
     place = F.monotonically_increasing_id()
     ordered = written(
@@ -113,7 +122,7 @@ def _ranked(keys: DataFrame) -> DataFrame:
         at += row.n
     offsets = keys.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
     rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.join(F.broadcast(offsets), "_part").select("cid", rank.alias("rank"))
+    return ordered.join(F.broadcast(offsets), "_part").select(*order, rank.alias("rank"))
 
 
 class _Sets:
@@ -164,6 +173,97 @@ def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: f
     )
 
 
+def _prefix(hashes: int):
+    """The leading hashes of a key; with none, one run holds all vectors of a length."""
+    return F.shiftright("key", 7 * (HASHES - hashes)) if hashes else F.lit(0).cast("bigint")
+
+
+def _crowding(keys: DataFrame, grouped: DataFrame, most: int) -> list[float]:
+    """For 0, 1, ... `most` leading hashes: pairs a pass that lie in one run, overflow its window and are not joined yet."""
+    runs = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), _prefix(h).alias("run")) for h in range(most + 1)]))
+    placed = keys.filter(F.col("pass") < TRIAL).join(grouped.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    run = ["pass", "size", "h", "run"]
+    counts = placed.select("pass", "size", "component", runs.alias("_r")).select("pass", "size", "_r.*", "component")
+    n = F.col("n").cast("double")
+    pairs = (
+        counts.groupBy(*run, "component").agg(F.count("*").alias("n"))
+        .groupBy(*run).agg(F.sum(n).alias("n"), F.sum(F.when(F.col("component").isNull(), n).otherwise(n * n)).alias("joined"))
+        .filter(F.col("n") > WINDOW + 1)
+        .groupBy("h").agg((F.sum(n * n - F.col("joined")) / 2 / TRIAL).alias("pairs"))
+    )
+    found = {r.h: r.pairs for r in pairs.collect()}
+    return [found.get(h, 0.0) for h in range(most + 1)]
+
+
+def _run_links(keys: DataFrame, classes: DataFrame, grouped: DataFrame, kind: str, threshold: float, hashes: int,
+               covered: int) -> DataFrame:
+    """Verified links a, b between components inside runs of equal leading hashes, compared in full.
+
+    Runs of passes below `covered` that fit a window were compared there. A run is dealt into parts of about PART
+    vectors and every two parts meet in one task. Vectors of a large component fill parts of their own, which
+    don't meet each other. A task returns only enough links to keep its components.
+    """
+
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        own, ids, joined = pair["_part"].to_numpy(), pair["cid"].to_numpy(), pair["component"].to_numpy()
+        left, right = (np.flatnonzero(own == pair[c].iloc[0]) for c in ("_p", "_q"))
+        tops = np.arange(len(pair))
+        if len(left) and len(right):
+            a, b = (_matrix(pair["_vector"].iloc[x].tolist(), kind) for x in (left, right))
+            linked = (_cosines(a, b) >= threshold) & (joined[left][:, None] != joined[right][None, :])
+            rows, columns = linked.any(1), linked.any(0)
+            left, right, linked = left[rows], right[columns], linked[rows][:, columns]
+            while linked.size:
+                before = tops.copy()
+                tops[left] = np.minimum(tops[left], np.where(linked, tops[right][None, :], len(pair)).min(1))
+                tops[right] = np.minimum(tops[right], np.where(linked, tops[left][:, None], len(pair)).min(0))
+                if (before == tops).all():
+                    break
+        found = pd.DataFrame({"a": ids, "b": ids[tops] if len(ids) else ids})
+        return found[found["a"] != found["b"]]
+
+    run = ["pass", "size", "run"]
+    placed = (
+        keys.select("pass", "size", _prefix(hashes).alias("run"), "cid")
+        .join(grouped.select(F.col("node").alias("cid"), "component"), "cid", "left")
+        .withColumn("component", F.coalesce("component", "cid"))
+    )
+    least = F.when(F.col("pass") < covered, WINDOW + 1).otherwise(1)
+    crowded = written(
+        placed.groupBy(*run).agg(F.count("*").alias("_n"), F.min("component").alias("_c"), F.max("component").alias("_d"))
+        .filter((F.col("_n") > least) & (F.col("_c") < F.col("_d"))).select(*run, "_n"),
+        "crowded-runs",
+    )
+    members = written(placed.join(crowded, run).drop("_n"), "run-members")
+    # At most one row per PART vectors.
+    large = members.groupBy(*run, "component").agg(F.count("*").alias("_m")).filter(F.col("_m") >= PART)
+    large = large.withColumn("_own", F.ceil(F.col("_m") / PART).cast("int"))
+    upto = Window.partitionBy(*run).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = written(large.withColumn("_from", F.coalesce(F.sum("_own").over(upto), F.lit(0)).cast("int")), "large-components")
+    inside = large.groupBy(*run).agg(F.sum("_own").cast("int").alias("_first"), F.sum("_m").alias("_m"))
+    sizes = written(
+        crowded.join(inside, run, "left").select(
+            *run, F.coalesce("_first", F.lit(0)).alias("_first"),
+            F.ceil((F.col("_n") - F.coalesce("_m", F.lit(0))) / PART).cast("int").alias("_rest")),
+        "run-sizes",
+    )
+    spread = F.xxhash64("cid")
+    part = F.when(F.col("_own").isNotNull(), F.col("_from") + F.pmod(spread, "_own")).otherwise(
+        F.col("_first") + F.pmod(spread, "_rest")).cast("int")
+    every = F.sequence(F.lit(0), F.col("_first") + F.col("_rest") - 1)
+    others = F.when(F.col("_own").isNull(), every).otherwise(
+        F.filter(every, lambda x: (x < F.col("_from")) | (x >= F.col("_from") + F.col("_own"))))
+    dealt = (
+        members.join(sizes, run).join(large.drop("_m"), [*run, "component"], "left")
+        .withColumn("_part", part).withColumn("_other", F.explode(others))
+        .withColumn("_p", F.least("_part", "_other")).withColumn("_q", F.greatest("_part", "_other"))
+    )
+    return (
+        dealt.select(*run, "_p", "_q", "_part", "cid", "component").join(classes.select("cid", "_vector"), "cid")
+        .groupBy(*run, "_p", "_q").applyInPandas(compare, "a bigint, b bigint").distinct()
+    )
+
+
 def _links_inside(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     """cid and links: the vectors (copies counted) linked with each member of a component, all pairs compared.
 
@@ -212,11 +312,18 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
 
     Passes: each orders all classes by a key of concatenated random hashes (nearest signed direction out of 128),
     so similar vectors come close, and compares every vector with its 64 neighbours; verified pairs of all
-    passes are united. passes_for() gives the number of passes that finds a pair at the threshold with the
-    wanted chance. The bound on neighbours loses nothing within a component: there all pairs are compared, part
-    against part, and counted. A pair whose vectors no chain of verified pairs joins is the only possible loss.
-
-    Vectors move once per pass and once per part of their component; keys and ids otherwise.
+    passes are united. Then runs of equal leading hashes that overflow the window are compared in full, part against
+    part, without the pairs joined already. passes_with() gives the number of passes in one of which a pair at the
+    threshold shares the leading hashes with the wanted chance, and a pair that shares them is always compared,
+    however crowded its neighbourhood is. How many hashes lead follows from the crowding measured on TRIAL passes:
+    the number with the fewest pairs to compare; none, i.e. all pairs of the table, if vectors are so alike that
+    hashes don't tell them apart. Hashes are of the vectors as they are: without their mean, a linked pair can be as
+    far apart as any other. Within a component all pairs are compared, part against part, and counted. A pair whose
+    vectors no chain of verified pairs joins is the only possible loss.
+
+    A crowd of m vectors that are alike but not linked costs up to m * m / 2 comparisons.
+
+    Vectors move once per pass and once per part of their component or crowded run; keys and ids otherwise.
     """
     vectors, kind = _vectors(df, id_col, vector_col)
     packed = written(vectors.withColumn("_key", F.unhex(F.sha2("_vector", 256))), "vectors")
@@ -227,9 +334,19 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
         .withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    passes = passes_for(classes.count(), recall)
-    links = _window_links(_ranked(_sort_keys(classes, kind, passes, seed)), classes, kind, threshold)
-    found = components(links)
+    total = classes.count()
+    passes = passes_for(total, recall)
+    ranked = _ranked(_sort_keys(classes, kind, range(passes), seed))
+    found = components(_window_links(ranked, classes, kind, threshold))
+    usual = hashes_for(total)
+    pairs = _crowding(ranked, found, max(4, usual))
+    wanted = [passes_with(h, recall) for h in range(len(pairs))]
+    cost = [p * n + max(0, p - passes) * total * WINDOW for p, n in zip(wanted, pairs)]
+    hashes = min(range(len(pairs)), key=lambda h: (cost[h], h != usual))
+    keys = ranked.filter(F.col("pass") < wanted[hashes]).drop("rank")
+    if wanted[hashes] > passes:
+        keys = keys.unionByName(_sort_keys(classes, kind, range(passes, wanted[hashes]), seed))
+    found = extended(found, _run_links(keys, classes, found, kind, threshold, hashes, passes))
     members = written(
         found.withColumnRenamed("node", "cid").join(classes.select("cid", "rep", "n", "_vector"), "cid"), "members")
     counts = _links_inside(members.drop("rep"), kind, threshold)

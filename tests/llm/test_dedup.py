@@ -115,6 +115,27 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert len(got) == len(table)
 
 
+@pytest.mark.parametrize("crowd, part", [(0.8, 1024), (0.8, 150), (0.6, 1024)])
+def test_pairs_in_a_crowd_of_unlinked_vectors(spark, monkeypatch, crowd, part):
+    """A third of the vectors lie around one direction, too far apart for links but under the same hashes."""
+    r = np.random.default_rng(5)
+    topic = r.standard_normal(64)
+    rows = [vectors_near(r, topic, np.sqrt(crowd)) for _ in range(1500)]
+    rows += [vectors_near(r, rows[i], 0.92) for i in range(300)] + [vectors_near(r, topic, 0.99) for _ in range(200)]
+    rows += [r.standard_normal(64) for _ in range(3000)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    heads = grouped(np.argwhere(np.triu(close)).tolist(), range(len(rows)))
+    monkeypatch.setattr(embedding_dedup, "PART", part)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = answers(embedding_dedup.near_duplicate_vectors(df.repartition(4)), "n_links", "component_id", "kept")
+    right = sum(got[i] == (close[i].sum(), heads[i], heads[i] == i) for i in range(len(rows)))
+    linked = np.flatnonzero(close.any(1))
+    met = sum(got[i][1] == heads[i] for i in linked)
+    assert len(got) == len(rows) and met >= 0.99 * len(linked) and right >= 0.99 * len(rows)
+
+
 def test_vectors_repeated_rows_and_empty_table(spark):
     table = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0]), (3, [-1.0, -2.0])]
     df = spark.createDataFrame(table, "vec_id bigint, embedding array<float>")
