@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plaintide.functions.sentiment import probabilities
 from plaintide.functions.terms import term_words, with_pairs
+from plaintide.operators.cleaning import dense_ids
 from plaintide.operators.vectors import smooth_idf
 from plaintide.rules.sentiment import LABELS
 from plaintide.runtime import cut_lineage
@@ -186,21 +187,25 @@ def predicted_label(probs: Column) -> Column:
     return F.coalesce(*[F.when(s == best, F.lit(n)) for n, s in zip(LABELS, scores)])
 
 
-def training_folds(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
-    """id, text, label, fold: every label is dealt out evenly, in the order of a hash of the text.
+def training_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """id, text, label, fold of all rows: every label is dealt out evenly, in the order of a hash of the text."""
+    kept = cut_lineage(rows.select("text", "label"))
+    numbered = dense_ids(kept.withColumn("_hash", F.xxhash64("text")), ["label", "_hash"], "id").drop("_hash")
+    # One row per label.
+    first = numbered.groupBy("label").agg(F.min("id").alias("_first"))
+    fold = ((F.col("id") - F.col("_first")) % folds).cast("int")
+    return cut_lineage(numbered.join(F.broadcast(first), "label").select("id", "text", "label", fold.alias("fold")))
 
-    The bound on the training texts bounds the three windows.
-    """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    return cut_lineage(bounded(rows, most).withColumn("fold", (F.row_number().over(order) - 1) % folds))
 
+def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
+    """Held-out prediction of every training text: text, label, predicted.
 
-def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Held-out prediction of every training text: text, label, predicted."""
+    Each fold's model is fitted on at most `most` of the texts outside it; all texts are predicted.
+    """
     folded = training_folds(require_enough(rows), folds)
     predictions = None
     for fold in range(folds):
-        trained = _fitted(folded.filter(F.col("fold") != fold).drop("fold"))
+        trained = _fitted(bounded(folded.filter(F.col("fold") != fold), most))
         held_out = folded.filter(F.col("fold") == fold).select("text", "label")
         scored = trained.with_probabilities(held_out, "text", "probs")
         scored = scored.select("text", "label", predicted_label(F.col("probs")).alias("predicted"))
@@ -208,9 +213,9 @@ def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS) -> DataFram
     return predictions
 
 
-def cross_validated_accuracy(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+def cross_validated_accuracy(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
     """Held-out accuracy in percent, one row."""
     hits = (F.col("label") == F.col("predicted")).cast("int")
-    return cross_validated_predictions(rows, folds).agg(
+    return cross_validated_predictions(rows, folds, most).agg(
         F.count("*").alias("texts"), F.bround(F.avg(hits) * 100, 1).alias("accuracy")
     )

@@ -64,6 +64,14 @@ def test_few_texts_are_enough_for_folds(labelled):
     assert model.cross_validated_accuracy(rows).first().texts == 66
 
 
+def test_bound_on_fitting_leaves_no_text_out(labelled, monkeypatch):
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
+    bounded = model.bounded
+    monkeypatch.setattr(model, "bounded", lambda rows, most=0: bounded(rows, 40))
+    assert model.training_folds(rows).count() == 72
+    assert model.cross_validated_accuracy(rows).first().texts == 72
+
+
 def test_model_on_a_stream(spark, labelled, tmp_path):
     from plaintide import TextSentiment
     from plaintide.streaming.feedback import profile_stream, read_feedback_stream, write_profiles
