@@ -1,4 +1,11 @@
-"""Near-duplicate texts by order MinHash, verified by banded alignment."""
+"""Near-duplicate texts by order MinHash, verified by banded alignment.
+
+Pairs are verified at an edit similarity of 0.8 over words, but met through sketches of five-word k-mers, so the
+chance to meet falls before that: by the review's estimate for scattered word edits, an edit similarity of 0.90 is a
+five-word Jaccard of 0.42 and met with 0.84, 0.85 is 0.29 and 0.43, 0.80 is 0.20 and 0.17. Pairs that share a shingle
+similarity of 0.8 but differ by a moved block, or by more repeats of one passage, of over 20 % of the words fail the
+alignment and both stay.
+"""
 
 from __future__ import annotations
 
