@@ -37,15 +37,24 @@ TURNS = 2
 STRETCH, ROWS = 512, 512
 
 
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """The words between white space of each text, lower-cased, as 64-bit hashes."""
-    hashes, counts = [], np.zeros(len(texts), np.int64)
+def word_hashes(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The words between white space of each text, lower-cased, as 64-bit hashes, and a digest of the words themselves."""
+    hashes, counts, digests = [], np.zeros(len(texts), np.int64), [hashlib.md5() for _ in texts]
     for run in layouts([t.lower() for t in texts]):
         starts, ends = plain_words(run)
         hashes.append(run.running()(starts, ends))
-        np.add.at(counts, run.owner_of(starts), 1)
+        owners = run.owner_of(starts)
+        np.add.at(counts, owners, 1)
+        # The code points of the words with a space behind each.
+        lengths = ends - starts + 1
+        at = np.cumsum(lengths) - lengths
+        letters = run.codes[np.repeat(starts - at, lengths) + np.arange(int(lengths.sum()))]
+        letters[at + lengths - 1] = 32
+        heads = np.flatnonzero(np.diff(owners, prepend=-1))
+        for head, after in zip(heads.tolist(), np.append(heads[1:], len(owners)).tolist()):
+            digests[owners[head]].update(letters[at[head] : at[after - 1] + lengths[after - 1]].tobytes())
     every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    return np.split(every, np.cumsum(counts)[:-1]) if len(texts) else []
+    return np.split(every, np.cumsum(counts)[:-1]) if len(texts) else [], [d.digest() for d in digests]
 
 
 def sketches(words: np.ndarray, seed: int = 1) -> list[int]:
@@ -120,11 +129,11 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def sketch(batches):
         for rows, texts in text_batches(batches, "_text"):
-            words = word_hashes(texts)
+            words, digests = word_hashes(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0), rows.column(1),
-                    pa.array([hashlib.md5(w.tobytes()).digest() for w in words], pa.binary()),
+                    pa.array(digests, pa.binary()),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([profile(w) for w in words], pa.binary()),
                     pa.array([sketches(w) for w in words], pa.list_(pa.int64())),

@@ -1,13 +1,15 @@
 """Whole texts cut into words by array operations, and a bounded per-worker table of word results.
 
 A run of texts is laid out as one array of code points with a separator behind each text. Word starts
-are found on the whole array, every word gets a 64-bit hash from running sums, and only words not met
-before in this Python worker reach the slow path. Two different words get the same hash with a chance
-of about 1e-19 per pair; no result is cut, sampled or rounded.
+are found on the whole array, every word gets a 64-bit hash, and only words not met before in this
+Python worker reach the slow path. Hashes come from running sums; a sum has words of 1,024 letters and
+more that collide for certain, so words beyond SUMMED code points are hashed by BLAKE2b instead. The table
+of results compares the code points of every word with the word it holds, so a shared hash changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -19,6 +21,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 #: Characters laid out at once; a longer text is cut in front of a single space between two words.
 CHUNK = 1 << 20
+#: Code points up to which a word's hash is a running sum.
+SUMMED = 64
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -107,7 +111,11 @@ class Layout:
         np.cumsum(_code_values()[codes] * up[: len(codes)], out=sums[1:])
 
         def hashes(starts, ends):
-            return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            found = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            for i in np.flatnonzero(ends - starts > SUMMED).tolist():
+                word = codes[starts[i] : ends[i]].astype("<u4").tobytes()
+                found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            return found
 
         return hashes
 
@@ -202,14 +210,16 @@ def letter_words(run: Layout) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """Results of words met before, by hash: a row of numbers each, of any length.
+    """Results of words met before: a row of numbers each, of any length.
 
-    It lives as long as the Python worker and holds at most `most` words; when full it starts again,
-    which costs time and changes no result.
+    A word is looked up by its hash and then compared with the word of that hash, code point by code point; words
+    that share a hash with another have a dictionary of their own. The table lives as long as the Python worker and
+    holds about `most` words and `room` code points and numbers; when full it starts again, which costs time and
+    changes no result.
     """
 
-    def __init__(self, solve: Callable[[list[str]], list], most: int = 2_000_000):
-        self.solve, self.most = solve, most
+    def __init__(self, solve: Callable[[list[str]], list], most: int = 2_000_000, room: int = 1 << 24):
+        self.solve, self.most, self.room = solve, most, room
         self.clear()
 
     def clear(self) -> None:
@@ -218,7 +228,11 @@ class WordTable:
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
-        self.count = self.used = 0
+        #: Code points of the words, one after the other, and where each word's begin.
+        self.letters = np.zeros(1 << 18, np.uint32)
+        self.spelt = np.zeros(1 << 16, np.int64)
+        self.odd: dict[bytes, int] = {}
+        self.count = self.used = self.written = 0
 
     def _room(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -227,12 +241,35 @@ class WordTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
+    def _add(self, run: Layout, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Solves words and gives them slots."""
+        rows = self.solve(run.words(starts, ends))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        total = int(sizes.sum())
+        fresh = np.arange(self.count, self.count + len(rows))
+        lengths = ends - starts
+        spelt = np.cumsum(lengths) - lengths
+        letters = int(lengths.sum())
+        for name, need in (("flat", self.used + total), ("start", self.count + len(rows)), ("size", self.count + len(rows)),
+                           ("spelt", self.count + len(rows)), ("letters", self.written + letters)):
+            self._room(name, need)
+        self.flat[self.used : self.used + total] = np.fromiter((x for row in rows for x in row), np.int32, total)
+        self.start[fresh] = self.used + np.cumsum(sizes) - sizes
+        self.size[fresh] = sizes
+        self.spelt[fresh] = self.written + spelt
+        self.letters[self.written : self.written + letters] = codes[np.repeat(starts - spelt, lengths) + np.arange(letters)]
+        self.used += total
+        self.written += letters
+        self.count += len(rows)
+        return fresh
+
     def find(self, run: Layout, starts: np.ndarray, ends: np.ndarray, codes=None) -> np.ndarray:
         """The slot of every word."""
         if not len(starts):
             return np.empty(0, np.int64)
+        codes = run.codes if codes is None else codes
         keys, where, back = np.unique(run.running(codes)(starts, ends), return_index=True, return_inverse=True)
-        if self.count + len(keys) > self.most:
+        if self.count + len(keys) > self.most or self.used > self.room or self.written > self.room:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -242,22 +279,30 @@ class WordTable:
         slots[known] = self.slots[place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            rows = self.solve(run.words(starts[where[new]], ends[where[new]]))
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            total = int(sizes.sum())
-            self._room("flat", self.used + total)
-            self._room("start", self.count + len(rows))
-            self._room("size", self.count + len(rows))
-            self.flat[self.used : self.used + total] = np.fromiter((x for row in rows for x in row), np.int32, total)
-            fresh = np.arange(self.count, self.count + len(rows))
-            self.start[fresh] = self.used + np.cumsum(sizes) - sizes
-            self.size[fresh] = sizes
+            fresh = self._add(run, codes, starts[where[new]], ends[where[new]])
             slots[new] = fresh
             self.keys = np.insert(self.keys, place[new], keys[new])
             self.slots = np.insert(self.slots, place[new], fresh)
-            self.used += total
-            self.count += len(rows)
-        return slots[back.ravel()]
+        found = slots[back.ravel()]
+        for i in np.flatnonzero(~self._spelt_as(codes, starts, ends, found)).tolist():
+            word = codes[starts[i] : ends[i]].tobytes()
+            if word not in self.odd:
+                self.odd[word] = int(self._add(run, codes, starts[i : i + 1], ends[i : i + 1])[0])
+            found[i] = self.odd[word]
+        return found
+
+    def _spelt_as(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Whether each word has the code points of the word in its slot."""
+        lengths = ends - starts
+        own = np.append(self.spelt[1 : self.count], self.written) - self.spelt[: self.count]
+        same = own[slots] == lengths
+        at = np.cumsum(lengths) - lengths
+        every = np.arange(int(lengths.sum()))
+        held = np.repeat(np.where(same, self.spelt[slots], 0) - at, lengths) + every
+        unlike = codes[np.repeat(starts - at, lengths) + every] != self.letters[np.minimum(held, self.written - 1)]
+        if unlike.any():
+            same &= np.add.reduceat(unlike, at) == 0
+        return same
 
     def rows(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words in order, and how many each word has."""

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from plaintide.llm import byte_bpe, scratch, simple8b, token_counts, token_file
 from plaintide.llm.queries import BYTE_BPE, PIECE_BPE, tokenizer_file
-from plaintide.llm.segments import CHUNK, Layout, byte_level_words, layouts
+from plaintide.llm.segments import CHUNK, Layout, WordTable, byte_level_words, layouts
 from tests.llm.conftest import answers
 
 BYTES, PIECES = tokenizer_file(BYTE_BPE), tokenizer_file(PIECE_BPE)
@@ -71,6 +71,39 @@ def test_word_table_starts_again_when_full():
         assert table.count <= 6
 
 
+def thue_morse(n, one="a", other="b"):
+    return "".join(other if bin(i).count("1") % 2 else one for i in range(n))
+
+
+#: Pairs of words with equal sums, whatever odd base the sums have.
+TWINS = [thue_morse(n, *own) for n in (1024, 2048, 4096) for own in ("ab", "ba")]
+
+
+def test_words_whose_sums_collide_are_told_apart():
+    assert [x.tolist() for x in byte_bpe.encode(TWINS, BYTES)] == library_ids(TWINS)
+    assert token_counts.count_texts(TWINS, PIECES).tolist() == [len(x) for x in SENTENCES.encode(TWINS)]
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(Layout, "running", lambda self, codes=None: lambda a, b: np.uint64(7) * (b - a > 2))
+    table = WordTable(lambda words: [[len(w), *map(ord, w)] for w in words], room=60)
+    r = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(9)) for _ in range(3)]
+        run = Layout(texts, range(3))
+        starts, ends = byte_level_words(run)
+        numbers, sizes = table.rows(table.find(run, starts, ends))
+        want = [[len(w), *map(ord, w)] for w in run.words(starts, ends)]
+        assert [x.tolist() for x in np.split(numbers, np.cumsum(sizes)[:-1])] == want
+
+
+def test_twins_in_a_token_file(spark, docs):
+    path = scratch.new_path(spark, "twins")
+    token_file.write_token_file(docs(*TWINS).coalesce(1), path, BYTES)
+    found = sorted(token_file.read_token_file(spark, path).collect(), key=lambda r: r.start)
+    assert [r.ids[:-1] for r in found] == library_ids(TWINS)
+
+
 def test_token_count_rows(docs):
     got = answers(token_counts.token_counts(docs("a b", None, "", "word " * 5000, ids=[1, 2, None, 4]), PIECES),
                   "n_bytes", "n_tokens", "over_limit")
