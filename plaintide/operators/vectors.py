@@ -81,8 +81,8 @@ def top_terms(ranked: DataFrame, n: int = 4) -> DataFrame:
 def text_weights(texts: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
     """Unit TF-IDF vectors of the distinct texts of each issue, every text counted once.
 
-    One row per text and term: issue_label, text_id, term, weight, holding (texts with the term).
-    Texts without any term have no row.
+    One row per text and term: issue_label, text_id, term, weight, holding (texts with the term), place (a number
+    of the term that rises with holding, then term). Texts without any term have no row.
     """
     distinct = texts.withColumn("copies", F.lit(1).cast("bigint"))
     counts = cut_lineage(term_counts(distinct, stop_words))
@@ -92,9 +92,14 @@ def text_weights(texts: DataFrame, stop_words: list[str] | None = None) -> DataF
     idf = holding.join(F.broadcast(documents), GROUP).select(
         GROUP, "term", "holding", smooth_idf(F.col("documents"), F.col("holding")).alias("idf")
     )
+    order = ["holding", "term", GROUP]
+    # Written, as the numbers come from the layout.
+    idf = cut_lineage(
+        idf.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    )
     raw = lookup(counts, idf, [GROUP, "term"], counts.count()).withColumn(
         "_raw", F.col("tf") * F.col("idf")
     )
     one_text = Window.partitionBy(GROUP, "text_id")
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(one_text))
-    return raw.select(GROUP, "text_id", "term", (F.col("_raw") / norm).alias("weight"), "holding")
+    return raw.select(GROUP, "text_id", "term", (F.col("_raw") / norm).alias("weight"), "holding", "place")

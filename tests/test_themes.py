@@ -57,6 +57,8 @@ def test_themes_equal_all_pairs(spark, monkeypatch, small_blocks):
         monkeypatch.setattr(themes, "BLOCK", 2)
         monkeypatch.setattr(skew, "HOT_ROWS", 1)
         monkeypatch.setattr(skew, "HOT_SHARE", 0.01)
+        monkeypatch.setattr(themes, "SEGMENT", 1)
+        monkeypatch.setattr(themes, "ROUND_PAIRS", 20)
     groups = {"x": random_texts(1, 40, 25, 6), "y": random_texts(2, 30, 8, 4)}
     rows, expected = [], {}
     for offset, (label, texts) in enumerate(groups.items()):
@@ -67,6 +69,33 @@ def test_themes_equal_all_pairs(spark, monkeypatch, small_blocks):
     assert {r.text_id: r.theme_id for r in found} == expected
 
 
+def test_pieces_hold_every_term_once(spark, monkeypatch):
+    monkeypatch.setattr(themes, "SEGMENT", 3)
+    rows = [(1, i, 1 / (i + 1)) for i in range(100)] + [(2, i, 0.5) for i in (7, 5, 9)] + [(3, i, 0.5) for i in range(4)]
+    found = themes.segments(spark.createDataFrame(rows, "text_id int, place bigint, weight double")).collect()
+    for text in (1, 2, 3):
+        own = sorted((r for r in found if r.text_id == text), key=lambda r: r.seg)
+        want = sorted((p, w) for t, p, w in rows if t == text)
+        assert [(e.place, e.weight) for r in own for e in r.entries] == want
+        assert [len(r.entries) for r in own[:-1]] == [3, 12, 48][: len(own) - 1] and len(own[-1].entries) > 0
+        for r in own:
+            assert r.until == r.entries[-1].place and r.more == (r is not own[-1])
+            assert r.ahead == pytest.approx(sum(w * w for p, w in want if p > r.until))
+
+
+def test_first_terms_settle_most_pairs(spark):
+    """Candidates grow slower than the square of a term's texts: rows that reach no other component go."""
+    def texts(n):
+        rng = random.Random(n)
+        return {i: f"shared word {' '.join(f'own{i}x{k}' for k in range(rng.randint(6, 12)))}" for i in range(n)}
+
+    for n in (50, 100):
+        df = spark.createDataFrame([("x", t, 1, i) for i, t in texts(n).items()], SCHEMA)
+        postings = themes.prefix_postings(vectors.text_weights(df, []))
+        none = spark.createDataFrame([], "node bigint, component bigint")
+        assert themes.possible_rows(postings, none, 10_000).count() == 0
+
+
 def test_chain_and_loner(spark):
     texts = {1: "red apple pie", 2: "red apple pie with cream cake", 3: "cream cake sold", 9: "nothing alike"}
     rows = [("x", t, 1, i) for i, t in texts.items()]
