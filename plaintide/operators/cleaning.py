@@ -135,33 +135,57 @@ def clean_records(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     return min_words(dedupe_records(cleaned, f, roles.key), f)
 
 
-def quality_report(df: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """Row counters of the cleaning steps, one row, from one shuffle of the distinct records."""
+#: Columns that distinct_records adds.
+COPIES, WORDS = "_copies", "_word_count"
+
+
+def distinct_records(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+    """The cleaned records, equal ones once, with `_copies` (rows of the source) and `_word_count`.
+
+    One pass and one shuffle for everything that cleaning decides: `valid_records` filters this table and
+    `quality_counters` adds it up. Of equal records the one with the smallest row key is kept. All rows without a
+    text, which need no comparison, are one record with an empty text.
+    """
     f = roles.feedback
-    counters = ["records_received", "records_processed", "duplicates_removed", "missing_handled",
-                "short_removed", "valid_records"]
-    if f not in df.columns:
-        zeros = [F.lit(0).cast("bigint").alias(c) for c in counters[1:]]
-        return df.agg(F.count("*").alias(counters[0])).select(counters[0], *zeros)
     cleaned = clean_feedback(df, f)
     missing = F.col(f) == ""
-    # Missing rows need no comparison: with all their columns nulled they count as one group.
-    same = [
-        F.when(~missing, F.col(c)).alias(f"_{i}") if c != f else F.col(c)
-        for i, c in enumerate(dedupe_columns(df.columns, f))
-    ]
-    groups = cleaned.groupBy(*same).agg(F.count("*").alias("n"))
-    short = word_count(F.col(f)) < MIN_WORDS
+    bare = cleaned.select(*[F.col(c) if c == f else F.when(~missing, F.col(c)).alias(c) for c in df.columns])
+    same = dedupe_columns(df.columns, f)
+    rest = sorted((c for c in df.columns if c not in same), key=lambda c: c != roles.key)
+    kept = [F.min(F.struct(*rest)).alias("_first")] if rest else []
+    grouped = bare.groupBy(*same).agg(F.count("*").alias(COPIES), *kept)
+    columns = [F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
+    return grouped.select(*columns, COPIES, word_count(F.col(f)).alias(WORDS))
+
+
+def valid_records(records: DataFrame, feedback: str) -> DataFrame:
+    """The rows of `distinct_records` that clean_records keeps, without the added columns."""
+    return records.filter((F.col(feedback) != "") & (F.col(WORDS) >= MIN_WORDS)).drop(COPIES, WORDS)
+
+
+def quality_counters(records: DataFrame, feedback: str) -> DataFrame:
+    """Row counters of the cleaning steps from `distinct_records`, one row."""
+    n, missing, short = F.col(COPIES), F.col(feedback) == "", F.col(WORDS) < MIN_WORDS
 
     def total(value):
         return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
     valid = total(F.when(~missing & ~short, 1))
-    return groups.agg(
-        total(F.col("n")).alias("records_received"),
+    return records.agg(
+        total(n).alias("records_received"),
         valid.alias("records_processed"),
-        total(F.when(~missing, F.col("n") - 1)).alias("duplicates_removed"),
-        total(F.when(missing, F.col("n"))).alias("missing_handled"),
+        total(F.when(~missing, n - 1)).alias("duplicates_removed"),
+        total(F.when(missing, n)).alias("missing_handled"),
         total(F.when(~missing & short, 1)).alias("short_removed"),
         valid.alias("valid_records"),
     )
+
+
+def quality_report(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+    """Row counters of the cleaning steps, one row, from one shuffle of the distinct records."""
+    f = roles.feedback
+    if f not in df.columns:
+        counters = ["records_processed", "duplicates_removed", "missing_handled", "short_removed", "valid_records"]
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in counters]
+        return df.agg(F.count("*").alias("records_received")).select("records_received", *zeros)
+    return quality_counters(distinct_records(df.select(*dedupe_columns(df.columns, f)), roles), f)

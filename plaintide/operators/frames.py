@@ -84,12 +84,15 @@ def top_row(df: DataFrame, count: str, label: str) -> DataFrame:
     return df.orderBy(F.desc(count), F.asc(label)).limit(1)
 
 
+#: The label columns that reports and insights count by.
+PROFILE = ["sentiment", "emotion", "topic", "topic_source", "topic_detected", "detected_issue", "issue_confidence",
+           "is_complaint", "priority"]
+
+
 def label_profile(df: DataFrame, period: str | None = None) -> DataFrame:
     """Row counts per combination of labels: the one aggregate that reports and insights need.
 
     Its size depends on the number of labels and months, not on the number of rows.
     """
-    names = ["sentiment", "emotion", "topic", "topic_source", "topic_detected", "detected_issue",
-             "issue_confidence", "is_complaint", "priority"]
-    names = [n for n in names if n in df.columns] + ([period] if period else [])
+    names = [n for n in PROFILE if n in df.columns] + ([period] if period else [])
     return df.groupBy(*names).agg(row_count(df).alias(WEIGHT))

@@ -19,7 +19,7 @@ from plaintide.operators import (
     trends,
     vectors,
 )
-from plaintide.operators.frames import label_profile
+from plaintide.operators.frames import PROFILE, label_profile
 from plaintide.operators.text_sentiment import TextSentiment
 from plaintide.roles import ColumnRoles
 from plaintide.runtime import cut_lineage
@@ -58,31 +58,64 @@ def enrich(
 
 
 class Analysis:
-    """Lazy results of one table. Build it with `analyze`."""
+    """Lazy results of one table. Build it with `analyze`.
 
-    def __init__(self, source: DataFrame, roles: ColumnRoles, enriched: DataFrame):
-        self.source = source
+    `records` are the distinct records with their copy counts, written once; ids, quality counters and all scored
+    rows come from there. `scored` may already hold the enriched rows.
+    """
+
+    def __init__(self, records: DataFrame, cleaned: DataFrame, roles: ColumnRoles,
+                 text_sentiment: TextSentiment | None = None, scored: DataFrame | None = None):
+        self.records = records
+        self.cleaned = cleaned
         self.roles = roles
-        self.enriched = enriched
+        self.text_sentiment = text_sentiment
+        self._scored = scored
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        """The cleaned rows with the columns of all scorers, written."""
+        if self._scored is not None:
+            return self._scored
+        return cut_lineage(enrich(self.cleaned, self.roles, text_sentiment=self.text_sentiment))
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """The cleaned rows with the label columns that the results below read, written.
+
+        The enriched rows if these are there already; otherwise confidences and reasons are not computed.
+        """
+        if self._scored is not None or "enriched" in self.__dict__:
+            return self.enriched
+        return cut_lineage(enrich(self.cleaned, self.roles, PROFILE, self.text_sentiment))
 
     @cached_property
     def quality(self) -> DataFrame:
-        return cleaning.quality_report(self.source, self.roles)
+        return cleaning.quality_counters(self.records, self.roles.feedback)
+
+    @cached_property
+    def layouts(self) -> list[str] | None:
+        """How dates in text are read, decided once."""
+        date = self.roles.date
+        if date in self.cleaned.columns and dict(self.cleaned.dtypes)[date] == "string":
+            return trends.date_layouts(self.cleaned, date)
+        return None
 
     @cached_property
     def dated(self) -> DataFrame | None:
-        """The enriched rows with a month; None without a date column."""
+        """The scored rows with a month; None without a date column."""
         date = self.roles.date
-        if not date or date not in self.enriched.columns:
+        if not date or date not in self.cleaned.columns:
             return None
-        return trends.with_period(self.enriched, date)
+        return trends.with_period(self.labelled, date, self.layouts)
 
     @cached_property
     def profile(self) -> DataFrame:
-        """Label counts, from one pass over the enriched rows; small, so kept."""
-        if self.dated is None:
-            return cut_lineage(label_profile(self.enriched))
-        return cut_lineage(label_profile(trends.add_period(self.enriched, self.roles.date), "period"))
+        """Label counts, from one pass over the scored rows; small, so kept."""
+        date = self.roles.date
+        if not date or date not in self.cleaned.columns:
+            return cut_lineage(label_profile(self.labelled))
+        return cut_lineage(label_profile(trends.add_period(self.labelled, date, self.layouts), "period"))
 
     @cached_property
     def issue_summary(self) -> DataFrame:
@@ -90,7 +123,7 @@ class Analysis:
 
     @cached_property
     def complaints(self) -> DataFrame:
-        return recurring.complaint_rows(self.enriched, self.roles.feedback)
+        return recurring.complaint_rows(self.labelled, self.roles.feedback)
 
     @cached_property
     def complaint_texts(self) -> DataFrame:
@@ -99,7 +132,7 @@ class Analysis:
     @cached_property
     def recurring_core(self) -> DataFrame:
         """The scalar columns of the recurring issues, ranked; a few rows, so kept."""
-        counts = recurring.recurring_counts(self.enriched, self.roles)
+        counts = recurring.recurring_counts(self.labelled, self.roles)
         return cut_lineage(recurring.ranked_by_volume(counts))
 
     @cached_property
@@ -113,7 +146,7 @@ class Analysis:
             vectors.top_terms(vectors.ranked_terms(texts)),
             themes.themes_array(found),
         ]
-        segments = recurring.segments_of(self.enriched)
+        segments = recurring.segments_of(self.labelled)
         parts += [recurring.top_segment(self.complaints, s) for s in segments]
         for part in parts:
             result = result.join(part, "issue_label", "left")
@@ -139,21 +172,20 @@ def analyze(
     key: str = "feedback_id",
     text_sentiment: TextSentiment | None = None,
 ) -> Analysis:
-    """Cleans and scores `df` once; every result reads the scored rows.
+    """Cleans `df` once; every result reads the distinct records written then.
 
-    The scored rows are written as Parquet to `enriched_path`, or else below the shared folder, and read
-    back, so each result reads only the columns it needs. Rows keep their ids if these are unique and are
-    numbered otherwise. `text_sentiment` names a trained model, a lexicon or both for the texts without a
+    The scored rows are written as Parquet when a result first needs them, below the shared folder, or at once to
+    `enriched_path`, and read back, so each result reads only the columns it needs. Results that read labels only
+    compute only those; ask for `enriched` first if both are wanted. Rows keep their ids if these are unique and
+    are numbered otherwise. `text_sentiment` names a trained model, a lexicon or both for the texts without a
     usable rating; without it the keyword scorer judges them.
     """
     source = cleaning.normalize_headers(df)
     roles = roles or detect_roles(source, key)
-    cleaned = cleaning.clean_records(source, roles)
-    cleaned = cleaning.assign_feedback_id(cleaned, name=roles.key)
-    enriched = enrich(cleaned, roles, text_sentiment=text_sentiment)
+    records = cut_lineage(cleaning.distinct_records(source, roles))
+    cleaned = cleaning.assign_feedback_id(cleaning.valid_records(records, roles.feedback), name=roles.key)
+    scored = None
     if enriched_path:
-        enriched.write.mode("overwrite").parquet(enriched_path)
-        enriched = df.sparkSession.read.parquet(enriched_path)
-    else:
-        enriched = cut_lineage(enriched)
-    return Analysis(source, roles, enriched)
+        enrich(cleaned, roles, text_sentiment=text_sentiment).write.mode("overwrite").parquet(enriched_path)
+        scored = df.sparkSession.read.parquet(enriched_path)
+    return Analysis(records, cleaned, roles, text_sentiment, scored)

@@ -41,6 +41,29 @@ def test_repeated_ids_are_renumbered(spark):
         assert sum(t["count"] for t in issue.themes) <= issue.occurrences
 
 
+def test_analyze_cleans_once(spark, monkeypatch):
+    from plaintide.operators import cleaning
+
+    calls = []
+    clean_feedback = cleaning.clean_feedback
+    monkeypatch.setattr(cleaning, "clean_feedback", lambda *a: calls.append(1) or clean_feedback(*a))
+    rows = [(1, TEXTS[0], 2), (2, TEXTS[0], 2), (3, " ", 1), (4, None, 5), (5, "short", 1), (6, TEXTS[1], 1), (7, TEXTS[1], 3)]
+    source = spark.createDataFrame(rows, "feedback_id bigint, feedback string, rating int")
+    found = analyze(source, ColumnRoles(feedback="feedback", rating="rating"))
+    for result in (found.cleaned, found.profile, found.quality, found.recurring_core, found.insights):
+        plan = optimized(result)
+        assert "regexp_replace(cast(feedback" not in plan and "regexp_replace(feedback" not in plan
+        result.collect()
+    assert len(calls) == 1
+    assert found.quality.first().asDict() == cleaning.quality_report(source, ColumnRoles(feedback="feedback")).first().asDict() == {
+        "records_received": 7, "records_processed": 3, "duplicates_removed": 1, "missing_handled": 2,
+        "short_removed": 1, "valid_records": 3}
+    assert sorted(r.feedback_id for r in found.cleaned.collect()) == [1, 6, 7]
+    kept = cleaning.clean_records(source, ColumnRoles(feedback="feedback")).collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, found.cleaned.collect()))
+    assert found.labelled.columns[-1] == "priority" and "priority_reasons" in found.enriched.columns
+
+
 def test_text_sentiment_of_a_lexicon_table(spark, feedback):
     table = spark.createDataFrame([("zwonk", 3.0), ("frabb", -3.0), ("frabb", None), (None, 1.0)], "word string, valence double")
     df = feedback("all zwonk here", "all frabb here", "nothing at all")
