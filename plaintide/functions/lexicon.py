@@ -48,33 +48,42 @@ def is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def word_facts(words: Column, lexicon: dict[str, float]) -> Column:
-    """Per word: its valence (0 if unknown), degree (-1, 0, 1), negation and capitals."""
+def inline_valences(words: Column, lexicon: dict[str, float]) -> Column:
+    """The valence of each word, null if unknown, from a small lexicon that becomes part of the expression."""
     parts = max(1, len(lexicon) // MAP_WORDS)
     pairs: list[list] = [[] for _ in range(parts)]
     for word, valence in lexicon.items():
         pairs[zlib.crc32(word.encode()) % parts] += [F.lit(word), F.lit(float(valence))]
     empty = F.create_map().cast("map<string,double>")
     maps = F.array(*[F.create_map(*own) if own else empty for own in pairs])
+    known = list(lexicon)
+
+    def valence(word: Column) -> Column:
+        lower = F.lower(word)
+        own = F.element_at(maps, (F.crc32(lower.cast("binary")) % parts + 1).cast("int"))
+        return F.when(lower.isin(known), F.try_element_at(own, lower))
+
+    return F.transform(words, valence)
+
+
+def word_facts(words: Column, valences: Column) -> Column:
+    """Per word: its valence (0 if unknown), degree (-1, 0, 1), negation and capitals."""
     strong = [w for w, sign in DEGREE_WORDS.items() if sign > 0]
     weak = [w for w, sign in DEGREE_WORDS.items() if sign < 0]
-    known = list(lexicon)
 
-    def facts(word: Column) -> Column:
+    def facts(word: Column, own: Column) -> Column:
         lower = F.lower(word)
         degree = F.when(lower.isin(strong), 1.0).when(lower.isin(weak), -1.0).otherwise(0.0)
-        own = F.element_at(maps, (F.crc32(lower.cast("binary")) % parts + 1).cast("int"))
-        valence = F.when(lower.isin(known) & (degree == 0), F.try_element_at(own, lower)).otherwise(0.0)
         return F.struct(
-            valence.alias("valence"),
-            lower.isin(known).alias("known"),
+            F.when(own.isNotNull() & (degree == 0), own).otherwise(0.0).alias("valence"),
+            own.isNotNull().alias("known"),
             degree.alias("degree"),
             (lower.isin(NEGATION_WORDS) | lower.contains("n't")).alias("negates"),
             is_upper(word).alias("upper"),
             (lower == "but").alias("but"),
         )
 
-    return F.transform(words, facts)
+    return F.zip_with(words, valences, facts)
 
 
 def valence_sum(facts: Column, mixed_case: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plaintide.functions import lexicon as lex
 from plaintide.functions import sentiment as sen
 from plaintide.operators import scoring
+from plaintide.operators import lexicon as lexicon_operators
 from plaintide.operators.lexicon import with_compound
 from plaintide.rules import lexicon as rules
 
@@ -117,6 +118,28 @@ def test_lexicon_against_word_by_word_rules(feedback):
         assert row.compound == pytest.approx(by_hand(row.feedback, lexicon), abs=6e-5), row.feedback
 
 
-def test_lexicon_size_is_bounded(feedback):
-    with pytest.raises(ValueError):
-        with_compound(feedback("x"), "feedback", {f"w{i}": 1.0 for i in range(20_001)})
+LEXICON_TEXTS = ["The product is good.", "not GOOD at all!!", "w7 w19999 but w20000", "W5 w5 but never w6", "", None, "unknown words only",
+                 "so w3, hardly w4???"]
+
+
+def test_large_lexicons_score_as_small_ones_do(spark, feedback, monkeypatch):
+    lexicon = {f"w{i}": (i % 9 - 4) / 2 for i in range(20_001)} | {"good": 1.9}
+    want = {t: by_hand(t, lexicon) for t in LEXICON_TEXTS if t}
+    table = spark.createDataFrame([*lexicon.items(), ("good", None), (None, 1.0), ("w3", 9.0)], "word string, valence double")
+    df = feedback(*LEXICON_TEXTS)
+    for given, bound in ((lexicon, None), (table, None), (table, 0)):
+        if bound is not None:
+            monkeypatch.setattr(lexicon_operators, "BROADCAST_BYTES", bound)
+        found = {r.feedback: r.compound for r in with_compound(df, "feedback", given).collect()}
+        assert len(found) == len(LEXICON_TEXTS) and found[None] is None
+        for text, score in want.items():
+            assert found[text] == pytest.approx(score, abs=6e-5), text
+    monkeypatch.undo()
+    plans = [len(with_compound(df, "feedback", {f"w{i}": 1.0 for i in range(n)})._jdf.queryExecution().optimizedPlan().toString())
+             for n in (1_000, 100_000)]
+    assert abs(plans[0] - plans[1]) < 100
+
+
+def test_empty_lexicon(spark, feedback):
+    empty = spark.createDataFrame([], "word string, valence double")
+    assert [r.compound for r in with_compound(feedback("good", "", None), "feedback", empty).orderBy("feedback_id").collect()] == [0.0, 0.0, None]
