@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +25,9 @@ MIN_ROWS = 60
 #: Bound on the labelled texts that a model is fitted on: its vocabulary and weights live on every node, and
 #: both grow with these texts. The texts with the smallest hashes are taken.
 MAX_ROWS = 100_000
+#: Bounds on the vocabulary: the terms that most texts hold, none longer than this many characters. What the driver
+#: and the workers keep then doesn't depend on the length of the texts.
+MAX_TERMS, MAX_TERM_LENGTH = 500_000, 200
 C = 5.0
 FOLDS = 5
 
@@ -59,18 +62,30 @@ class TextModel:
     intercepts: np.ndarray
 
     @cached_property
-    def places(self) -> dict[str, int]:
-        return {term: i for i, term in enumerate(self.terms)}
-
-    def scores(self, terms) -> np.ndarray:
-        """Class probabilities of a list of terms; those unknown to the model don't count."""
-        counts = Counter(self.places[t] for t in terms if t in self.places)
-        places = np.fromiter(counts, np.int64, len(counts))
-        values = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[places]
-        norm = np.sqrt((values * values).sum())
-        logits = self.intercepts + (self.weights[:, places] @ (values / norm) if norm else 0)
-        odds = np.exp(logits - logits[np.isfinite(logits)].max())
-        return odds / odds.sum()
+    def known_terms(self) -> pa.Array:
+        return pa.array(self.terms, pa.string())
+
+    def scores(self, terms: pa.ListArray) -> np.ndarray:
+        """Class probabilities (a row each) of lists of terms; terms unknown to the model don't count.
+
+        The batch is one sparse matrix: places and counts of the known terms by row, scaled to unit rows and
+        multiplied with the weights.
+        """
+        rows = len(terms)
+        sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        flat = terms.flatten()
+        found = pc.index_in(flat, value_set=self.known_terms.cast(flat.type))
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        places = found.drop_null().to_numpy().astype(np.int64)
+        width = max(len(self.terms), 1)
+        cells, counts = np.unique(np.repeat(np.arange(rows), sizes)[known] * width + places, return_counts=True)
+        row, place = np.divmod(cells, width)
+        values = (1 + np.log(counts)) * self.idf[place]
+        norms = np.sqrt(np.bincount(row, values * values, rows))
+        values = values / norms[row]
+        logits = np.stack([np.bincount(row, values * w[place], rows) for w in self.weights], axis=1) + self.intercepts
+        odds = np.exp(logits - logits.max(axis=1, initial=-np.inf, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
 
     def with_probabilities(self, df: DataFrame, feedback: str, name: str = "_probs") -> DataFrame:
         """Adds the class probabilities (negative, neutral, positive); absent classes get 0, null texts null.
@@ -105,14 +120,13 @@ def _scorer(model):
     """The scoring function for a broadcast model, which each Python worker builds once."""
     number = model._jbroadcast.id() if hasattr(model, "_jbroadcast") else id(model)
 
-    @F.pandas_udf("negative double, neutral double, positive double")
-    def score(terms: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("negative double, neutral double, positive double")
+    def score(terms: pa.Array) -> pa.Array:
         if number not in _loaded:
             _loaded.clear()
             _loaded[number] = TextModel(*model.value)
-        found = _loaded[number]
-        rows = [found.scores(t) if t is not None else (None, None, None) for t in terms]
-        return pd.DataFrame(rows, columns=["negative", "neutral", "positive"], dtype=float)
+        columns = _loaded[number].scores(terms).T
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=SHARES)
 
     return score
 
@@ -124,10 +138,12 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, documents: int) -> DataFrame:
-    """All terms of the training texts with index and idf."""
-    holding = counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("holding"))
-    # The bound on the training texts bounds these rows.
-    indexed = holding.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
+    """The MAX_TERMS terms that most training texts hold (ties: the smaller one) with index and idf."""
+    usable = counts.filter(F.length("term") <= MAX_TERM_LENGTH)
+    holding = usable.groupBy("term").agg(F.count("*").alias("holding"))
+    kept = holding.orderBy(F.desc("holding"), "term").limit(MAX_TERMS)
+    # At most MAX_TERMS rows.
+    indexed = kept.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
     return cut_lineage(indexed.select("term", "index", smooth_idf(F.lit(documents), F.col("holding")).alias("idf")))
 
 

@@ -1,3 +1,8 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +48,61 @@ def test_saved_model_scores_alike(spark, labelled, tmp_path):
     trained = model.train_text_model(rows)
     trained.save(spark, str(tmp_path / "model"))
     again = model.TextModel.load(spark, str(tmp_path / "model"))
-    for terms in (["lovely", "box"], ["dreadful"], [], ["unknown"]):
-        assert again.scores(terms) == pytest.approx(trained.scores(terms))
+    terms = pa.array([["lovely", "box"], ["dreadful"], [], ["unknown"], None])
+    assert again.scores(terms) == pytest.approx(trained.scores(terms))
+
+
+def by_hand(trained, text):
+    """Class probabilities of one text, term by term."""
+    words = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split() if len(w) > 1]
+    counts = Counter(t for t in [*words, *map(" ".join, zip(words, words[1:]))] if t in trained.terms)
+    values = {t: (1 + math.log(n)) * trained.idf[trained.terms.index(t)] for t, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    logits = [b + sum(v / norm * w[trained.terms.index(t)] for t, v in values.items())
+              for w, b in zip(trained.weights, trained.intercepts)]
+    odds = [math.exp(x - max(logits)) for x in logits]
+    return [x / sum(odds) for x in odds]
+
+
+def test_predictions_by_hand(spark, labelled):
+    trained = model.train_text_model(model.training_rows(labelled, "feedback", "sentiment", "feedback_id"))
+    texts = ["a lovely LOVELY box", "dreadful, dreadful hat and cup", "", "x", "unseen words", "a plain pen a plain pen", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for batch in (1, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found = trained.with_probabilities(df.coalesce(1), "t", "p").orderBy("i").collect()
+        assert found[-1].p is None
+        for row in found[:-1]:
+            assert list(row.p) == pytest.approx(by_hand(trained, row.t))
+    absent = model.TextModel(trained.terms, trained.idf, trained.weights, np.array([0.5, -np.inf, 0.1]))
+    for text, row in zip(texts[:-1], absent.with_probabilities(df, "t", "p").orderBy("i").collect()):
+        assert list(row.p) == pytest.approx(by_hand(absent, text)) and row.p[1] == 0
+
+
+def test_fitted_weights_are_a_minimum(labelled):
+    """The gradient of the regularised loss vanishes, computed text by text."""
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
+    trained, texts = model.train_text_model(rows), rows.collect()
+    sizes = Counter(r.label for r in texts)
+    slope = trained.weights / (model.C * len(texts))
+    for r in texts:
+        probs = np.array(by_hand(trained, r.text))
+        probs[model.LABELS.index(r.label)] -= 1
+        words = r.text.split()[1:]
+        own = Counter([*words, *map(" ".join, zip(words, words[1:]))])
+        x = np.zeros(len(trained.terms))
+        for t, n in own.items():
+            x[trained.terms.index(t)] = (1 + math.log(n)) * trained.idf[trained.terms.index(t)]
+        slope += np.outer(probs, x / np.sqrt((x * x).sum())) / (len(sizes) * sizes[r.label])
+    assert np.abs(slope).max() < 2e-3
+
+
+def test_vocabulary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(model, "MAX_TERMS", 3)
+    rows = [(1, "aa"), (2, "aa"), (1, "bb"), (2, "bb"), (1, "cc"), (2, "dd"), (3, "x" * 300), (4, "x" * 300), (5, None)]
+    counts = spark.createDataFrame(rows, "id int, term string")
+    found = model.build_vocabulary(counts, 5).orderBy("index").collect()
+    assert [r.term for r in found] == ["aa", "bb", "cc"] and [r["index"] for r in found] == [0, 1, 2]
 
 
 def test_bound_on_labelled_rows(labelled):
