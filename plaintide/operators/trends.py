@@ -11,46 +11,87 @@ from pyspark.sql import types as T
 from plaintide.operators.frames import counts_by
 from plaintide.rules.issue import NO_ISSUE
 
-# Layouts of dates in text, beside the ISO forms that a cast understands. Where month and day can be
-# told apart in two ways, both are here, the month first one before.
-DAY_OR_MONTH_FIRST = ["M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "M.d.yyyy", "M/d/yy", "d/M/yy"]
-PLAIN = ["yyyy/M/d", "yyyy.M.d", "yyyy-M-d", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy",
-         "d MMMM yyyy", "d-MMM-yyyy"]
-TIMES = ["[ H:mm[:ss]]", "[ h:mm[:ss] a]"]
-COMPACT = r"^[0-9]{8}$"
-
-
-def _with_layout(value, layout: str):
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout + time)) for time in TIMES])
-
-
-def _read_dates(value, ambiguous: list[str]):
-    """A text as a timestamp: ISO forms, then eight digits, then the layouts in order."""
-    text = F.trim(value)
-    compact = F.when(text.rlike(COMPACT), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    tidy = F.initcap(F.lower(text))
-    named = [_with_layout(F.regexp_replace(tidy, r"\b(Am|Pm)$", F.upper(F.regexp_extract(tidy, r"(Am|Pm)$", 1))), x) for x in PLAIN]
-    return F.coalesce(compact, F.when(~text.rlike(COMPACT), text.try_cast("timestamp")),
-                      *[_with_layout(F.upper(text), x) for x in ambiguous], *named)
+# Shapes of dates in text, beside the ISO forms that a cast understands. Names of months and days.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december"]
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+#: Two digits from here on are a year of the 1900s, others one of the 2000s.
+FIRST_YEAR_OF_1900S = 69
+
+_TIME = r"(?:,?[ t]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)? ?(?:am|pm)?(?: ?(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?)?"
+_DAY = r"(?:(?:" + "|".join(f"{d[:3]}(?:{d[3:]})?" for d in DAYS) + r")\.?,? )?"
+_MONTH = r"([a-z]{3,9})\.?"
+#: Shape of a text in lower case, and which group holds the year, the month and the day (0: the first of the month).
+SHAPES = [
+    (rf"^(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$", 1, 3, 4),
+    (rf"^{_DAY}(\d{{1,2}})(?:st|nd|rd|th)?[ -](?:of )?{_MONTH},?[ -](\d{{4}}|\d{{2}}){_TIME}$", 3, 2, 1),
+    (rf"^{_DAY}{_MONTH}[ -](\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_TIME}$", 3, 1, 2),
+    (rf"^{_MONTH},?[ -](\d{{4}})$", 2, 1, 0),
+    (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
+]
+#: Day and month in an order that the column decides: number, separator, number, year.
+EITHER = rf"^{_DAY}(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$"
+
+
+def _tidy(value):
+    return F.lower(F.regexp_replace(F.trim(value), r"\s+", " "))
+
+
+def _year(text):
+    """Four digits as they are, two by the rule of the century."""
+    century = F.when(text >= f"{FIRST_YEAR_OF_1900S:02d}", "19").otherwise("20")
+    return F.when(F.length(text) == 2, F.concat(century, text)).otherwise(text)
+
+
+def _month(text):
+    """The number of a month from digits or its name, "sept" or its first letters; null for other words."""
+    named = F.coalesce(*[F.when(F.lit(m).startswith(text), F.lit(str(i + 1))) for i, m in enumerate(MONTHS)])
+    return F.when(text.rlike(r"^\d"), text).when(F.length(text) >= 3, named)
+
+
+def _class_of(text):
+    """Separator and number of year digits of a text of the shape EITHER, empty for others."""
+    separator, year = F.regexp_extract(text, EITHER, 2), F.regexp_extract(text, EITHER, 4)
+    return F.concat(separator, F.when(year != "", F.length(year).cast("string")).otherwise(""))
+
+
+def _read_dates(value, day_first: list[str]):
+    """A text as a timestamp: its shape gives year, month and day, which are parsed once."""
+    text = _tidy(value)
+    first, second = (F.regexp_extract(text, EITHER, i) for i in (1, 3))
+    numbers = [F.try_to_number(x, F.lit("99")) for x in (first, second)]
+    # A month beyond 12 can only be the day, whatever the column says.
+    day_leads = (_class_of(text).isin(day_first) & (numbers[1] <= 12)) | (numbers[0] > 12)
+    month, day = F.when(day_leads, second).otherwise(first), F.when(day_leads, first).otherwise(second)
+    parts = F.when(text.rlike(EITHER), F.concat_ws("-", _year(F.regexp_extract(text, EITHER, 4)), month, day))
+    for shape, y, m, d in SHAPES:
+        group = {i: F.regexp_extract(text, shape, i) for i in (y, m, d) if i}
+        month = _month(group[m])
+        found = F.when(month.isNotNull(), F.concat_ws("-", _year(group[y]), month, group[d] if d else F.lit("1")))
+        parts = parts.when(text.rlike(shape), found)
+    digits = text.rlike(r"^\d+$")
+    return F.when(parts.isNotNull(), F.try_to_timestamp(parts, F.lit("yyyy-M-d"))).when(
+        ~digits | (F.length(text) == 4), F.trim(value).try_cast("timestamp"))
 
 
 def date_layouts(df: DataFrame, date: str) -> list[str]:
-    """The layouts with the day or the month first, those that read most of the column's values first.
+    """The classes of dates (separator and year digits, as "/4") whose day stands before the month.
 
-    One aggregate over all rows decides for the whole column, so 1/5 and 25/12 are read alike.
+    One aggregate over all rows decides for the whole column, so 1/5 and 25/12 are read alike: the values that
+    allow one order only vote for it. Without a majority the month goes first, but behind full stops the day.
     """
-    text = F.upper(F.trim(F.col(date)))
-    counts = [F.count(_with_layout(text, x)).alias(f"c{i}") for i, x in enumerate(DAY_OR_MONTH_FIRST)]
-    found = df.agg(*counts).first()
-    order = sorted(range(len(DAY_OR_MONTH_FIRST)), key=lambda i: -found[f"c{i}"])
-    return [DAY_OR_MONTH_FIRST[i] for i in order if found[f"c{i}"]]
+    text = _tidy(F.col(date))
+    numbers = [F.try_to_number(F.regexp_extract(text, EITHER, i), F.lit("99")) for i in (1, 3)]
+    votes = [F.count(F.when((numbers[i] > 12) & (numbers[1 - i] <= 12), 1)).alias(n) for i, n in enumerate(("day", "month"))]
+    found = df.groupBy(_class_of(text).alias("class")).agg(*votes).filter(F.col("class") != "").collect()
+    return sorted(r["class"] for r in found if r.day > r.month or (r.day == r.month and r["class"].startswith(".")))
 
 
 def add_period(df: DataFrame, date: str, layouts: list[str] | None = None) -> DataFrame:
     """Adds `period` as yyyy-MM, null where the date is not readable.
 
-    Texts are read by ISO and the usual layouts; `layouts` settles the order of day and month, which is found
-    out from the column otherwise. Numbers are nanoseconds since 1970.
+    Texts are read by ISO and the usual shapes; `layouts` (from date_layouts) settles the order of day and month,
+    which is found out from the column otherwise. Of two-digit years 69 to 99 are in the 1900s. Numbers are nanoseconds since 1970.
     """
     value, kind = F.col(date), df.schema[date].dataType
     if isinstance(kind, T.StringType):

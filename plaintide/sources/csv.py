@@ -17,6 +17,10 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 OVERFLOW = "_overflow"
 
+#: What counts as a number: casts also accept Java's suffixes (12d, 7f) and hexadecimal forms, which are codes here.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"(?i)^\s*[+-]?([0-9]+(\.[0-9]*)?(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+
 
 def detect_separator(lines: list[str]) -> str:
     """The separator that splits the header into most columns, a comma if none does."""
@@ -77,15 +81,19 @@ def read_feedback_csv(
     return _with_number_types(blank)
 
 
+def _number(value, kind: str, grammar: str):
+    return F.when(value.rlike(grammar), value.try_cast(kind))
+
+
 def _with_number_types(df: DataFrame) -> DataFrame:
-    """Casts the text columns whose values are all numbers; one aggregate over the data."""
+    """Casts the text columns whose values are all numbers by a strict grammar; one aggregate over the data."""
     checks = []
     for i, name in enumerate(df.columns):
         value = F.col(name)
         checks += [
             F.count(value).alias(f"n_{i}"),
-            F.count(value.try_cast("bigint")).alias(f"i_{i}"),
-            F.count(value.try_cast("double")).alias(f"d_{i}"),
+            F.count(_number(value, "bigint", WHOLE)).alias(f"i_{i}"),
+            F.count(_number(value, "double", DECIMAL)).alias(f"d_{i}"),
         ]
     found = df.agg(F.count("*").alias("rows"), *checks).first()
     columns = []

@@ -80,6 +80,12 @@ def test_text_sentiment_of_a_lexicon_table(spark, feedback):
     (["1/5/2024", "25/12/2023", "3/4/2024"], ["2024-05", "2023-12", "2024-04"]),
     (["2024/1/5", "January 5, 2024", "Jan 05 2024", "20240105", "2024-01-05T10:00:00", "5 jan 2024", "05-Jan-2024"], ["2024-01"] * 7),
     (["1/5/2024 3:15 PM", "5.1.2024", "soon", None, ""], ["2024-01", "2024-01", None, None, None]),
+    (["Sept 5, 2024", "March 2024", "5th March 2024", "Fri, 05 Jan 2024", "12/31/99", "1/31/68", "Monday, March 4th, 2024 10:30 am"],
+     ["2024-09", "2024-03", "2024-03", "2024-01", "1999-12", "2068-01", "2024-03"]),
+    (["31/2/2024", "13/13/2024", "Juno 5, 2024", "2024-03", "2024/13/1", "5 Sep. 2024 23:59:59 UTC", "123456", "2024"],
+     [None, None, None, "2024-03", None, "2024-09", None, "2024-01"]),
+    (["13/1/2024", "1/14/2024", "1/2/2024", "13-1-24", "2-1-24", "2-1-2024"],
+     ["2024-01", "2024-01", "2024-01", "2024-01", "2024-01", "2024-02"]),
 ])
 def test_text_dates(spark, texts, periods):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, d string")

@@ -24,6 +24,15 @@ def test_separators_types_and_bad_lines(spark, tmp_path, separator):
     assert [tuple(r) for r in df.collect()] == [("nice box", 4.5, 1.0), ("short", None, None), ("bad", None, 7.0)]
 
 
+def test_codes_that_casts_take_for_numbers_stay_text(spark, tmp_path):
+    rows = [["order", "part", "hex", "n", "x", "big"], ["12d", "7f", "0x1p3", "+5", "1e3", "99999999999999999999"],
+            ["13D", "8F", "0x2", "6 ", ".5", "1"], ["14", "9", "3", "-7", "Infinity", "2"]]
+    df = csv.read_feedback_csv(spark, written(tmp_path, "\n".join(map(",".join, rows)) + "\n"))
+    assert [k for _, k in df.dtypes] == ["string", "string", "string", "bigint", "double", "double"]
+    assert [r.order for r in df.collect()] == ["12d", "13D", "14"]
+    assert [r.n for r in df.collect()] == [5, 6, -7] and df.first().x == 1000.0
+
+
 def test_encodings_quotes_and_line_breaks(spark, tmp_path):
     content = 'text,n\n"too, slow\nand ""late""",1\nschön,2\n'
     for encoding in ("utf-8", "utf-8-sig", "latin-1"):
