@@ -305,6 +305,22 @@ def segment(column: str) -> str:
     )
 
 
+PARTS["m_words"] = (
+    ["clean"], f"SELECT DISTINCT feedback, regexp_extract_all(lower(feedback), {lit(WORD_RUN)}) AS w FROM clean")
+PARTS["m_counts"] = (
+    ["m_words"],
+    "SELECT feedback, term, count(*) AS tf FROM (SELECT feedback, unnest(list_concat(w, list_transform(range(1, len(w)), "
+    "lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM m_words) GROUP BY 1, 2")
+PARTS["m_known"] = (
+    ["m_counts", "m_words"],
+    "SELECT term, n, ln((1 + (SELECT count(*) FROM m_words)) / (1 + n)) + 1 AS idf FROM (SELECT term, count(*) AS n, "
+    "row_number() OVER (ORDER BY count(*) DESC, term) AS rn FROM m_counts GROUP BY 1) WHERE rn <= 400")
+PARTS["m_scores"] = (
+    ["m_words", "m_counts", "m_known"],
+    "SELECT feedback, 0.1 + coalesce(sum(x * (n * 1 % 7 - 3) / 2), 0) AS a, coalesce(sum(x * (n * 2 % 7 - 3) / 2), 0) AS b, "
+    "-0.2 + coalesce(sum(x * (n * 3 % 7 - 3) / 2), 0) AS c FROM (SELECT w.feedback, k.n, k.v / sqrt(sum(k.v * k.v) OVER "
+    "(PARTITION BY w.feedback)) AS x FROM m_words w LEFT JOIN (SELECT c.feedback, k.n, (1 + ln(c.tf)) * k.idf AS v FROM "
+    "m_counts c JOIN m_known k USING (term)) k ON k.feedback = w.feedback) GROUP BY 1")
 PARTS["products"] = (["complaints"], segment("product"))
 PARTS["channels"] = (["complaints"], segment("channel"))
 
@@ -782,6 +798,16 @@ ORACLES: dict[str, tuple[list[str], str]] = {
         ["recurring", "themes"],
         "SELECT issue_label, occurrences, percentage, priority, theme_counts FROM recurring LEFT JOIN (SELECT issue_label, "
         "string_agg(count, ', ' ORDER BY theme) AS theme_counts FROM themes GROUP BY 1) USING (issue_label)"),
+    "text_date_shapes": (
+        [], "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS count FROM orders GROUP BY 1"),
+    "csv_codes": (
+        [], "SELECT o_orderkey, o_orderkey || 'd' AS code, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 "
+        "THEN o_orderpriority || chr(10) || 'said \"no\"' ELSE o_orderstatus END AS note FROM orders"),
+    "model_probabilities": (
+        ["clean", "m_scores"],
+        "SELECT feedback_id, round_even(exp(a) / (exp(a) + exp(b) + exp(c)), 9) AS negative, "
+        "round_even(exp(b) / (exp(a) + exp(b) + exp(c)), 9) AS neutral, "
+        "round_even(exp(c) / (exp(a) + exp(b) + exp(c)), 9) AS positive FROM clean JOIN m_scores USING (feedback)"),
     "text_dates": ([], "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS count FROM orders GROUP BY 1"),
     "insight_rising_negatives_of_orders": ([], insight(
         10, "(SELECT max(n) AS months, avg(c) FILTER (i <= n // 2) AS first_half, avg(c) FILTER (i > n // 2) AS second_half "

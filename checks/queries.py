@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,17 @@ def csv_round_trip(spark, sf):
     )
 
 
+def csv_codes(spark, sf):
+    """Codes that casts would take for numbers, and texts with line breaks, as they were written."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey"), F.concat("o_orderkey", F.lit("d")).alias("code"), F.col("o_totalprice").alias("price"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws("\n", "o_orderpriority", F.lit('said "no"')))
+        .otherwise(F.col("o_orderstatus")).alias("note"))
+    path = f"{checkpoint_folder(spark)}/codes-{uuid.uuid4().hex}"
+    csv.write_analyzed_csv(orders, path)
+    return csv.read_feedback_csv(spark, path)
+
+
 def normalize_headers(spark, sf):
     docs = table(spark, sf, "documents")
     return cleaning.normalize_headers(docs.toDF(" doc_id ", "label", "label ", " label", "n_chars")).select(
@@ -257,6 +269,20 @@ def ensemble_probabilities(spark, sf):
     )
 
 
+def model_probabilities(spark, sf):
+    """Predictions of a model with given weights: the 400 terms that most texts hold, weights by a rule."""
+    texts = cut_lineage(cleaned(spark, sf).select(F.col(TEXT).alias("text")).distinct()
+                        .withColumn("id", F.monotonically_increasing_id()))
+    counts = cut_lineage(model.term_counts(texts))
+    holding = counts.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    known = holding.orderBy(F.desc("n"), "term").limit(400).toPandas()
+    given = model.TextModel(
+        known["term"].tolist(), np.log((1 + texts.count()) / (1 + known["n"].to_numpy())) + 1,
+        np.array([(known["n"].to_numpy() * c % 7 - 3) / 2 for c in (1, 2, 3)]), np.array([0.1, 0.0, -0.2]))
+    scored = given.with_probabilities(cleaned(spark, sf), TEXT, "p")
+    return scored.select("feedback_id", *[F.bround(f"p.{c}", 9).alias(c) for c in model.SHARES])
+
+
 def text_model_confusion(spark, sf):
     rows = cut_lineage(training_rows(spark, sf))
     trained = model.train_text_model(rows)
@@ -527,6 +553,15 @@ def text_dates(spark, sf):
     return trends.volume_trend(trends.with_period(table(spark, sf, "orders").select(texts.alias("date")), "date"))
 
 
+def text_date_shapes(spark, sf):
+    """Dates as texts with weekdays, ordinals, months alone, full stops and two-digit years."""
+    layouts = ["EEE, dd MMM yyyy", "d'th' MMMM yyyy", "MMMM yyyy", "M/d/yy", "yyyy.M.d", "MMM d, yyyy h:mm a"]
+    texts = F.coalesce(*[
+        F.when(F.col("o_orderkey") % len(layouts) == i, F.date_format("o_orderdate", x)) for i, x in enumerate(layouts)
+    ])
+    return trends.volume_trend(trends.with_period(table(spark, sf, "orders").select(texts.alias("date")), "date"))
+
+
 def event_volume_trend(spark, sf):
     return trends.volume_trend(trends.with_period(table(spark, sf, "events"), "ts"))
 

@@ -131,7 +131,7 @@ def _scorer(model):
     return score
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
+def term_counts(rows: DataFrame) -> DataFrame:
     """id, term, tf; a text without terms keeps one row with a null term."""
     terms = with_pairs(term_words(F.col("text")))
     return rows.select("id", F.explode_outer(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -173,7 +173,7 @@ def train_text_model(rows: DataFrame, most: int = MAX_ROWS) -> TextModel:
 
 
 def _fitted(rows: DataFrame) -> TextModel:
-    counts = cut_lineage(_term_counts(rows))
+    counts = cut_lineage(term_counts(rows))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     vocabulary = build_vocabulary(counts, total)
