@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaintide.operators.cleaning import normalized_headers
+from plaintide.sources.records import quoted_records
 
 # Separators tried, and texts read as missing.
 SEPARATORS = [",", ";", "\t", "|"]
@@ -33,8 +34,8 @@ def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     """Encoding and whether quoted values span lines, from one pass over all lines.
 
     Text that is not UTF-8 is read as ISO-8859-1, which has a character for every byte. A value spans lines if
-    it begins with a quote that its line does not close; a quote inside a value (5" screen) opens nothing, so
-    such input stays splittable.
+    it begins with a quote that its line does not close; a quote inside a value (5" screen) opens nothing. Files with
+    such values are read by `quoted_records`, others by Spark's reader; both in splits.
     """
     line = F.col("value")
     starts = f"(^|[{''.join(SEPARATORS)}])"
@@ -72,15 +73,24 @@ def read_feedback_csv(
     separator = separator or detect_separator(head)
     names = normalized_headers(next(csv.reader(head[:1], delimiter=separator)))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
-    raw = spark.read.csv(
-        path, schema=schema, header=True, sep=separator, encoding=encoding, multiLine=multiline,
-        quote='"', escape='"', mode="PERMISSIVE",
-    )
+    if multiline:
+        raw = _parsed_records(quoted_records(spark, path, separator, encoding), schema, separator)
+    else:
+        raw = spark.read.csv(path, schema=schema, header=True, sep=separator, encoding=encoding, quote='"', escape='"',
+                             mode="PERMISSIVE")
     kept = raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     blank = kept.select(*[F.when(~F.col(n).isin(MISSING), F.col(n)).alias(n) for n in names])
     return _with_number_types(blank)
 
 
+def _parsed_records(records: DataFrame, schema: T.StructType, separator: str) -> DataFrame:
+    """The values of records, one each; the first record of a file is its header."""
+    plain = ", ".join(f"c{i} string" for i in range(len(schema)))
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = records.filter("NOT first").select(F.from_csv("record", plain, options).alias("_r"))
+    return parsed.select(*[F.col(f"_r.c{i}").alias(f.name) for i, f in enumerate(schema)])
+
+
 def _number(value, kind: str, grammar: str):
     return F.when(value.rlike(grammar), value.try_cast(kind))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,40 @@ def test_encodings_quotes_and_line_breaks(spark, tmp_path):
         assert [r.text for r in df.collect()] == ['too, slow\nand "late"', "schön"]
 
 
+def multi_line_rows(seed, n):
+    r = random.Random(seed)
+    texts = ["plain", 'a 5" screen', "two\nlines", 'said ""no"" to\n\nall', "comma, here", "", "x\r\ny", '""', "a\n,\n;b", '""\n""']
+    rows = []
+    for i in range(n):
+        text = r.choice(texts)
+        quoted = text != 'a 5" screen' and (r.random() < 0.3 or any(c in text for c in ',\n"'))
+        rows.append(f'{i},"{text}",{r.choice(["k", ""])}' if quoted else f"{i},{text},k")
+    return rows
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_multi_line_files_stay_splittable(spark, tmp_path, line_end):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        rows = multi_line_rows(k, 120)
+        (folder / f"{k}.csv").write_bytes(line_end.join(["n,text,k", *rows, ""]).encode())
+    (folder / "empty.csv").write_text("n,text,k\n")
+    schema = "n string, text string, k string, over string"
+    want = spark.read.csv(str(folder), schema=schema, header=True, multiLine=True, quote='"', escape='"').drop("over")
+    want = sorted(map(str, want.fillna("").collect()))
+    for size in ("64", "1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size if size != "128m" else "4m")
+        found = csv.read_feedback_csv(spark, str(folder), separator=",")
+        assert found.dtypes == [("n", "bigint"), ("text", "string"), ("k", "string")]
+        assert sorted(map(str, found.withColumn("n", F.col("n").cast("string")).fillna("").collect())) == want
+        lines = spark.read.text(str(folder))
+        assert size == "128m" or lines.rdd.getNumPartitions() > 3
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_round_trip(spark, feedback, tmp_path):
     scored = score_all(feedback('late "refund", again', "so happy"), "feedback")
     path = str(tmp_path / "out")
