@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plaintide.llm import mixing, quality, secret_scan, toxicity
 from tests.llm.conftest import answers
 
@@ -125,6 +127,25 @@ def test_mixing_keeps_its_promises(docs):
     assert mixed.columns == df.columns and mixed.count() == sum(c._mix_copies for c in copies)
 
 
+def test_blocks_are_permutations_of_their_source(docs):
+    texts = ["a b c", "d e", "f g h i j", "k", None, "l m n o p q r s t u v w x y z " * 9]
+    df = docs(*texts, *texts[:3], ids=[1, 2, 3, 4, None, 6, 7, 8, 8], sources=["s", "s", "s", "s", "s", "t", "t", None, None])
+    df = df.withColumn("_mix_tokens", F.lit("x")).withColumn("_MIX_SOURCE", F.lit(1)).withColumn("place", F.lit(2))
+    plan = mixing.mixing_plan(df, max_passes=None, target_entropy=1.0)
+    passes = {p.source: p.passes for p in plan.collect()}
+    blocks = {}
+    for r in mixing.block_permutations(df, plan).orderBy("source", "pass", "place").collect():
+        blocks.setdefault((r.source, r["pass"]), []).append(r.doc.doc_id)
+    every = {"s": [1, 2, 3, 4, None], "t": [6, 7], "": [8, 8]}
+    for (source, n), ids in blocks.items():
+        if n < passes[source]:
+            assert sorted(ids, key=str) == sorted(every[source], key=str)
+        else:
+            assert n == passes[source] and set(ids) <= set(every[source])
+    assert max(passes.values()) > 1 and len({tuple(v) for (s, _), v in blocks.items() if s == "s"}) > 1
+    assert mixing.mixed_documents(df, plan).columns == df.columns
+
+
 def test_mixing_exponent(docs):
     sources = ["a"] * 64 + ["b"] * 8 + ["c"]
     df = docs(*["x y"] * 73, sources=sources)
