@@ -18,7 +18,7 @@ HEADLINE = [
     "quality_report", "clean_records", "score_sentiment", "score_emotion", "score_topic", "detect_issue",
     "enriched_rows", "issue_summary", "recurring_counts", "sample_feedbacks", "top_terms",
     "theme_examples", "sentiment_trend", "kpi_summary", "all_insights", "recommendations",
-    "text_only_profile",
+    "text_only_profile", "lexicon_sentiment", "model_probabilities",
 ]
 
 
