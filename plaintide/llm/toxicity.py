@@ -18,8 +18,14 @@ from plaintide.llm.segments import layouts, letter_words
 PREFIXES = (4, 5)
 #: Bounds of fitting: documents per label, terms kept, passes, texts a step.
 PER_CLASS, TERMS, EPOCHS, BATCH = 2000, 1 << 14, 25, 32
-#: Standard errors by which a term's shares of the labels must differ: fewer would be chance in so many terms.
-LEAST_ERRORS = 4.0
+#: Standard errors by which a term's shares of the labels must differ, strict and lenient: the strict bound leaves
+#: few terms that differ by chance, the lenient one keeps rarer words. Texts put aside in fitting tell which serves.
+LEAST_ERRORS, LENIENT_ERRORS = 4.0, 2.5
+#: Pairs: the most frequent terms compared, texts that must hold a term, and standard errors by which a pair's
+#: covariance must differ between the labels, as there are millions of pairs.
+PAIR_TERMS, PAIR_TEXTS, PAIR_ERRORS = 1 << 12, 8, 6.0
+#: One text of so many is put aside to choose the screen, which must lower the loss by this share to replace the strict one.
+ASIDE, BETTER = 4, 0.02
 #: Length of a term's vector, whose products with others weigh pairs of terms.
 FACTORS = 8
 #: Texts are cut into runs of about so many characters.
@@ -80,10 +86,62 @@ def log_odds(machine: Machine, texts_of: np.ndarray, terms_of: np.ndarray, n: in
     return machine.offset + np.bincount(texts_of, machine.weights[terms_of], n) + ((sums * sums).sum(1) - squares) / 2
 
 
+def single_errors(owners: np.ndarray, term_of: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Standard errors by which each term's shares of the two labels differ."""
+    good = labels[owners] == 1
+    ones = np.bincount(term_of[good], minlength=n_terms)
+    zeros = np.bincount(term_of[~good], minlength=n_terms)
+    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
+    pooled = (ones + zeros) / (n1 + n0)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    return np.abs(ones / n1 - zeros / n0) / np.maximum(error, 1e-12)
+
+
+def paired_terms(owners: np.ndarray, term_of: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which terms stand in a pair whose covariance differs between the labels by PAIR_ERRORS standard errors.
+
+    Terms that only add up have one covariance under both labels, whatever their shares; a pair that decides together
+    has two, even if each term is as frequent under either label. (A word that tells alone makes a pair with its own
+    beginnings, which go with it everywhere.) Compared are the PAIR_TERMS terms whose share is
+    nearest to one half, in at least PAIR_TEXTS texts, in blocks of rows of the pair matrix.
+    """
+    found = np.zeros(n_terms, bool)
+    texts = np.bincount(term_of, minlength=n_terms)
+    rarer = np.minimum(texts, len(labels) - texts)
+    chosen = np.sort(np.argsort(-rarer, kind="stable")[:PAIR_TERMS])
+    chosen = chosen[rarer[chosen] >= PAIR_TEXTS]
+    if not len(chosen):
+        return found
+    index = np.full(n_terms, -1)
+    index[chosen] = np.arange(len(chosen))
+    own = index[term_of] >= 0
+    holds = np.zeros((len(labels), len(chosen)), np.float32)
+    holds[owners[own], index[term_of[own]]] = 1
+    sides = [holds[labels == k] for k in (1, 0)]
+    shares = [side.mean(0, dtype=np.float64).astype(np.float32) for side in sides]
+    for a in range(0, len(chosen), 256):
+        gap, variance = 0.0, 0.0
+        for sign, side, q in zip((1, -1), sides, shares):
+            p = q[a : a + 256, None]
+            both = side[:, a : a + 256].T @ side / len(side)
+            covariance = both - p * q
+            fourth = (both * ((1 - p) * (1 - q)) ** 2 + (p - both) * ((1 - p) * q) ** 2
+                      + (q - both) * (p * (1 - q)) ** 2 + (1 - p - q + both) * (p * q) ** 2)
+            gap = gap + sign * covariance
+            # One more text of the rarest kind, so that pairs never seen together under a label have an error too.
+            variance = variance + (np.maximum(fourth - covariance**2, 0) + 1 / len(side)) / len(side)
+        strong = np.abs(gap) >= PAIR_ERRORS * np.sqrt(variance)
+        strong[np.arange(len(strong)), a + np.arange(len(strong))] = False
+        found[chosen[a : a + 256][strong.any(1)]] = True
+        found[chosen[strong.any(0)]] = True
+    return found
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Machine:
     """Learns from the hashed terms of each text (distinct) by gradient descent (Adam).
 
-    Terms stay, at most TERMS of them, whose shares of the two labels differ by LEAST_ERRORS standard errors.
+    Which terms are learnt is chosen on one text in ASIDE: those that differ strictly between the labels by
+    themselves, these and the terms of telling pairs, or these and the leniently differing ones; at most TERMS.
     Without texts every score is 0.5; with one label only it is near that label.
     """
     empty = Machine(np.empty(0, np.uint64), np.empty(0), np.empty((0, FACTORS)), 0.0)
@@ -95,27 +153,69 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Ma
     every = np.concatenate(rows)
     owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     terms, term_of = np.unique(every, return_inverse=True)
-    good = labels[owners] == 1
-    ones = np.bincount(term_of[good], minlength=len(terms))
-    zeros = np.bincount(term_of[~good], minlength=len(terms))
-    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
-    pooled = (ones + zeros) / (n1 + n0)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    gap = np.abs(ones / n1 - zeros / n0) / np.maximum(error, 1e-12)
-    kept = np.sort(np.argsort(-gap, kind="stable")[: min(TERMS, int((gap >= LEAST_ERRORS).sum()))])
+
+    aside = np.random.default_rng(seed).permutation(len(rows)) % ASIDE == 0
+    choice = 0
+    if len(set(labels[aside].tolist())) == 2 and len(set(labels[~aside].tolist())) == 2:
+        kept_texts = ~aside[owners]
+        numbers = np.cumsum(~aside) - 1
+        screens = _screens(numbers[owners[kept_texts]], term_of[kept_texts], labels[~aside], len(terms))
+        losses = []
+        for i, kept in enumerate(screens):
+            if any(np.array_equal(kept, earlier) for earlier in screens[:i]):
+                losses.append(np.inf)
+                continue
+            machine = _descend(terms, kept, owners, term_of, labels, np.flatnonzero(~aside), seed)
+            losses.append(_loss(machine, kept, owners, term_of, labels, aside))
+        choice = int(np.argmin(losses))
+        if losses[choice] > losses[0] * (1 - BETTER):
+            choice = 0
+    kept = _screens(owners, term_of, labels, len(terms))[choice]
+    return _descend(terms, kept, owners, term_of, labels, np.arange(len(rows)), seed)
+
+
+def _screens(owners: np.ndarray, term_of: np.ndarray, labels: np.ndarray, n_terms: int) -> list[np.ndarray]:
+    """The choices of terms (places in order): strict, strict or paired, lenient or paired."""
+    single = single_errors(owners, term_of, labels, n_terms)
+    paired = paired_terms(owners, term_of, labels, n_terms)
+    rank = np.where(paired, np.inf, single)
+    strongest = np.argsort(-rank, kind="stable")
+    strict = np.argsort(-single, kind="stable")
+    return [np.sort(order[fit[order]][:TERMS]) for order, fit in (
+        (strict, single >= LEAST_ERRORS),
+        (strongest, paired | (single >= LEAST_ERRORS)),
+        (strongest, paired | (single >= LENIENT_ERRORS)),
+    )]
+
+
+def _loss(machine: Machine, kept: np.ndarray, owners: np.ndarray, term_of: np.ndarray, labels: np.ndarray,
+          aside: np.ndarray) -> float:
+    """Logistic loss of the texts put aside, both labels weighing the same."""
+    place = np.searchsorted(kept, term_of)
+    place[place == len(kept)] = 0
+    known = kept[place] == term_of if len(kept) else np.zeros(len(term_of), bool)
+    odds = log_odds(machine, owners[known], place[known], len(labels))
+    loss = np.logaddexp(0, np.where(labels == 1, -odds, odds))
+    return float(loss[aside & (labels == 1)].mean() + loss[aside & (labels == 0)].mean())
+
+
+def _descend(terms: np.ndarray, kept: np.ndarray, owners: np.ndarray, term_of: np.ndarray, labels: np.ndarray,
+             texts: np.ndarray, seed: int) -> Machine:
+    """The machine over the terms at `kept`, fitted on the given texts."""
     index = np.full(len(terms), -1)
     index[kept] = np.arange(len(kept))
     columns = index[term_of]
     owners, columns = owners[columns >= 0], columns[columns >= 0]
-    starts = np.searchsorted(owners, np.arange(len(rows) + 1))
+    starts = np.searchsorted(owners, np.arange(len(labels) + 1))
 
     draw = np.random.default_rng(seed)
     w = {"w": np.zeros(len(kept)), "v": draw.standard_normal((len(kept), FACTORS)) * 0.01, "b": np.zeros(1)}
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
+    share = (labels[texts] == 1).mean()
+    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     turn = 0
     for _ in range(EPOCHS):
-        order = draw.permutation(len(rows))
+        order = draw.permutation(texts)
         for a in range(0, len(order), BATCH):
             chosen = order[a : a + BATCH]
             own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])

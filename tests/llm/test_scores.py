@@ -66,6 +66,73 @@ def test_pairs_of_terms_decide():
     assert scores[0] > 0.5 > scores[1:].max()
 
 
+def either_both_or_neither(n, seed=4):
+    """Texts whose label is 1 if both or neither of two words stand in them: each word is as frequent in either label."""
+    r = random.Random(seed)
+    for _ in range(n):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = prose(r) + ["insult"] * a + ["group"] * b
+        r.shuffle(words)
+        yield " ".join(words), int(a == b)
+
+
+def terms_of(texts):
+    found = [[h for _, h in toxicity.hashed_terms([t])] for t in texts]
+    return [np.unique(np.concatenate(f)) if f else np.empty(0, np.uint64) for f in found]
+
+
+def test_pairs_of_equal_shares_decide():
+    """Only the product of two terms tells the label; without the vectors the machine fails."""
+    texts, labels = map(list, zip(*either_both_or_neither(1500)))
+    machine = toxicity.fit_machine(terms_of(texts[:1200]), np.array(labels[:1200]))
+    held = np.array(labels[1200:])
+    assert np.mean((toxicity.score_texts(machine, texts[1200:]) >= 0.5) == held) > 0.95
+    machine.vectors[:] = 0
+    assert np.mean((toxicity.score_texts(machine, texts[1200:]) >= 0.5) == held) < 0.85
+
+
+def test_paired_terms_by_counting():
+    """The blocks give what a loop over single pairs gives; words that don't tell aren't paired."""
+    texts, labels = map(list, zip(*either_both_or_neither(400)))
+    texts = [t + (" shared" if y or i % 3 else "") for i, (t, y) in enumerate(zip(texts, labels))]
+    rows, labels = terms_of(texts), np.array(labels)
+    terms, term_of = np.unique(np.concatenate(rows), return_inverse=True)
+    owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found = toxicity.paired_terms(owners, term_of, labels, len(terms))
+    holds = np.zeros((len(rows), len(terms)))
+    holds[owners, term_of] = 1
+    expected = set()
+    for i in range(len(terms)):
+        for j in range(i):
+            if min(holds[:, i].sum(), len(rows) - holds[:, i].sum(), holds[:, j].sum(), len(rows) - holds[:, j].sum()) < 8:
+                continue
+            gap, variance = 0, 0
+            for sign, k in ((1, 1), (-1, 0)):
+                x, y = holds[labels == k, i], holds[labels == k, j]
+                products = (x - x.mean()) * (y - y.mean())
+                gap += sign * products.mean()
+                variance += (products.var() + 1 / len(x)) / len(x)
+            if abs(gap) >= 6 * variance**0.5:
+                expected |= {i, j}
+    assert set(np.flatnonzero(found)) == expected
+    own, alone = ({int(h) for w in words for h in terms_of([w])[0]} for words in (("insult", "group"), ("insult", "group", "shared")))
+    assert own <= {int(terms[i]) for i in expected} <= alone
+
+
+def test_log_odds_by_a_loop_over_pairs():
+    r = np.random.default_rng(5)
+    rows = terms_of(["a bad group of people", "good", "", "bad bad insults group words"])
+    terms = np.unique(np.concatenate([x for x in rows if len(x)]))[1:]
+    machine = toxicity.Machine(terms, r.standard_normal(len(terms)), r.standard_normal((len(terms), toxicity.FACTORS)), 0.3)
+    texts = ["a bad group of people", "good", "", "Bad bad insults group words unseen"]
+    for text, score in zip(texts, toxicity.score_texts(machine, texts)):
+        own = [h for _, hashes in toxicity.hashed_terms([text]) for h in hashes]
+        places = [i for i, t in enumerate(terms) if t in own]
+        odds = 0.3 + sum(machine.weights[i] for i in places)
+        odds += sum(machine.vectors[i] @ machine.vectors[j] for i in places for j in places if i < j)
+        assert score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-12)
+
+
 @pytest.mark.parametrize("module, call", [(quality, "classify_quality"), (toxicity, "classify_toxicity")])
 def test_without_labels(spark, docs, module, call):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -83,6 +150,33 @@ def test_chunks_cover_every_byte():
         assert seen == set(range(size)) and starts[0] == 0
 
 
+def test_scores_by_a_plain_forward_pass():
+    """Loops over chunks, places and filters give what the batches give."""
+    r = np.random.default_rng(2)
+    w = {"bytes": r.standard_normal((257, quality.WIDTH)), "filters": r.standard_normal((32, 2 * quality.FILTERS)) * 0.3,
+         "hidden": r.standard_normal((quality.FILTERS + 1, quality.HIDDEN)) * 0.3,
+         "hidden_bias": r.standard_normal(quality.HIDDEN), "out": r.standard_normal((quality.HIDDEN, 1)), "out_bias": np.array([0.2])}
+    w["bytes"][quality.PAD] = 0
+    filters = np.concatenate([w["filters"][:, : quality.FILTERS], w["filters"][:, quality.FILTERS :]])
+    texts = ["", "a", "plain words " * 60, "\u00e9\u4e2d " * 200, "x" * 512]
+    for text, score in zip(texts, quality.score_texts(quality.Network(w), texts)):
+        data, odds, total = text.encode(), 0.0, 0
+        for start in quality.chunk_starts(len(data)):
+            chunk = list(data[start : start + quality.CHUNK])
+            size = max(len(chunk), 1)
+            codes = chunk + [quality.PAD] * (quality.CHUNK - len(chunk))
+            best = [-np.inf] * quality.FILTERS
+            for place in range(0, quality.CHUNK - 2 * quality.STEP + 1, quality.STEP):
+                if place < size:
+                    seen = np.concatenate([w["bytes"][c] for c in codes[place : place + 2 * quality.STEP]])
+                    best = [max(b, seen @ filters[:, f]) for f, b in enumerate(best)]
+            features = np.array(best + [np.log2(size / quality.CHUNK)])
+            hidden = np.maximum(features @ w["hidden"] + w["hidden_bias"], 0)
+            odds += float((hidden @ w["out"] + w["out_bias"])[0]) * size
+            total += size
+        assert score == pytest.approx(1 / (1 + np.exp(-odds / total)), abs=1e-5)
+
+
 def test_gradients_of_the_network():
     r = np.random.default_rng(1)
     w = {"bytes": r.standard_normal((257, 8)), "filters": r.standard_normal((32, 96)) * 0.3,
