@@ -18,6 +18,8 @@ from plaintide.llm.simple8b import pack, unpack
 
 #: Ids after which a block is closed; a document is never split, so one block may hold more.
 BLOCK_IDS = 1 << 17
+#: Characters of a text by which rows of one id, or without one, are dealt to several shards.
+RANGE_TEXT = 64
 
 
 @lru_cache(2)
@@ -40,8 +42,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: st
                      end_id: int = 0) -> None:
     """Writes `path`/blocks and `path`/shards.
 
-    Documents are range-partitioned and sorted by id (equal ids by text; a null id comes first), so a shard is a
-    stretch of the order and shards follow each other. A row of blocks holds: shard, block, start (ids before it
+    Documents are range-partitioned by id and the text's beginning and sorted by id (equal ids by text; a null id comes
+    first), so a shard is a stretch of the order, shards follow each other, and rows that share an id fill several. A row of blocks holds: shard, block, start (ids before it
     in its shard), doc_ids, counts (ids of each document, end id included), words (little-endian 64-bit),
     escapes (places of escape words). shards holds for each shard its first and last document, documents and ids.
     Null texts count as empty: the end id alone. Files are committed by Spark's writer; a lost task is run again.
@@ -82,7 +84,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: st
 
     ordered = (
         docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        .repartitionByRange(F.col(id_col).asc_nulls_first())
+        .repartitionByRange(F.col(id_col).asc_nulls_first(), F.substring("_text", 1, RANGE_TEXT))
         .sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text")
     )
     ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
@@ -100,7 +102,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, id_col: st
 def _shard_starts(spark: SparkSession, path: str) -> DataFrame:
     """Ids before each shard. One row per written partition, so the driver adds them up."""
     shards = spark.read.parquet(f"{path}/shards")
-    rows = shards.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first()).collect()
+    rows = shards.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "shard").collect()
     before, at = [], 0
     for row in rows:
         before.append((row.shard, at))

@@ -37,6 +37,25 @@ def test_stages(spark):
             assert docs.count() == before.count()
 
 
+def test_a_run_leaves_its_result_alone(spark):
+    def count(spark, docs, sf_dir):
+        return docs.join(scratch.written(docs.groupBy("source").count(), "on-the-way"), "source")
+
+    kept = scratch.written(spark.range(3), "kept")
+    folder = scratch.shared_folder(spark)
+    before = set(os.listdir(folder))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = scratch.written_alone(spark, lambda: count(spark, docs, SF), "first")
+    rows = first.count()
+    second = scratch.written_alone(spark, lambda: first.select("doc_id"), "second")
+    scratch.discard(first)
+    scratch.discard(docs)
+    assert second.count() == rows == docs.count() and kept.count() == 3
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["second"]
+    with pytest.raises(ZeroDivisionError):
+        scratch.written_alone(spark, lambda: count(spark, docs, SF) if not 1 / 0 else docs, "broken")
+
+
 def test_every_query_has_a_row_per_row(spark):
     for name, query in queries.queries().items():
         table = "embeddings" if name.startswith(("op1_", "op12_")) else "documents"

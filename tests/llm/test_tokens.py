@@ -157,3 +157,23 @@ def test_empty_tables(spark, docs):
     path = scratch.new_path(spark, "empty-file")
     token_file.write_token_file(empty, path, BYTES)
     assert token_file.read_token_file(spark, path).count() == 0
+
+
+def test_rows_of_one_id_fill_several_shards(spark, docs):
+    """A third of the rows has no id and a third one id; shards split them and starts still follow the order."""
+    r = random.Random(6)
+    texts = ["".join(r.choices("ab c", k=r.randrange(30))) for _ in range(600)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(600)]
+    path = scratch.new_path(spark, f"hot-{uuid.uuid4().hex}")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_file.write_token_file(docs(*texts, ids=ids).repartition(4), path, BYTES)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    found = sorted(token_file.read_token_file(spark, path).collect(), key=lambda x: x.start)
+    order = sorted(range(600), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i].encode()))
+    assert [(x.doc_id, byte_bpe.decode(x.ids[:-1], BYTES)) for x in found] == [(ids[i], texts[i]) for i in order]
+    assert [x.start for x in found] == [sum(x.n_tokens for x in found[:i]) for i in range(600)]
+    shards = spark.read.parquet(f"{path}/blocks").selectExpr("shard", "explode(doc_ids) AS id").distinct().collect()
+    assert sum(s.id is None for s in shards) > 1 and sum(s.id == 7 for s in shards) > 1
