@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written to the shared folder and read again."""
+    """All stages over `documents`; each one's result is written to the shared folder and read again.
+
+    What a stage wrote on its way goes once its result is stored, and so does the result that it read.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.written_alone(spark, lambda: stage(spark, docs, sf_dir), name)
+        scratch.discard(before)
     return docs
