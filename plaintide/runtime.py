@@ -15,7 +15,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder, as named by the cluster's `spark.checkpoint.dir`; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="plaintide-"))
