@@ -44,9 +44,13 @@ def _year(text):
 
 
 def _month(text):
-    """The number of a month from digits or its name, "sept" or its first letters; null for other words."""
-    named = F.coalesce(*[F.when(F.lit(m).startswith(text), F.lit(str(i + 1))) for i, m in enumerate(MONTHS)])
-    return F.when(text.rlike(r"^\d"), text).when(F.length(text) >= 3, named)
+    """The number of a month from digits or its name, "sept" or its first letters; null for other words.
+
+    Names are looked up, as a test for each month would repeat the text's expression in the generated code.
+    """
+    names = {m[:n]: i + 1 for i, m in enumerate(MONTHS) for n in range(3, len(m) + 1)}
+    named = F.create_map(*[F.lit(str(x)) for pair in names.items() for x in pair])
+    return F.when(text.rlike(r"^\d"), text).otherwise(F.try_element_at(named, text))
 
 
 def _class_of(text):
@@ -66,8 +70,8 @@ def _read_dates(value, day_first: list[str]):
     parts = F.when(text.rlike(EITHER), F.concat_ws("-", _year(F.regexp_extract(text, EITHER, 4)), month, day))
     for shape, y, m, d in SHAPES:
         group = {i: F.regexp_extract(text, shape, i) for i in (y, m, d) if i}
-        month = _month(group[m])
-        found = F.when(month.isNotNull(), F.concat_ws("-", _year(group[y]), month, group[d] if d else F.lit("1")))
+        # Null without a month, unlike concat_ws.
+        found = F.concat(_year(group[y]), F.lit("-"), _month(group[m]), F.lit("-"), group[d] if d else F.lit("1"))
         parts = parts.when(text.rlike(shape), found)
     digits = text.rlike(r"^\d+$")
     return F.when(parts.isNotNull(), F.try_to_timestamp(parts, F.lit("yyyy-M-d"))).when(
