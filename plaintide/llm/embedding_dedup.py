@@ -15,8 +15,8 @@ from plaintide.llm.scratch import written
 
 #: Directions of a hash: a vector's hash is the one of 2*DIRECTIONS signed random directions nearest to it.
 DIRECTIONS = 64
-#: Hashes in a sort key; 7 bits each.
-HASHES = 8
+#: Hashes in a sort key, 7 bits each: at most, and at least.
+HASHES, FEWEST = 8, 4
 #: Neighbours compared with each vector, in sort order, and rows of a task's block of the order.
 WINDOW, BLOCK = 64, 2048
 #: Measured chance that two vectors with a cosine of 0.9 share a hash; the passes follow from it.
@@ -29,7 +29,7 @@ TRIAL = 2
 
 def hashes_for(vectors: int) -> int:
     """Leading hashes that cut so many vectors, were they spread evenly over the codes, to windows."""
-    return max(1, math.ceil(math.log(max(vectors / WINDOW, 1.1), 2 * DIRECTIONS)))
+    return min(HASHES, max(1, math.ceil(math.log(max(vectors / WINDOW, 1.1), 2 * DIRECTIONS))))
 
 
 def passes_with(hashes: int, recall: float = 0.99) -> int:
@@ -55,6 +55,11 @@ def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T) / np.outer(np.sqrt((left * left).sum(1)), np.sqrt((right * right).sum(1)))
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in single precision."""
+    return (rows / np.sqrt((rows * rows).sum(1))[:, None]).astype(np.float32)
+
+
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
     """_id and _vector: the components as bytes, null if the vector takes part in no link; and their type."""
     element = df.schema[vector_col].dataType.elementType.simpleString()
@@ -74,8 +79,14 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, st
     return chosen.mapInArrow(pack, f"_id {id_kind}, _vector binary"), kind
 
 
-def _sort_keys(classes: DataFrame, kind: str, passes: range, seed: int) -> DataFrame:
-    """pass, key and cid: a long of concatenated hashes per vector and pass, so that numeric order is theirs."""
+def _directions(size: int, turn: int, width: int, seed: int) -> np.ndarray:
+    """The directions of a pass's hashes, side by side."""
+    drawn = [np.random.default_rng([seed, size, turn * HASHES + h]).standard_normal((size, DIRECTIONS)) for h in range(width)]
+    return np.hstack(drawn).astype(np.float32)
+
+
+def _sort_keys(classes: DataFrame, kind: str, passes: range, width: int, seed: int) -> DataFrame:
+    """pass, key and cid: a long of `width` concatenated hashes per vector and pass, so that numeric order is theirs."""
 
     def keys(batches):
         directions: dict[tuple[int, int], np.ndarray] = {}
@@ -85,17 +96,16 @@ def _sort_keys(classes: DataFrame, kind: str, passes: range, seed: int) -> DataF
             sizes = np.array([len(v) for v in values])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
-                rows = _matrix([values[i] for i in own], kind)
+                rows = _matrix([values[i] for i in own], kind).astype(np.float32)
                 for turn in passes:
+                    if (size, turn) not in directions:
+                        directions[size, turn] = _directions(rows.shape[1], turn, width, seed)
+                    near = (rows @ directions[size, turn]).reshape(len(own), width, DIRECTIONS)
+                    best = np.abs(near).argmax(axis=2)
+                    signed = 2 * best + (np.take_along_axis(near, best[:, :, None], 2)[:, :, 0] < 0)
                     code = np.zeros(len(own), np.int64)
-                    for h in range(HASHES):
-                        if (spot := (rows.shape[1], turn * HASHES + h)) not in directions:
-                            drawn = np.random.default_rng([seed, *spot]).standard_normal((rows.shape[1], DIRECTIONS))
-                            directions[spot] = drawn.astype(np.float32)
-                        near = rows.astype(np.float32) @ directions[spot]
-                        best = np.abs(near).argmax(axis=1)
-                        sign = near[np.arange(len(own)), best] < 0
-                        code = code * (2 * DIRECTIONS) + 2 * best + sign
+                    for h in range(width):
+                        code = code * (2 * DIRECTIONS) + signed[:, h]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(own), turn, np.int32)), pa.array(np.full(len(own), size, np.int32)),
                          pa.array(code), pa.array(ids[own])],
@@ -148,15 +158,22 @@ def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: f
         block = block.sort_values("rank")
         ranks, own, ids = block["rank"].to_numpy(), block["_own"].to_numpy(), block["cid"].to_numpy()
         sizes = block["_vector"].map(len).to_numpy()
-        sets, step = _Sets(len(block)), 256
+        sets = _Sets(len(block))
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             values = _matrix(block["_vector"].iloc[rows].tolist(), kind)
-            for a in range(0, len(rows), step):
-                b = min(len(rows), a + step + WINDOW)
-                gap = ranks[rows[a:b]][None, :] - ranks[rows[a : a + step]][:, None]
-                linked = (_cosines(values[a : a + step], values[a:b]) >= threshold) & (gap > 0) & (gap <= WINDOW)
-                for x, y in np.argwhere(linked & own[rows[a : a + step]][:, None]):
+            units = _units(values)
+            # A product of unit vectors in single precision is off by less.
+            slack = (values.shape[1] + 4) * 2.0**-23
+            for a in range(0, len(rows), WINDOW):
+                b = min(len(rows), a + 2 * WINDOW)
+                gap = ranks[rows[a:b]][None, :] - ranks[rows[a : a + WINDOW]][:, None]
+                near = units[a : a + WINDOW] @ units[a:b].T
+                likely = (near >= threshold - slack) & (gap > 0) & (gap <= WINDOW) & own[rows[a : a + WINDOW]][:, None]
+                if not likely.any():
+                    continue
+                linked = likely & (_cosines(values[a : a + WINDOW], values[a:b]) >= threshold)
+                for x, y in np.argwhere(linked):
                     sets.join(rows[a + x], rows[a + y])
         roots = np.array([sets.root(i) for i in range(len(block))], int)
         found = pd.DataFrame({"a": ids, "b": ids[roots] if len(ids) else ids})
@@ -173,14 +190,14 @@ def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: f
     )
 
 
-def _prefix(hashes: int):
-    """The leading hashes of a key; with none, one run holds all vectors of a length."""
-    return F.shiftright("key", 7 * (HASHES - hashes)) if hashes else F.lit(0).cast("bigint")
+def _prefix(hashes: int, width: int):
+    """The leading hashes of a key of `width`; with none, one run holds all vectors of a length."""
+    return F.shiftright("key", 7 * (width - hashes)) if hashes else F.lit(0).cast("bigint")
 
 
-def _crowding(keys: DataFrame, grouped: DataFrame, most: int) -> list[float]:
-    """For 0, 1, ... `most` leading hashes: pairs a pass that lie in one run, overflow its window and are not joined yet."""
-    runs = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), _prefix(h).alias("run")) for h in range(most + 1)]))
+def _crowding(keys: DataFrame, grouped: DataFrame, width: int) -> list[float]:
+    """For 0, 1, ... `width` leading hashes: pairs a pass that lie in one run, overflow its window and are not joined yet."""
+    runs = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), _prefix(h, width).alias("run")) for h in range(width + 1)]))
     placed = keys.filter(F.col("pass") < TRIAL).join(grouped.select(F.col("node").alias("cid"), "component"), "cid", "left")
     run = ["pass", "size", "h", "run"]
     counts = placed.select("pass", "size", "component", runs.alias("_r")).select("pass", "size", "_r.*", "component")
@@ -192,11 +209,11 @@ def _crowding(keys: DataFrame, grouped: DataFrame, most: int) -> list[float]:
         .groupBy("h").agg((F.sum(n * n - F.col("joined")) / 2 / TRIAL).alias("pairs"))
     )
     found = {r.h: r.pairs for r in pairs.collect()}
-    return [found.get(h, 0.0) for h in range(most + 1)]
+    return [found.get(h, 0.0) for h in range(width + 1)]
 
 
 def _run_links(keys: DataFrame, classes: DataFrame, grouped: DataFrame, kind: str, threshold: float, hashes: int,
-               covered: int) -> DataFrame:
+               width: int, covered: int) -> DataFrame:
     """Verified links a, b between components inside runs of equal leading hashes, compared in full.
 
     Runs of passes below `covered` that fit a window were compared there. A run is dealt into parts of about PART
@@ -224,7 +241,7 @@ def _run_links(keys: DataFrame, classes: DataFrame, grouped: DataFrame, kind: st
 
     run = ["pass", "size", "run"]
     placed = (
-        keys.select("pass", "size", _prefix(hashes).alias("run"), "cid")
+        keys.select("pass", "size", _prefix(hashes, width).alias("run"), "cid")
         .join(grouped.select(F.col("node").alias("cid"), "component"), "cid", "left")
         .withColumn("component", F.coalesce("component", "cid"))
     )
@@ -336,17 +353,18 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     )
     total = classes.count()
     passes = passes_for(total, recall)
-    ranked = _ranked(_sort_keys(classes, kind, range(passes), seed))
-    found = components(_window_links(ranked, classes, kind, threshold))
     usual = hashes_for(total)
-    pairs = _crowding(ranked, found, max(4, usual))
+    width = max(FEWEST, usual)
+    ranked = _ranked(_sort_keys(classes, kind, range(passes), width, seed))
+    found = components(_window_links(ranked, classes, kind, threshold))
+    pairs = _crowding(ranked, found, width)
     wanted = [passes_with(h, recall) for h in range(len(pairs))]
     cost = [p * n + max(0, p - passes) * total * WINDOW for p, n in zip(wanted, pairs)]
     hashes = min(range(len(pairs)), key=lambda h: (cost[h], h != usual))
     keys = ranked.filter(F.col("pass") < wanted[hashes]).drop("rank")
     if wanted[hashes] > passes:
-        keys = keys.unionByName(_sort_keys(classes, kind, range(passes, wanted[hashes]), seed))
-    found = extended(found, _run_links(keys, classes, found, kind, threshold, hashes, passes))
+        keys = keys.unionByName(_sort_keys(classes, kind, range(passes, wanted[hashes]), width, seed))
+    found = extended(found, _run_links(keys, classes, found, kind, threshold, hashes, width, passes))
     members = written(
         found.withColumnRenamed("node", "cid").join(classes.select("cid", "rep", "n", "_vector"), "cid"), "members")
     counts = _links_inside(members.drop("rep"), kind, threshold)
