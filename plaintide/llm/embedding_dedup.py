@@ -55,9 +55,38 @@ def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T) / np.outer(np.sqrt((left * left).sum(1)), np.sqrt((right * right).sum(1)))
 
 
-def _units(rows: np.ndarray) -> np.ndarray:
-    """The rows at length 1, in single precision."""
-    return (rows / np.sqrt((rows * rows).sum(1))[:, None]).astype(np.float32)
+def _codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows at length 1 as whole steps of -127 to 127, each row's step, and how far its code is from it at most."""
+    units = rows / np.sqrt((rows * rows).sum(1))[:, None]
+    steps = (np.abs(units).max(axis=1) / 127).astype("<f4")
+    codes = np.clip(np.rint(units / steps[:, None]), -127, 127).astype(np.int8)
+    off = units - codes * steps[:, None].astype(np.float64)
+    return codes, steps, (np.sqrt((off * off).sum(1)) * (1 + 1e-6) + 1e-9).astype("<f4")
+
+
+def _coded(classes: DataFrame, kind: str) -> DataFrame:
+    """cid and code: a vector's step and distance as floats, then a byte for each component."""
+
+    def code(batches):
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            sizes = np.array([len(v) for v in values])
+            out = np.empty(len(values), object)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                codes, steps, off = _codes(_matrix([values[i] for i in own], kind))
+                packed = np.hstack([np.column_stack([steps, off]).view(np.int8), codes])
+                out[own] = [row.tobytes() for row in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.binary())], names=["cid", "code"])
+
+    return classes.select("cid", "_vector").mapInArrow(code, "cid bigint, code binary")
+
+
+def _decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of one length as rows in single precision, and their distances from the vectors at length 1."""
+    packed = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
+    steps, off = np.ascontiguousarray(packed[:, :8]).view("<f4").T
+    return packed[:, 8:] * steps[:, None], off
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
@@ -152,32 +181,41 @@ class _Sets:
 
 
 def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Verified links a, b between neighbours; for each block of the order only enough to keep its components."""
+    """Links a, b between neighbours; and pairs (sure = false) that their codes can't decide.
+
+    Only codes are moved. The product of two codes is off the cosine by no more than their distances from the
+    vectors allow, so nearly all pairs are decided by it. Of the links a block of the order gives only enough to keep
+    its components, of the undecided pairs those that these don't join.
+    """
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("rank")
         ranks, own, ids = block["rank"].to_numpy(), block["_own"].to_numpy(), block["cid"].to_numpy()
-        sizes = block["_vector"].map(len).to_numpy()
-        sets = _Sets(len(block))
+        sizes = block["code"].map(len).to_numpy()
+        sets, open_pairs = _Sets(len(block)), []
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
-            values = _matrix(block["_vector"].iloc[rows].tolist(), kind)
-            units = _units(values)
-            # A product of unit vectors in single precision is off by less.
-            slack = (values.shape[1] + 4) * 2.0**-23
+            values, off = _decoded(block["code"].iloc[rows].tolist())
+            # Rounding of a product in single precision stays below this.
+            rounding = (size + 4) * 2.0**-23
             for a in range(0, len(rows), WINDOW):
-                b = min(len(rows), a + 2 * WINDOW)
-                gap = ranks[rows[a:b]][None, :] - ranks[rows[a : a + WINDOW]][:, None]
-                near = units[a : a + WINDOW] @ units[a:b].T
-                likely = (near >= threshold - slack) & (gap > 0) & (gap <= WINDOW) & own[rows[a : a + WINDOW]][:, None]
-                if not likely.any():
-                    continue
-                linked = likely & (_cosines(values[a : a + WINDOW], values[a:b]) >= threshold)
-                for x, y in np.argwhere(linked):
-                    sets.join(rows[a + x], rows[a + y])
+                here, there = slice(a, a + WINDOW), slice(a, a + 2 * WINDOW)
+                gap = ranks[rows[there]][None, :] - ranks[rows[here]][:, None]
+                near = values[here] @ values[there].T
+                # With units u = code + off, u * v = code * code' + off * v + code * off'.
+                slack = off[here][:, None] + off[there][None, :] + np.outer(off[here], off[there]) + rounding
+                likely = (near >= threshold - slack) & (gap > 0) & (gap <= WINDOW) & own[rows[here]][:, None]
+                for x, y in np.argwhere(likely):
+                    if near[x, y] >= threshold + slack[x, y]:
+                        sets.join(rows[a + x], rows[a + y])
+                    else:
+                        open_pairs.append((rows[a + x], rows[a + y]))
         roots = np.array([sets.root(i) for i in range(len(block))], int)
-        found = pd.DataFrame({"a": ids, "b": ids[roots] if len(ids) else ids})
-        return found[found["a"] != found["b"]]
+        found = pd.DataFrame({"a": ids, "b": ids[roots] if len(ids) else ids, "sure": True})
+        left, right = np.array(open_pairs, int).reshape(-1, 2).T
+        apart = roots[left] != roots[right]
+        low, high = np.minimum(ids[left], ids[right])[apart], np.maximum(ids[left], ids[right])[apart]
+        return pd.concat([found[found["a"] != found["b"]], pd.DataFrame({"a": low, "b": high, "sure": False})])
 
     number = F.floor(F.col("rank") / BLOCK).cast("bigint")
     halo = (F.col("rank") % BLOCK < WINDOW) & (F.col("rank") >= BLOCK)
@@ -185,11 +223,37 @@ def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: f
     dealt = ranked.select("cid", "rank", number.alias("_home"), F.explode(blocks).alias("block"))
     dealt = dealt.withColumn("_own", F.col("block") == F.col("_home")).drop("_home")
     return (
-        dealt.join(classes.select("cid", "_vector"), "cid").groupBy("block")
-        .applyInPandas(compare, "a bigint, b bigint").distinct()
+        dealt.join(_coded(classes, kind), "cid").groupBy("block")
+        .applyInPandas(compare, "a bigint, b bigint, sure boolean").distinct()
     )
 
 
+def _confirmed(pairs: DataFrame, classes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """The pairs a, b whose vectors, as doubles, reach the threshold."""
+
+    def confirm(batches):
+        for batch in batches:
+            left, right = (batch.column(c).to_pylist() for c in ("_left", "_right"))
+            sizes, kept = np.array([len(v) for v in left]), np.zeros(batch.num_rows, bool)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                a, b = (_matrix([side[i] for i in own], kind) for side in (left, right))
+                kept[own] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))) >= threshold
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    sides = (classes.select(F.col("cid").alias(c), F.col("_vector").alias(v)) for c, v in (("a", "_left"), ("b", "_right")))
+    for side in sides:
+        pairs = pairs.join(side, side.columns[0])
+    return pairs.select("a", "b", "_left", "_right").mapInArrow(confirm, "a bigint, b bigint")
+
+
+def _unjoined(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends are in no common component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(grouped.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    return pairs.filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b")
+
+
 def _prefix(hashes: int, width: int):
     """The leading hashes of a key of `width`; with none, one run holds all vectors of a length."""
     return F.shiftright("key", 7 * (width - hashes)) if hashes else F.lit(0).cast("bigint")
@@ -340,7 +404,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
 
     A crowd of m vectors that are alike but not linked costs up to m * m / 2 comparisons.
 
-    Vectors move once per pass and once per part of their component or crowded run; keys and ids otherwise.
+    A byte a component moves once per pass; whole vectors move for pairs so near the threshold that bytes can't decide
+    them, and once per part of their component or crowded run; keys and ids otherwise.
     """
     vectors, kind = _vectors(df, id_col, vector_col)
     packed = written(vectors.withColumn("_key", F.unhex(F.sha2("_vector", 256))), "vectors")
@@ -356,7 +421,11 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     usual = hashes_for(total)
     width = max(FEWEST, usual)
     ranked = _ranked(_sort_keys(classes, kind, range(passes), width, seed))
-    found = components(_window_links(ranked, classes, kind, threshold))
+    neighbours = written(_window_links(ranked, classes, kind, threshold), "neighbours")
+    found = components(neighbours.filter("sure"))
+    undecided = _unjoined(neighbours.filter("not sure").select("a", "b"), found)
+    confirmed = written(_confirmed(undecided, classes, kind, threshold), "confirmed")
+    found = found if confirmed.isEmpty() else extended(found, confirmed)
     pairs = _crowding(ranked, found, width)
     wanted = [passes_with(h, recall) for h in range(len(pairs))]
     cost = [p * n + max(0, p - passes) * total * WINDOW for p, n in zip(wanted, pairs)]

@@ -136,6 +136,32 @@ def test_pairs_in_a_crowd_of_unlinked_vectors(spark, monkeypatch, crowd, part):
     assert len(got) == len(rows) and met >= 0.99 * len(linked) and right >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("size", [1, 3, 64, 700])
+def test_codes_bound_cosines(size):
+    r = np.random.default_rng(size)
+    rows = np.vstack([r.standard_normal((40, size)), r.standard_normal((20, size)) ** 9, np.eye(size)[:5]])
+    rows = np.vstack([rows, rows[:30] + 0.3 * r.standard_normal((30, size))])
+    codes, steps, off = embedding_dedup._codes(rows)
+    packed = np.hstack([np.column_stack([steps, off]).view(np.int8), codes])
+    values, far = embedding_dedup._decoded([p.tobytes() for p in packed])
+    slack = far[:, None] + far[None, :] + np.outer(far, far) + (size + 12) * 2.0**-23
+    assert (np.abs(values @ values.T - embedding_dedup._cosines(rows, rows)) <= slack).all()
+
+
+def test_pairs_at_the_threshold_are_decided_in_doubles(spark):
+    """Cosines closer to 0.9 than a byte a component can tell."""
+    r = np.random.default_rng(9)
+    rows = []
+    for gap in [1e-3, -1e-3, 1e-5, -1e-5, 1e-9, -1e-9] * 10:
+        base = r.standard_normal(32)
+        rows += [base, vectors_near(r, base, 0.9 + gap) * 3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = answers(embedding_dedup.near_duplicate_vectors(df), "n_links", "component_id")
+    for i in range(0, len(rows), 2):
+        linked = i // 2 % 2 == 0
+        assert got[i] == (linked, i) and got[i + 1] == (linked, i if linked else i + 1)
+
+
 def test_vectors_repeated_rows_and_empty_table(spark):
     table = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0]), (3, [-1.0, -2.0])]
     df = spark.createDataFrame(table, "vec_id bigint, embedding array<float>")
