@@ -19,6 +19,8 @@ DIRECTIONS = 64
 HASHES, FEWEST = 8, 4
 #: Neighbours compared with each vector, in sort order, and rows of a task's block of the order.
 WINDOW, BLOCK = 64, 2048
+#: Rows compared with their windows at once: so few that the product isn't dealt to threads that wait for each other.
+TILE = 32
 #: Measured chance that two vectors with a cosine of 0.9 share a hash; the passes follow from it.
 AGREE = 0.45
 #: Vectors on either side of a task that compares the members of a component.
@@ -198,8 +200,8 @@ def _window_links(ranked: DataFrame, classes: DataFrame, kind: str, threshold: f
             values, off = _decoded(block["code"].iloc[rows].tolist())
             # Rounding of a product in single precision stays below this.
             rounding = (size + 4) * 2.0**-23
-            for a in range(0, len(rows), WINDOW):
-                here, there = slice(a, a + WINDOW), slice(a, a + 2 * WINDOW)
+            for a in range(0, len(rows), TILE):
+                here, there = slice(a, a + TILE), slice(a, a + TILE + WINDOW)
                 gap = ranks[rows[there]][None, :] - ranks[rows[here]][:, None]
                 near = values[here] @ values[there].T
                 # With units u = code + off, u * v = code * code' + off * v + code * off'.
