@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType
 
@@ -31,9 +32,9 @@ def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def text_batches(batches, column: str = "text", most: int = 4 << 20):
-    """(slice of the batch, its texts) with about `most` characters each."""
+def text_batches(batches, column: str = "text", most: int = 1 << 20):
+    """(slice of the batch, its texts) with about `most` bytes of text each; only a slice becomes Python strings."""
     for batch in batches:
-        texts = texts_of(batch.column(column))
-        for a, b in portions([len(t) for t in texts], most):
-            yield batch.slice(a, b - a), texts[a:b]
+        for a, b in portions([n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()], most):
+            rows = batch.slice(a, b - a)
+            yield rows, texts_of(rows.column(column))

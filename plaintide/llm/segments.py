@@ -20,7 +20,7 @@ import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Characters laid out at once; a longer text is cut in front of a single space between two words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Code points up to which a word's hash is a running sum.
 SUMMED = 64
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
@@ -218,19 +218,19 @@ class WordTable:
     changes no result.
     """
 
-    def __init__(self, solve: Callable[[list[str]], list], most: int = 2_000_000, room: int = 1 << 24):
+    def __init__(self, solve: Callable[[list[str]], list], most: int = 1 << 20, room: int = 1 << 23):
         self.solve, self.most, self.room = solve, most, room
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.slots = np.empty(0, np.int64)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.slots = np.empty(0, np.int32)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.int32)
         #: Code points of the words, one after the other, and where each word's begin.
         self.letters = np.zeros(1 << 18, np.uint32)
-        self.spelt = np.zeros(1 << 16, np.int64)
+        self.spelt = np.zeros(1 << 16, np.int32)
         self.odd: dict[bytes, int] = {}
         self.count = self.used = self.written = 0
 
@@ -294,8 +294,8 @@ class WordTable:
     def _spelt_as(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Whether each word has the code points of the word in its slot."""
         lengths = ends - starts
-        own = np.append(self.spelt[1 : self.count], self.written) - self.spelt[: self.count]
-        same = own[slots] == lengths
+        after = np.where(slots + 1 < self.count, self.spelt[np.minimum(slots + 1, self.count - 1)], self.written)
+        same = after - self.spelt[slots] == lengths
         at = np.cumsum(lengths) - lengths
         every = np.arange(int(lengths.sum()))
         held = np.repeat(np.where(same, self.spelt[slots], 0) - at, lengths) + every
@@ -306,7 +306,7 @@ class WordTable:
 
     def rows(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words in order, and how many each word has."""
-        sizes = self.size[slots]
+        sizes = self.size[slots].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         take = np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(total)
