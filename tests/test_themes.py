@@ -150,3 +150,25 @@ def test_lookup_splits_hot_keys(spark, monkeypatch):
     table = spark.createDataFrame([(i, -i) for i in range(300)], "k int, w int")
     found = skew.lookup(big, table, ["k"], 300).collect()
     assert len(found) == 300 and all(r.w == -r.k for r in found)
+
+
+def test_prefixes_are_summed_once_a_term(spark):
+    """A frame that ends at the last row is summed anew for every row: quadratic in the terms of a text."""
+    rows = [("x", 1, f"t{i}", 0.1, 1, i) for i in range(50)]
+    weights = spark.createDataFrame(rows, "issue_label string, text_id int, term string, weight double, holding int, place int")
+    found = themes.prefix_postings(weights)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r.term: round(r.rest, 9) for r in found.collect()} == {f"t{i}": round(0.01 * (49 - i), 9) for i in range(30)}
+
+
+def test_pieces_are_met_without_maps(spark):
+    """Products and what lies ahead, against loops; maps of every pair's pieces took most of the time."""
+    rng = random.Random(3)
+    rows = [(i, p, rng.random()) for i in range(12) for p in sorted(rng.sample(range(40), rng.randint(1, 25)))]
+    vectors_of = {i: {p: w for t, p, w in rows if t == i} for i in range(12)}
+    pieces = themes.segments(spark.createDataFrame(rows, "text_id int, place bigint, weight double"))
+    pairs = list(itertools.combinations(range(12), 2))
+    found = themes.similar(spark.createDataFrame(pairs, "a int, b int"), pieces, 0.0)
+    assert "map_zip_with" not in found._jdf.queryExecution().toString().lower()
+    want = {(a, b): sum(w * vectors_of[b].get(p, 0.0) for p, w in vectors_of[a].items()) for a, b in pairs}
+    assert {(r.a, r.b): round(r.cosine, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
