@@ -187,7 +187,7 @@ def planned_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", sou
 
 def block_permutations(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                        text_col: str = "text", token_col: str | None = None, seed: int = 1) -> DataFrame:
-    """Every copy that the plan takes: doc (the row as a struct), source, pass (from 0), place.
+    """Every copy that the plan takes: doc (the row as a struct), source, pass (from 0), place, tokens.
 
     The copies of one source and pass are a block, and `place` puts them in the order of that pass: read by source,
     pass and place, each whole pass is a permutation of the source, another one each time, and the last block the
@@ -199,7 +199,31 @@ def block_permutations(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id",
     many = copies.filter("_mix_copies > 0").withColumn(
         "_mix_passes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_mix_copies") - 1)))
     return many.select("doc", F.col("_mix_source").alias("source"), F.col("_mix_passes").alias("pass"),
-                       _order_key(seed, "_id").alias("place"))
+                       _order_key(seed, "_id").alias("place"), F.col("_mix_tokens").alias("tokens"))
+
+
+def reading_order(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The copies of `block_permutations` laid out as they are read: id, source, tokens, pass, place.
+
+    Written in the order of source, pass and place, in ranges of these, so a block of any size spreads over several
+    tasks and files. Texts are not moved: the ids say which one to read next.
+    """
+    order = ["source", "pass", "place"]
+    copies = blocks.select(F.col(f"doc.{id_col}").alias(id_col), "source", "tokens", "pass", "place")
+    return written(copies.repartitionByRange(*order).sortWithinPartitions(*order), "mixing-order")
+
+
+def copies_in(order: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """How often each row stands in a `reading_order` whose sources have a whole pass: id, source, n_tokens, copies.
+
+    Rows with the same id and source share a key, so all of them are taken equally often; the first pass tells how
+    many of them there are, and each has a row here.
+    """
+    taken = order.groupBy(id_col, "source", "tokens").agg(
+        F.count("*").alias("_mix_n"), F.count_if(F.col("pass") == 0).alias("_mix_rows"))
+    copies = F.expr("_mix_n div _mix_rows").cast("bigint")
+    return taken.select(id_col, "source", F.col("tokens").alias("n_tokens"),
+                        F.explode(F.array_repeat(copies, F.col("_mix_rows").cast("int"))).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source",

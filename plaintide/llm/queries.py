@@ -62,8 +62,8 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    copies = mixing.planned_copies(docs, mixing.mixing_plan(docs))
-    return copies.selectExpr("doc_id", "_mix_source AS source", "_mix_tokens AS n_tokens", "_mix_copies AS copies")
+    blocks = mixing.block_permutations(docs, mixing.mixing_plan(docs))
+    return mixing.copies_in(mixing.reading_order(blocks))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plaintide.llm import mixing, quality, secret_scan, toxicity
+from plaintide.llm import mixing, quality, secret_scan, toxicity, queries
 from tests.llm.conftest import answers
 
 
@@ -306,3 +306,20 @@ def test_trigram_queries():
     index = secret_scan.TrigramIndex(["", "xxABCx", "abd", "zabc", "ab"], {"abc", "abd"})
     assert index.candidates("abc").tolist() == [1, 3] and index.candidates(("or", ("abc", "abd"))).tolist() == [1, 2, 3]
     assert index.candidates(("and", ("abc", "abd"))).tolist() == []
+
+
+def test_mixing_query_counts_what_the_blocks_hold(spark, docs, tmp_path, monkeypatch):
+    """The query's rows come from written blocks, which are in reading order; repeated rows and null ids have rows."""
+    texts = ["a b c", "d e", "f g h i j", "k", None, "l m n o p q r s t u v w x y z " * 9, "a b c", "d"]
+    df = docs(*texts, ids=[1, 2, 3, 4, None, 6, 1, 1], sources=["s", "s", "s", "s", "s", "t", "s", None])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    laid, reading_order = [], mixing.reading_order
+    monkeypatch.setattr(mixing, "reading_order", lambda *a: laid.append(reading_order(*a)) or laid[-1])
+    found = queries.op6_temperature_mixing(spark, str(tmp_path))
+    want = mixing.planned_copies(df, mixing.mixing_plan(df)).selectExpr(
+        "doc_id", "_mix_source AS source", "_mix_tokens AS n_tokens", "_mix_copies AS copies")
+    assert found.dtypes == want.dtypes and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert laid[0].count() == sum(r.copies for r in found.collect())
+    for file in {r.f for r in laid[0].select(F.input_file_name().alias("f")).collect()}:
+        own = [(r.source, r["pass"], r.place) for r in spark.read.parquet(file).toDF(*laid[0].columns).collect()]
+        assert own == sorted(own)
