@@ -24,6 +24,7 @@ from plaintide.rules.sentiment import DOMAIN_VALENCE, NEGATIVE_WORDS, POSITIVE_W
 
 #: Words that share one literal map; a map is searched from its start.
 MAP_WORDS = 64
+FACTS = "array<struct<valence:double,known:boolean,degree:double,negates:boolean,upper:boolean,but:boolean>>"
 DISTANCE_SCALE = [1.0, 0.95, 0.9]
 
 
@@ -38,7 +39,9 @@ def words_of(text: Column) -> Column:
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 
     def stripped(word: Column) -> Column:
-        inner = F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")
+        # Replaced only where a word begins or ends with a mark.
+        marked = word.rlike(r"^\p{Punct}|\p{Punct}$")
+        inner = F.when(marked, F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")).otherwise(word)
         return F.when(F.length(inner) <= 2, word).otherwise(inner)
 
     return F.transform(parts, stripped)
@@ -71,19 +74,23 @@ def word_facts(words: Column, valences: Column) -> Column:
     strong = [w for w, sign in DEGREE_WORDS.items() if sign > 0]
     weak = [w for w, sign in DEGREE_WORDS.items() if sign < 0]
 
-    def facts(word: Column, own: Column) -> Column:
-        lower = F.lower(word)
+    def facts(pair: Column, own: Column) -> Column:
+        word, lower = pair["word"], pair["lower"]
         degree = F.when(lower.isin(strong), 1.0).when(lower.isin(weak), -1.0).otherwise(0.0)
         return F.struct(
             F.when(own.isNotNull() & (degree == 0), own).otherwise(0.0).alias("valence"),
             own.isNotNull().alias("known"),
             degree.alias("degree"),
             (lower.isin(NEGATION_WORDS) | lower.contains("n't")).alias("negates"),
-            is_upper(word).alias("upper"),
+            ((F.upper(word) == word) & (lower != word)).alias("upper"),
             (lower == "but").alias("but"),
         )
 
-    return F.zip_with(words, valences, facts)
+    # A function over an array keeps no common parts, so lower case is taken beforehand.
+    pairs = F.transform(words, lambda w: F.struct(w.alias("word"), F.lower(w).alias("lower")))
+    # Without a known word the sum is 0 whatever the others are.
+    return F.when(F.exists(valences, lambda v: v.isNotNull()), F.zip_with(pairs, valences, facts)).when(
+        words.isNotNull(), F.array().cast(FACTS))
 
 
 def valence_sum(facts: Column, mixed_case: Column) -> Column:

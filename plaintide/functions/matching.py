@@ -92,14 +92,12 @@ class KeywordGroup:
         """Sum of the weights of the terms found; BIGINT."""
         by_weight = _grouped({t.text: t.weight for t in self.words})
         parts = [f"size({self._among(words)}) * {weight}" for weight, words in by_weight.items()]
-        parts += self._others(lambda t: str(t.weight), "0")
-        return F.expr(" + ".join(parts)).cast("bigint")
+        return self._total(parts, lambda t: str(t.weight), "0").cast("bigint")
 
     def count_hits(self) -> Column:
         """Number of listed terms found; a term listed twice counts twice. BIGINT."""
         parts = [f"size({self._among(words)}) * {n}" for n, words in self._words_by_times().items()]
-        parts += self._others(lambda t: "1", "0")
-        return F.expr(" + ".join(parts)).cast("bigint")
+        return self._total(parts, lambda t: "1", "0").cast("bigint")
 
     def boosted_hits(self, boost: Callable[[str], str]) -> Column:
         """Sum of `boost(first word)`, itself SQL, over the terms found; DOUBLE."""
@@ -107,22 +105,30 @@ class KeywordGroup:
             f"aggregate({self._among(words)}, 0D, (total, t) -> total + {boost('t')}) * {n}D"
             for n, words in self._words_by_times().items()
         ]
-        parts += self._others(lambda t: boost(text(t.first_word)), "0D")
-        return F.expr(" + ".join(parts))
-
-    def _others(self, value: Callable[[Term], str], zero: str) -> list[str]:
-        """Values of the prefixes and phrases found, one sum per first token."""
+        return self._total(parts, lambda t: boost(text(t.first_word)), "0D")
+
+    def _total(self, words: list[str], value: Callable[[Term], str], zero: str) -> Column:
+        """Sum over words, phrases and prefixes; what needs a token of this group runs only where the text has one."""
+        phrases, prefixes = self._others(value, zero)
+        tokens = texts(sorted(self.tokens))
+        looked_up = " + ".join([*words, *phrases]) or zero
+        guarded = f"if(exists({self.hits}, t -> t IN ({tokens})), {looked_up}, {zero})" if self.tokens else zero
+        return F.expr(" + ".join([guarded, *prefixes]))
+
+    def _others(self, value: Callable[[Term], str], zero: str) -> tuple[list[str], list[str]]:
+        """Values of the phrases found, one sum per first token, and of the prefixes that begin within a token."""
         by_token: dict = {}
         for term in self.others:
             if term.weight:
                 by_token.setdefault(self.edges.first_token(term), []).append(term)
-        parts = []
+        phrases, prefixes = [], []
         for token, terms in by_token.items():
             found = " + ".join(f"if({self._matches(t)}, {value(t)}, {zero})" for t in terms)
-            if token is not None:
-                found = f"if(array_contains({self.hits}, {text(token)}), {found}, {zero})"
-            parts.append(found)
-        return parts
+            if token is None:
+                prefixes.append(found)
+            else:
+                phrases.append(f"if(array_contains({self.hits}, {text(token)}), {found}, {zero})")
+        return phrases, prefixes
 
     def _among(self, words: list[str]) -> str:
         return f"filter({self.hits}, t -> t IN ({texts(words)}))"

@@ -109,3 +109,22 @@ def test_columns_of_the_same_name_are_replaced(spark):
     assert row.priority in {"HIGH", "MEDIUM", "LOW"} and row.emotion == "Disappointed"
     again = scoring.reconcile_emotion(scoring.detect_emotion(df.selectExpr("*", "'Negative' AS sentiment"), "feedback"))
     assert again.first().emotion == "Disappointed"
+
+
+def test_work_is_skipped_only_where_it_changes_nothing(spark):
+    """Sums over tokens run where a text has one; words of ASCII texts are found without Unicode's classes."""
+    from plaintide.functions import emotion, lexicon, text, topic
+    from pyspark.sql import functions as F
+
+    for group in (*topic.GROUPS.values(), *emotion.GROUPS.values()):
+        assert "exists(" in str(group.weighted_hits()) and "exists(" in str(group.boosted_hits(emotion.boost))
+    given = ["plain words, it's", "café naïve ٣_x", "  tab\there \x07 ", "", None, "a b", "x  y", "wow!!! (great) 'tis"]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    unicode = F.regexp_extract_all("t", F.lit(text.WORD_OR_APOSTROPHE), F.lit(0))
+    cleaned = F.coalesce(F.trim(F.regexp_replace("t", r"(?U)[\s\x00-\x1f\x7f]+", " ")), F.lit(""))
+    facts = lexicon.word_facts(F.split("t", " "), F.transform(F.split("t", " "), lambda w: F.lit(None).cast("double")))
+    for row in df.select(
+        text.tokens(F.col("t"), text.WORD_OR_APOSTROPHE).alias("a"), unicode.alias("b"),
+        text.clean_text(F.col("t")).alias("c"), cleaned.alias("d"), facts.alias("e"), "t",
+    ).collect():
+        assert row.a == row.b and row.c == row.d and row.e == (None if row.t is None else [])
