@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,9 @@ from plaintide.rules.sentiment import LABELS
 from plaintide.runtime import cut_lineage
 
 MIN_ROWS = 60
-#: Bound on the labelled texts that a model is fitted on: its vocabulary and weights live on every node, and
-#: both grow with these texts. The texts with the smallest hashes are taken.
-MAX_ROWS = 100_000
-#: Bounds on the vocabulary: the terms that most texts hold, none longer than this many characters. What the driver
-#: and the workers keep then doesn't depend on the length of the texts.
-MAX_TERMS, MAX_TERM_LENGTH = 500_000, 200
+#: A model is fitted on every labelled text and every term. Who wants a smaller one sets MAX_TERMS: the terms that most
+#: texts hold, none longer than MAX_TERM_LENGTH characters.
+MAX_TERMS, MAX_TERM_LENGTH = None, 200
 C = 5.0
 FOLDS = 5
 
@@ -46,9 +43,11 @@ def require_enough(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return rows
 
 
-def bounded(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
-    """At most `most` of the rows, by a hash of the text, written and numbered: id, text, label."""
-    chosen = rows.select("text", "label").orderBy(F.xxhash64("text"), "text").limit(most)
+def bounded(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows, or `most` of them by a hash of the text if that is given, written and numbered: id, text, label."""
+    chosen = rows.select("text", "label")
+    if most is not None:
+        chosen = chosen.orderBy(F.xxhash64("text"), "text").limit(most)
     return cut_lineage(chosen.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -138,12 +137,18 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, documents: int) -> DataFrame:
-    """The MAX_TERMS terms that most training texts hold (ties: the smaller one) with index and idf."""
-    usable = counts.filter(F.length("term") <= MAX_TERM_LENGTH)
-    holding = usable.groupBy("term").agg(F.count("*").alias("holding"))
-    kept = holding.orderBy(F.desc("holding"), "term").limit(MAX_TERMS)
-    # At most MAX_TERMS rows.
-    indexed = kept.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
+    """Every term of the training texts, in order, with index and idf.
+
+    With MAX_TERMS the ones that most texts hold (ties: the smaller one).
+    """
+    usable = counts.filter(F.col("term").isNotNull())
+    if MAX_TERMS is not None:
+        usable = usable.filter(F.length("term") <= MAX_TERM_LENGTH)
+    kept = usable.groupBy("term").agg(F.count("*").alias("holding"))
+    if MAX_TERMS is not None:
+        kept = kept.orderBy(F.desc("holding"), "term").limit(MAX_TERMS)
+    numbered = dense_ids(cut_lineage(kept), ["term"], "index")
+    indexed = numbered.withColumn("index", (F.col("index") - 1).cast("int"))
     return cut_lineage(indexed.select("term", "index", smooth_idf(F.lit(documents), F.col("holding")).alias("idf")))
 
 
@@ -167,8 +172,11 @@ def features(counts: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
     return unit.select("id", F.from_json(F.to_json(sparse), schema)["v"].alias("features"))
 
 
-def train_text_model(rows: DataFrame, most: int = MAX_ROWS) -> TextModel:
-    """Fits the classifier on at most `most` of the `training_rows`; classes weigh the same whatever their size."""
+def train_text_model(rows: DataFrame, most: int | None = None) -> TextModel:
+    """Fits the classifier on the `training_rows`; classes weigh the same whatever their size.
+
+    On all of them, unless `most` asks for fewer.
+    """
     return _fitted(bounded(require_enough(rows), most))
 
 
@@ -190,9 +198,10 @@ def _fitted(rows: DataFrame) -> TextModel:
         standardization=False, weightCol="weight",
     ).fit(cut_lineage(examples))
     weights, intercepts = np.zeros((len(LABELS), len(known))), np.full(len(LABELS), -np.inf)
+    fitted = classifier.coefficientMatrix.toArray()
     for i in range(classifier.numClasses):
         if LABELS[i] in sizes:
-            weights[i] = classifier.coefficientMatrix.toArray()[i][: len(known)]
+            weights[i] = fitted[i][: len(known)]
             intercepts[i] = classifier.interceptVector[i]
     return TextModel(known["term"].tolist(), known["idf"].to_numpy(), weights, intercepts)
 
@@ -213,10 +222,10 @@ def training_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     return cut_lineage(numbered.join(F.broadcast(first), "label").select("id", "text", "label", fold.alias("fold")))
 
 
-def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
+def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS, most: int | None = None) -> DataFrame:
     """Held-out prediction of every training text: text, label, predicted.
 
-    Each fold's model is fitted on at most `most` of the texts outside it; all texts are predicted.
+    Each fold's model is fitted on the texts outside it (on `most` of them, if given); all texts are predicted.
     """
     folded = training_folds(require_enough(rows), folds)
     predictions = None
@@ -229,7 +238,7 @@ def cross_validated_predictions(rows: DataFrame, folds: int = FOLDS, most: int =
     return predictions
 
 
-def cross_validated_accuracy(rows: DataFrame, folds: int = FOLDS, most: int = MAX_ROWS) -> DataFrame:
+def cross_validated_accuracy(rows: DataFrame, folds: int = FOLDS, most: int | None = None) -> DataFrame:
     """Held-out accuracy in percent, one row."""
     hits = (F.col("label") == F.col("predicted")).cast("int")
     return cross_validated_predictions(rows, folds, most).agg(

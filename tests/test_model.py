@@ -111,6 +111,19 @@ def test_bound_on_labelled_rows(labelled):
     assert len(model.train_text_model(rows, 40).terms) < len(model.train_text_model(rows).terms)
 
 
+def test_every_text_and_term_is_learnt(spark, labelled, monkeypatch):
+    """No text is left out of a large table, and no term for its length."""
+    many = spark.range(100_001).select(F.concat_ws(" ", F.lit("text"), "id").alias("text"), F.lit("Neutral").alias("label"))
+    monkeypatch.setattr(model, "_fitted", lambda rows: rows.count())
+    assert model.train_text_model(many) == 100_001
+    monkeypatch.undo()
+    long = spark.createDataFrame([("x" * 300, "Neutral")], "text string, label string")
+    rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id").unionByName(long)
+    trained = model.train_text_model(rows)
+    assert "x" * 300 in trained.terms and trained.terms == sorted(trained.terms)
+    assert len(trained.terms) == 12 + 6 + 12 * 6 + 1
+
+
 def test_folds_hold_every_label_alike(labelled):
     rows = model.training_rows(labelled, "feedback", "sentiment", "feedback_id")
     sizes = model.training_folds(rows).groupBy("label", "fold").count().collect()
