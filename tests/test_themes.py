@@ -172,3 +172,64 @@ def test_pieces_are_met_without_maps(spark):
     assert "map_zip_with" not in found._jdf.queryExecution().toString().lower()
     want = {(a, b): sum(w * vectors_of[b].get(p, 0.0) for p, w in vectors_of[a].items()) for a, b in pairs}
     assert {(r.a, r.b): round(r.cosine, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_random_links(spark, monkeypatch, few):
+    """In Spark's rounds and without them; loops and nulls are no links, and repeated ones count once."""
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    rng = random.Random(few)
+    links = [(rng.randrange(200) * 5 - 300, rng.randrange(200) * 5 - 300) for _ in range(110)]
+    path = [(2000 + (i * 37) % 101, 2000 + ((i + 1) * 37) % 101) for i in range(100)]
+    rows = links + path + links[:9] + [(7777, 7777), (None, 3), (3, None)]
+    found = components.connected_components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
+    root = {n: n for pair in links + path for n in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links + path:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.component for r in found} == root and len(found) == len(root)
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """A table of links was written twice a round, in rounds by the length of the longest path."""
+    written = []
+    cut = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: written.append(1) or cut(df))
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    assert {r.component for r in components.connected_components(path).collect()} == {0}
+    assert len(written) == 2
+    none = components.connected_components(path.limit(0))
+    assert none.count() == 0 and none.columns == ["node", "component"]
+
+
+def test_terms_of_one_text_count_in_its_length_only(spark):
+    """They were sorted, joined and shipped with the others, though they add to no product."""
+    texts = {1: "red apple pie pie", 2: "red apple tart", 3: "lone words only"}
+    df = spark.createDataFrame([("x", t, 1, i) for i, t in texts.items()], SCHEMA)
+    found = {(r.text_id, r.term): r.weight for r in vectors.text_weights(df, []).collect()}
+    want = {(i, t): w for i, v in unit_vectors(texts).items() for t, w in v.items() if i < 3 and t in ("red", "apple", "red apple")}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(w) for k, w in want.items())
+
+
+@pytest.mark.parametrize("spread", [1, 1 << 44])
+def test_sketches_lose_no_similar_pair(spread, spark):
+    """Long texts share buckets; pairs far below the threshold go without their vectors being shipped."""
+    rng = random.Random(spread)
+    rows = []
+    for i in range(12):
+        places = rng.sample(range(3000), 2500) if i < 3 else rng.sample(range(300), rng.randint(1, 60))
+        raw = {p: rng.random() ** 3 + 1e-6 for p in places}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        rows += [(i, p * spread, w / norm) for p, w in raw.items()]
+    rows += [(20, 5 * spread, 1.0), (21, 5 * spread, 1.0), (22, 6 * spread, 1.0)]
+    vectors_of = {}
+    for i, p, w in rows:
+        vectors_of.setdefault(i, {})[p] = w
+    pieces = themes.packed(themes.segments(spark.createDataFrame(rows, "text_id int, place bigint, weight double")))
+    pairs = list(itertools.combinations(vectors_of, 2))
+    cosine = {(a, b): sum(w * vectors_of[b].get(p, 0.0) for p, w in vectors_of[a].items()) for a, b in pairs}
+    found = themes.possible_pairs(spark.createDataFrame(pairs, "a int, b int"), themes.sketches(pieces), 0.3).collect()
+    left = {(r.a, r.b) for r in found}
+    assert left >= {p for p, c in cosine.items() if c >= 0.3} and (20, 21) in left and (20, 22) not in left
+    assert len(left) < len(pairs) / 2 and len(found) == len(left)
